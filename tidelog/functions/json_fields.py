@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, functions as F
 
 # The keys read from a body, in table order.
@@ -15,12 +12,7 @@ BODY_KEYS = ("timestamp", "level", "message", "resourceID")
 TIME_TEXT = "time_text"
 FIELD_COLUMNS = dict(zip(BODY_KEYS, (TIME_TEXT, "Level", "Message", "ResourceID")))
 
-_CORRUPT = "_corrupt"
-_BODY_SCHEMA = ", ".join(f"`{key}` string" for key in (*BODY_KEYS, _CORRUPT))
-_ESCAPED_KEY = r'"(?=[A-Za-z]{0,9}\\u)(?:[A-Za-z]|\\u[0-9A-Fa-f]{4}){5,10}"\s*:'
 _OPTIONS = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": _CORRUPT,
     "allowUnquotedControlChars": "true",
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
@@ -28,31 +20,12 @@ _OPTIONS = {
 
 
 def parse_body(body: Column) -> Column:
-    return F.from_json(body, _BODY_SCHEMA, _OPTIONS)
-
-
-def is_json_object(parsed: Column) -> Column:
-    return parsed.isNotNull() & parsed.getField(_CORRUPT).isNull()
-
-
-def may_repeat_key(body: Column) -> Column:
-    """True when a key of interest could occur twice: its quoted name does, or a key of
-    such a length is written with a ``\\u`` escape. Nested keys and text may trigger it
-    too; that costs time, not correctness."""
-    def twice(key: str) -> Column:
-        name = F.lit(f'"{key}"')
-        first = F.call_function("locate", name, body)
-        return F.call_function("locate", name, body, first + 1) > 0
-
-    escaped = body.contains("\\u") & body.rlike(_ESCAPED_KEY)
-    return reduce(or_, [twice(key) for key in BODY_KEYS]) | escaped
-
+    """The top-level keys of a body with the text of their values; NULL when the body is
+    no JSON object. A map keeps every occurrence of a repeated key, and looking it up
+    finds the first, which is the one that counts; a struct would keep the last."""
+    return F.from_json(body, "map<string,string>", _OPTIONS)
 
-def body_field(body: Column, parsed: Column, repeated: Column, key: str) -> Column:
-    """Text of a top-level key: the first occurrence wins, absent or null gives ''.
 
-    ``from_json`` reads all keys in one pass but keeps the last occurrence, so the
-    few bodies that may repeat a key take the path lookup.
-    """
-    value = F.when(repeated, F.get_json_object(body, f"$.{key}")).otherwise(parsed.getField(key))
-    return F.coalesce(value, F.lit(""))
+def body_field(parsed: Column, key: str) -> Column:
+    """Text of a key; absent and null give ''."""
+    return F.coalesce(parsed[key], F.lit(""))

@@ -22,7 +22,7 @@ def rfc3339_to_timestamp(text: Column) -> Column:
     guard. Offsets beyond 18 hours are legal in the log format but not in a cast,
     so those rare rows are shifted by arithmetic instead.
     """
-    dotted = F.translate(text, ",", ".")
+    dotted = F.replace(text, F.lit(","), F.lit("."))
     head = F.substring(dotted, F.lit(1), F.length(dotted) - 6)
     hours = F.substring(dotted, -5, 2).try_cast("int")
     minutes = F.substring(dotted, -2, 2).try_cast("int")

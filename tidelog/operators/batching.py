@@ -24,9 +24,11 @@ def arrival_micros(ts: Column, start: Column) -> Column:
 def tick_index(arrival: Column, first_tick: float = FIRST_TICK, tick: float = TICK) -> Column:
     """Number of the clock tick that ends the interval of an arrival (microseconds)."""
     first, step = int(first_tick * 1_000_000), int(tick * 1_000_000)
-    return F.when(arrival < first, F.lit(0).cast("long")).otherwise(
-        F.floor((arrival - first) / F.lit(step)) + 1
-    )
+    return F.when(arrival < first, F.lit(0).cast("long")).otherwise(_div(arrival - first, step) + 1)
+
+
+def _div(left: Column, right: int) -> Column:
+    return F.call_function("div", left, F.lit(right).cast("long"))
 
 
 def assign_batches(
@@ -64,12 +66,13 @@ def assign_batches(
     )
     earlier = Window.partitionBy("tick").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(
-        "tick", "_range", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
-    )
-    rank = F.col("_position") + F.col("_shift")
-    return numbered.join(offsets, ["tick", "_range"]).select(
-        *df.columns, "tick", F.floor(rank / max_rows).alias("chunk")
+        F.col("tick").alias("_run_tick"),
+        F.col("_range").alias("_run_range"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    same_run = F.col("tick").eqNullSafe(F.col("_run_tick")) & (F.col("_range") == F.col("_run_range"))
+    chunk = _div(F.col("_position") + F.col("_shift"), max_rows)
+    return numbered.join(offsets, same_run).select(*df.columns, "tick", chunk.alias("chunk"))
 
 
 def batch_sizes(
@@ -88,8 +91,8 @@ def batch_sizes(
     per_tick = df.groupBy(tick_index(F.col(arrival), first_tick, tick).alias("tick")).agg(
         F.count("*").alias("_rows")
     )
-    chunks = F.ceil(F.col("_rows") / max_rows)
-    blocks = per_tick.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((chunks - 1) / _BLOCK))))
+    chunks = _div(F.col("_rows") + (max_rows - 1), max_rows)
+    blocks = per_tick.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), _div(chunks - 1, _BLOCK))))
     blocks = blocks.repartition(df.sparkSession.sparkContext.defaultParallelism, "tick", "_block")
     last = F.least(chunks, (F.col("_block") + 1) * _BLOCK) - 1
     numbered = blocks.withColumn("chunk", F.explode(F.sequence(F.col("_block") * _BLOCK, last)))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.functions.json_fields import FIELD_COLUMNS, TIME_TEXT, body_field, is_json_object, may_repeat_key, parse_body
+from tidelog.functions.json_fields import FIELD_COLUMNS, TIME_TEXT, body_field, parse_body
 from tidelog.functions.timestamps import rfc3339_to_timestamp, zero_time
 from tidelog.sources.table import LOG_COLUMNS
 
@@ -23,12 +23,12 @@ def extract_fields(df: DataFrame, body: str = "value", on_bad_json: str = "quara
     empty fields; ``on_bad_json='empty'`` keeps it as such a row, as the log store
     always did, ``'quarantine'`` gives it a reason."""
     _check("on_bad_json", on_bad_json, ("quarantine", "empty"))
-    parsed, repeated = F.col("_parsed"), F.col("_repeated")
-    staged = df.select(
-        "*", parse_body(F.col(body)).alias("_parsed"), may_repeat_key(F.col(body)).alias("_repeated")
-    )
-    fields = [body_field(F.col(body), parsed, repeated, key).alias(column) for key, column in FIELD_COLUMNS.items()]
-    bad = F.when(~is_json_object(parsed), F.lit("bad_json")) if on_bad_json == "quarantine" else F.lit(None)
+    # A generator keeps the parse in a step of its own: filters on its fields would
+    # otherwise be pushed below it and parse every body once more.
+    staged = df.select("*", F.explode(F.array(parse_body(F.col(body)))).alias("_parsed"))
+    parsed = F.col("_parsed")
+    fields = [body_field(parsed, key).alias(column) for key, column in FIELD_COLUMNS.items()]
+    bad = F.when(parsed.isNull(), F.lit("bad_json")) if on_bad_json == "quarantine" else F.lit(None)
     return staged.select(*[F.col(c) for c in df.columns], *fields, bad.cast("string").alias(REASON))
 
 

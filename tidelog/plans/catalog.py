@@ -269,7 +269,7 @@ _CHUNKS = f"SELECT event_id, tick, (row_number() OVER (PARTITION BY tick ORDER B
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     since_start = arrival_micros(F.col("ts"), F.lit(_START).cast("timestamp_ntz"))
-    return _table(spark, sf_dir, "events").select("event_id", F.floor(since_start / 3600).alias("us"))
+    return _table(spark, sf_dir, "events").select("event_id", F.call_function("div", since_start, F.lit(3600)).alias("us"))
 
 
 @_register("batch_assign", _CHUNKS)
@@ -653,14 +653,15 @@ _STATEMENTS = {
         JOIN customer c ON l.ResourceID = concat('user-', c.c_custkey)
         GROUP BY c.c_mktsegment""",
     "sql_semi_anti": """
-        SELECT count(*) AS n, count(DISTINCT ResourceID) AS resources FROM logs
+        SELECT sum(l.n) AS n, count(*) AS resources
+        FROM (SELECT ResourceID, count(*) AS n FROM logs GROUP BY ResourceID) l
         WHERE NOT EXISTS (
             SELECT 1 FROM customer
-            WHERE concat('user-', c_custkey) = ResourceID AND c_mktsegment = 'FURNITURE')""",
+            WHERE concat('user-', c_custkey) = l.ResourceID AND c_mktsegment = 'FURNITURE')""",
     "sql_setops": """
-        SELECT ResourceID FROM logs WHERE Level = 'error' AND Message LIKE '%7%'
+        SELECT DISTINCT ResourceID FROM logs WHERE Level = 'error' AND Message LIKE '%7%'
         EXCEPT
-        SELECT ResourceID FROM logs WHERE Level = 'purchase' AND Message LIKE '%8%'""",
+        SELECT DISTINCT ResourceID FROM logs WHERE Level = 'purchase' AND Message LIKE '%8%'""",
     "sql_scalar": """
         SELECT upper(Level) AS shouted, length(Message) AS size, substring(ResourceID, 6) AS suffix,
                extract(day FROM "Timestamp") AS day, count(*) AS n
@@ -671,7 +672,8 @@ _STATEMENTS = {
 }
 
 
-def _sum_as_long(df: DataFrame) -> DataFrame:
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Whole numbers in the width the SQL side gives them."""
     return df.select(*[(F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c)) for c, t in df.dtypes])
 
 
@@ -679,7 +681,7 @@ def _statement_query(sql: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         register_logs(_logs(spark, sf_dir))
         _table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-        return _sum_as_long(search_sql(spark, sql.strip().replace('"Timestamp"', "`Timestamp`")))
+        return _wide_integers(search_sql(spark, sql.strip().replace('"Timestamp"', "`Timestamp`")))
 
     return query
 
