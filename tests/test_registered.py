@@ -1,0 +1,26 @@
+"""Every registered query beside its SQL, on the smallest tables."""
+
+import pytest
+
+from __spark_entry__ import entry, oracle_sql, queries
+from check_oracle import compare, duck_views
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return duck_views(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query_equals_its_sql(spark, connection, name):
+    assert compare(spark, connection, FOLDER, name) in ("", "no rows on either side")
+
+
+def test_every_query_has_sql():
+    assert set(oracle_sql()) == set(queries())
+
+
+def test_entry(spark):
+    assert entry(spark).count() > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.functions.timestamps import MICROS_FORMAT, DISPLAY_FORMAT, display_text, micros_text
+from tidelog.functions.timestamps import DISPLAY_FORMAT, display_text, micros_text
 from tidelog.operators.ingest import REASON
 from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA
 
@@ -94,9 +94,9 @@ def export_logs(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt == "json":
         to_json_rows(df).write.text(path)
     elif fmt == "csv":
-        df.write.option("header", True).option("escape", '"').option("timestampFormat", MICROS_FORMAT).option(
-            "timestampNTZFormat", MICROS_FORMAT
-        ).csv(path)
+        texts = [micros_text(F.col(name)).alias(name) if name == "Timestamp" else F.col(name) for name in df.columns]
+        options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.select(*texts).write.options(**options).csv(path)
     elif fmt == "parquet":
         df.write.parquet(path)
     else:
