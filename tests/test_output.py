@@ -55,14 +55,15 @@ def test_a_hot_day_is_split_and_light_days_are_not(spark, folder):
     rows = spark.range(0, 200_000, 1, 8).selectExpr(
         "timestamp_seconds(1704067200 + if(id % 2 = 0, 0, (id % 20) * 86400)) Timestamp",
         "'same' Level", "repeat(cast(id as string), 20) Message", "'r' ResourceID")
-    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "300k"}
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "300k"}
+    before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         write_logs(rows, folder)
     finally:
         for key in settings:
-            spark.conf.unset(key)
+            spark.conf.set(key, before[key]) if before[key] else spark.conf.unset(key)
     assert files_of(spark, folder, "log_date = '2024-01-01'") > 2
     assert files_of(spark, folder, "log_date = '2024-01-04'") <= 2
     assert read_logs(spark, folder).count() == 200_000
