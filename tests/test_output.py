@@ -1,5 +1,7 @@
+import glob
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,23 @@ def files_of(spark, folder, where):
     return stored.select(F.input_file_name()).distinct().count()
 
 
+@pytest.mark.parametrize("with_reason", [False, True])
+def test_files_are_sorted_and_have_time_statistics(spark, folder, with_reason):
+    rows = spark.range(0, 5000, 1, 8).selectExpr(
+        "timestamp_seconds(1704067200 + pmod(hash(id), 259200)) Timestamp", "'l' Level", "'m' Message", "'r' ResourceID")
+    if with_reason:
+        rows = rows.selectExpr("*", "if(Timestamp > '2024-01-03 12:00:00', 'rule', cast(null as string)) reason")
+    write_logs(rows, folder)
+    files = glob.glob(f"{folder}/status=ok/log_date=*/*.parquet")
+    assert len(files) >= 3
+    for file in files:
+        parquet = pq.ParquetFile(file)
+        times = parquet.read(columns=["Timestamp"]).column(0).to_pylist()
+        assert times == sorted(times)
+        assert parquet.metadata.row_group(0).column(0).statistics.has_min_max
+    assert read_logs(spark, folder).count() + read_quarantine(spark, folder).count() == 5000
+
+
 def test_columns_are_written_by_name(spark, make_logs, folder):
     logs = make_logs(ROWS)
     write_logs(logs.select("Message", "ResourceID", "Timestamp", "Level"), folder)
@@ -39,7 +58,7 @@ def test_quarantine_shares_the_commit(spark, folder):
     bodies = ['{"timestamp":"2024-01-01T00:00:00Z","message":"ok"}', '{"timestamp":"x","message":"m"}', "junk"]
     write_logs(to_log_rows(spark.createDataFrame([(b,) for b in bodies], "value string")), folder)
     assert [r.Message for r in read_logs(spark, folder).collect()] == ["ok"]
-    assert sorted(tuple(r) for r in read_quarantine(spark, folder).collect()) == [
+    assert sorted(tuple(r) for r in read_quarantine(spark, folder).select("body", "reason").collect()) == [
         ("junk", "bad_json"), (bodies[1], "bad_timestamp")]
 
 

@@ -1,3 +1,6 @@
+import glob
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,13 +41,15 @@ def test_ingest_resumes_where_it_stopped(spark, folder):
     assert run_ingest(spark, folder) == ["one", "two"]
     add_bodies(spark, f"{folder}/in", [body(1, "late"), body(2, "two")])
     assert run_ingest(spark, folder) == ["late", "one", "two", "two"]
-    assert [tuple(r) for r in read_quarantine(spark, f"{folder}/logs").collect()] == [("junk", "bad_json")]
+    assert [tuple(r) for r in read_quarantine(spark, f"{folder}/logs").select("body", "reason").collect()] == [("junk", "bad_json")]
 
 
 def test_ingest_policies_and_batch_files(spark, folder):
     add_bodies(spark, f"{folder}/in", ["junk"] * 250)
     found = run_ingest(spark, folder, on_bad_json="empty", on_bad_ts="zero", max_rows_per_file=100)
     assert found == [""] * 250
+    stored = glob.glob(f"{folder}/logs/status=ok/log_date=*/*.parquet")
+    assert all(pq.ParquetFile(f).schema.column(0).physical_type == "INT64" for f in stored) and stored
     files = read_logs(spark, f"{folder}/logs").select(F.input_file_name().alias("f")).groupBy("f").count()
     assert max(r["count"] for r in files.collect()) <= 100
 
@@ -98,7 +103,7 @@ def test_tail_of_an_ingest_to_a_function(spark, folder):
     add_bodies(spark, f"{folder}/in", [body(i, str(i)) for i in range(20)])
     run_ingest(spark, folder)
     seen = []
-    rows = tail_logs(spark, f"{folder}/logs", START, max_files_per_trigger=1)
+    rows = tail_logs(spark, f"{folder}/logs", START, maxFilesPerTrigger=1)
     start_tail(rows, f"{folder}/tail", on_batch=lambda df, n: seen.extend(r.Message for r in df.collect()),
                available_now=True).awaitTermination()
     assert sorted(seen, key=int) == [str(i) for i in range(20)]

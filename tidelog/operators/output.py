@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.functions.timestamps import DISPLAY_FORMAT, display_text, micros_text
 from tidelog.operators.ingest import REASON
+from tidelog.session import settings
 from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA
 
 # Labels of the expanded view, by column.
 LABELS = {"Timestamp": "Timestamp", "Level": "Level", "Message": "Message", "ResourceID": "ResourceId"}
 
+# Timestamps as 64-bit integers: the default form has no minimum and maximum in the file
+# footers, and time filters could skip nothing inside a day.
+STORAGE = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+
 _STREAM_LOG = "_spark_metadata"
 
 
@@ -54,11 +59,21 @@ def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None)
     spark = rows.sparkSession
     if is_stream_table(spark, path):
         raise ValueError(f"{path} belongs to a streaming ingest; append to it through that stream")
-    layout = stored_rows(rows).hint("rebalance", STATUS, DATE).sortWithinPartitions(STATUS, DATE, "Timestamp")
-    writer = layout.write.mode("append").partitionBy(STATUS, DATE)
+    stored, folder, parts = stored_rows(rows), path, [STATUS, DATE]
+    if REASON not in rows.columns:
+        # Only accepted rows: write below their partition. A constant partition column
+        # would make the writer sort again, by partition alone.
+        stored, folder, parts = stored.drop(STATUS), f"{path.rstrip('/')}/{STATUS}={OK}", [DATE]
+    writer = (
+        stored.hint("rebalance", *parts)
+        .sortWithinPartitions(*parts, "Timestamp")
+        .write.mode("append")
+        .partitionBy(*parts)
+    )
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
-    writer.parquet(path)
+    with settings(spark, STORAGE):
+        writer.parquet(folder)
 
 
 def to_json_rows(df: DataFrame, column: str = "value") -> DataFrame:

@@ -355,8 +355,8 @@ def expanded_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recent window, as if asked at the moment of the newest event."""
     logs = _logs(spark, sf_dir)
-    newest = next_cursor(logs).first()
-    return _shown(latest(logs, now=newest["Timestamp"] if newest else None))
+    newest = logs.agg(F.max("Timestamp").cast("timestamp_ntz")).first()[0]
+    return _shown(latest(logs, now=newest))
 
 
 @_register("since_cursor", _rows_where("\"Timestamp\" >= TIMESTAMP '2024-01-20 12:34:56.789'"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from contextlib import contextmanager
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,12 +11,14 @@ from pyspark.sql.types import TimestampType
 from tidelog.functions.readonly import assert_read_only
 from tidelog.operators.filters import Bound, filter_logs
 from tidelog.operators.summary import summarize_logs
+from tidelog.session import settings
 from tidelog.sources.table import LOG_COLUMNS, project_logs
 
 # Fixed value: results with fewer rows than this come with a summary.
 SMALL_RESULT = 150
 
-_FILES = "spark.sql.runSQLOnFiles"
+# No ``parquet.`/path```: statements see registered tables, not any file.
+_TABLES_ONLY = {"spark.sql.runSQLOnFiles": "false"}
 
 
 class SearchResult(NamedTuple):
@@ -31,21 +32,10 @@ def register_logs(df: DataFrame, name: str = "logs", start: Bound | None = None,
     project_logs(filter_logs(df, start, end)).createOrReplaceTempView(name)
 
 
-@contextmanager
-def _tables_only(spark: SparkSession):
-    """No ``parquet.`/path```: statements see registered tables, not any file."""
-    before = spark.conf.get(_FILES, "true")
-    spark.conf.set(_FILES, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(_FILES, before)
-
-
 def search_sql(spark: SparkSession, sql: str, args: Mapping[str, Any] | None = None, ignore_literals: bool = False) -> DataFrame:
     """Rows of one read-only statement. Values belong in ``args``, not in the text."""
     assert_read_only(sql, ignore_literals)
-    with _tables_only(spark):
+    with settings(spark, _TABLES_ONLY):
         return spark.sql(sql, args=dict(args) if args else None)
 
 

@@ -11,15 +11,12 @@ def read_log_bodies(
     spark: SparkSession,
     path: str,
     streaming: bool = False,
-    max_files_per_trigger: int | None = None,
+    **options,
 ) -> DataFrame:
-    """Text files with one body per line, as a batch or as a stream."""
-    if not streaming:
-        return spark.read.text(path)
-    reader = spark.readStream
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path)
+    """Text files with one body per line, as a batch or as a stream. ``options`` go to
+    the file source; a stream that receives files with old modification times needs a
+    longer ``maxFileAge`` than the source's week."""
+    return (spark.readStream if streaming else spark.read).options(**options).text(path)
 
 
 def read_kafka_bodies(spark: SparkSession, servers: str, topic: str, streaming: bool = True) -> DataFrame:

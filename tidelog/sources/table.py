@@ -97,8 +97,10 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """What was not accepted: the reason, the raw body if there was one, and the fields
+    as far as they could be read."""
     stored = spark.read.schema(STORED_SCHEMA).parquet(path)
-    return stored.where(F.col(STATUS) == QUARANTINE).select("body", "reason")
+    return stored.where(F.col(STATUS) == QUARANTINE).select("body", "reason", *LOG_COLUMNS)
 
 
 def project_logs(df: DataFrame) -> DataFrame:

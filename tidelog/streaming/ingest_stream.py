@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.batching import TICK
 from tidelog.operators.ingest import to_log_rows
-from tidelog.operators.output import is_batch_table, stored_rows
+from tidelog.operators.output import STORAGE, is_batch_table, stored_rows
 from tidelog.sources.bodies import read_log_bodies
 from tidelog.sources.table import DATE, STATUS
 
@@ -39,9 +39,10 @@ def start_stream_write(
     )
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
-    if available_now:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{int(trigger_seconds * 1000)} milliseconds").start()
+    trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(trigger_seconds * 1000)} milliseconds"}
+    for key, value in STORAGE.items():  # read anew by every micro-batch, so set for good
+        rows.sparkSession.conf.set(key, value)
+    return writer.trigger(**trigger).start()
 
 
 def start_ingest(
@@ -51,10 +52,10 @@ def start_ingest(
     checkpoint: str,
     on_bad_json: str = "quarantine",
     on_bad_ts: str = "quarantine",
-    max_files_per_trigger: int | None = None,
+    source_options: dict | None = None,
     **write_options,
 ) -> StreamingQuery:
     """Watch a folder of body files and keep the log table up to date."""
-    bodies = read_log_bodies(spark, src, streaming=True, max_files_per_trigger=max_files_per_trigger)
+    bodies = read_log_bodies(spark, src, streaming=True, **(source_options or {}))
     rows = to_log_rows(bodies, "value", on_bad_json, on_bad_ts)
     return start_stream_write(rows, dst, checkpoint, **write_options)

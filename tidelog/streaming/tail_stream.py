@@ -41,20 +41,19 @@ def tail_logs(
     path: str,
     start: Bound | None = None,
     late: str = "keep",
-    max_files_per_trigger: int | None = None,
+    **options,
 ) -> DataFrame:
     """Streaming read of the log table from ``start`` on (default: the last hour).
 
     Stored rows come first, then new ones; the source offsets give every row once.
     ``late='keep'`` delivers rows that are stored later with an older timestamp,
-    ``'drop'`` leaves them out.
+    ``'drop'`` leaves them out, at the price of a shuffle. The default start moves with
+    the clock, so a tail that is to resume after a pause needs a fixed one. ``options``
+    go to the file source.
     """
     if late not in ("keep", "drop"):
         raise ValueError(f"late must be 'keep' or 'drop', not {late!r}")
-    reader = spark.readStream.schema(STORED_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stored = reader.parquet(path).where(F.col(STATUS) == OK)
+    stored = spark.readStream.schema(STORED_SCHEMA).options(**options).parquet(path).where(F.col(STATUS) == OK)
     place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
     recent = since(stored.select(*LOG_COLUMNS, DATE, *[c.alias(name) for name, c in place.items()]), start)
     if late == "drop":
