@@ -1,0 +1,42 @@
+import random
+import time
+
+from tidelog.functions.text_match import like_predicate
+from pyspark.sql import functions as F
+
+
+def like(text, pattern):
+    """LIKE by brute force; a backslash escapes %, _ and itself only."""
+    if not pattern:
+        return not text
+    head, rest = pattern[0], pattern[1:]
+    if head == "%":
+        return like(text, rest) or (bool(text) and like(text[1:], pattern))
+    if head == "\\" and rest and rest[0] in "%_\\":
+        head, rest = rest[0], rest[1:]
+    elif head == "_":
+        return bool(text) and like(text[1:], rest)
+    return bool(text) and text[0] == head and like(text[1:], rest)
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab%_\\\né.(") for _ in range(rng.randrange(9))) for _ in range(150)]
+    patterns = sorted({"".join(rng.choice("ab%_\\é.(") for _ in range(rng.randrange(1, 6))) for _ in range(120)})
+    df = spark.createDataFrame([(t,) for t in sorted(set(texts))], "t string")
+    columns = [like_predicate(F.col("t"), p).alias(f"p{i}") for i, p in enumerate(patterns)]
+    for row in df.select("t", *columns).collect():
+        assert list(row[1:]) == [like(row.t, f"%{p}%") for p in patterns], row.t
+
+
+def test_null_is_not_matched(spark):
+    df = spark.createDataFrame([(None,)], "t string")
+    assert df.where(like_predicate(F.col("t"), "%")).count() == 0
+
+
+def test_long_messages_take_linear_time(spark):
+    df = spark.range(1).select(F.repeat(F.lit("on the r "), 200_000).alias("t"))
+    started = time.time()
+    assert df.where(like_predicate(F.col("t"), "on%on%the__r")).count() == 0
+    assert df.where(like_predicate(F.col("t"), "on%the_r%o_")).count() == 1
+    assert time.time() - started < 20

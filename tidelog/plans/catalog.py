@@ -411,11 +411,11 @@ _ALL_FILTERS = dict(start="2024-01-03 00:00:00", end="2024-01-28 12:00:00", leve
     "filter_all",
     _rows_where(
         "\"Timestamp\" BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-28 12:00:00' "
-        "AND \"Level\" = 'error' AND \"Message\" LIKE '%7%' AND \"ResourceID\" = 'user-7'"
+        "AND \"Level\" = 'error' AND \"Message\" LIKE '%7%' AND \"ResourceID\" = 'user-6'"
     ),
 )
 def filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(filter_logs(_logs(spark, sf_dir), **_ALL_FILTERS, resource_id="user-7"))
+    return _shown(filter_logs(_logs(spark, sf_dir), **_ALL_FILTERS, resource_id="user-6"))
 
 
 @_register("filter_none", _ROWS)
