@@ -16,6 +16,13 @@ LABELS = {"Timestamp": "Timestamp", "Level": "Level", "Message": "Message", "Res
 # footers, and time filters could skip nothing inside a day.
 STORAGE = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
 
+# Bloom filters let a search for one resource skip row groups in which the column has too
+# many values for a dictionary.
+FILE_OPTIONS = {
+    "parquet.bloom.filter.enabled#ResourceID": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
 _STREAM_LOG = "_spark_metadata"
 
 
@@ -68,6 +75,7 @@ def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None)
         stored.hint("rebalance", *parts)
         .sortWithinPartitions(*parts, "Timestamp")
         .write.mode("append")
+        .options(**FILE_OPTIONS)
         .partitionBy(*parts)
     )
     if max_rows_per_file:

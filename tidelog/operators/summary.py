@@ -35,7 +35,7 @@ def top_messages(df: DataFrame, k: int = 5, by: Sequence[str] = ("Level",)) -> D
     """
     counts = df.groupBy(*by, "Message").agg(F.count("*").alias("n_logs"))
     order = Window.partitionBy(*by).orderBy(F.col("n_logs").desc(), F.col("Message"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def log_volume(df: DataFrame, width: str = "1 hour") -> DataFrame:

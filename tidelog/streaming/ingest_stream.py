@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.batching import TICK
 from tidelog.operators.ingest import to_log_rows
-from tidelog.operators.output import STORAGE, is_batch_table, stored_rows
+from tidelog.operators.output import FILE_OPTIONS, STORAGE, is_batch_table, stored_rows
 from tidelog.sources.bodies import read_log_bodies
 from tidelog.sources.table import DATE, STATUS
 
@@ -33,6 +33,7 @@ def start_stream_write(
         stored_rows(rows)
         .writeStream.format("parquet")
         .partitionBy(STATUS, DATE)
+        .options(**FILE_OPTIONS)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
