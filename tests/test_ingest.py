@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog import extract_fields, extract_plaintext, ingest, route_logs, to_log_rows, validate
+from tidelog import extract_fields, extract_plaintext, ingest, route_logs, to_log_rows, validate, write_routed
 from conftest import plan_of
 
 LEVELS = {
@@ -91,7 +91,10 @@ def test_validate_names_the_first_broken_rule(spark):
     assert [r.reason for r in validate(df, rules).collect()] == [None, "level", "level", "level"]
 
 
-def test_route_takes_the_first_rule(spark):
+def test_route_takes_the_first_rule(spark, folder):
     df = spark.createDataFrame([("error", "a"), ("info", "a"), ("info", "b"), (None, "c")], "Level string, Message string")
     routed = route_logs(df, [("alerts", F.col("Level") == "error"), ("a", F.col("Message") == "a")], "rest")
     assert [r.route for r in routed.collect()] == ["alerts", "a", "rest", "rest"]
+    write_routed(routed, folder)
+    assert spark.read.parquet(f"{folder}/route=alerts").count() == 1
+    assert spark.read.parquet(folder).groupBy("route").count().count() == 3

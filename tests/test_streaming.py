@@ -152,7 +152,7 @@ def test_streams_use_no_python(spark, make_logs, folder):
     query = start_tail(tail_logs(spark, f"{folder}/logs", START, late="drop"), f"{folder}/tail", path=f"{folder}/seen", available_now=True)
     query.awaitTermination()
     plan = query._jsq.explainInternal(True)
-    assert "Python" not in plan and "_metadata" in plan or "StateStore" in plan
+    assert "DeduplicateWithinWatermark" in plan and "Python" not in plan
 
 
 def test_stored_rows_survive_the_round_trip(spark, folder):

@@ -6,7 +6,7 @@ from tidelog.operators.filters import between, filter_logs, from_date, latest, n
 from tidelog.operators.ingest import (
     extract_fields, ingest, normalize_timestamp, route_logs, split_rows, to_log_rows, validate,
 )
-from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs
+from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages
 from tidelog.operators.tailing import next_cursor, tail_step
 from tidelog.plans.search import SearchResult, register_logs, search, search_sql

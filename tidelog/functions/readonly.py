@@ -38,15 +38,13 @@ class NotReadOnlyError(ValueError):
 
 
 def is_read_only(sql: Column, ignore_literals: bool = False) -> Column:
-    """Whether a statement starts as a read and holds none of the write words, which are
-    looked for as plain text first, so that most long statements need no pattern."""
+    """Whether a statement starts as a read and holds none of the write words."""
     text = F.lower(F.ltrim(sql, F.lit(LEADING_SPACE)))
     words = text
     if ignore_literals:
         words = F.regexp_replace(F.regexp_replace(text, _ESCAPED_CHAR, ""), _LITERAL, "''")
     starts = reduce(or_, [text.startswith(prefix) for prefix in READ_PREFIXES])
-    mentions = reduce(or_, [words.contains(word) for word in WRITE_WORDS])
-    return starts & ~(mentions & words.rlike(_WRITES))
+    return starts & ~words.rlike(_WRITES)
 
 
 def statement_is_read_only(sql: str, ignore_literals: bool = False) -> bool:

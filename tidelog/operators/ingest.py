@@ -42,8 +42,8 @@ def normalize_timestamp(df: DataFrame, col: str = TIME_TEXT, on_bad_ts: str = "q
     others = [F.col(c) for c in df.columns if c != REASON]
     timed = df.select(*others, ts.alias("Timestamp"), reason.alias(REASON))
     if on_bad_ts == "quarantine":
-        late = F.when(F.col("Timestamp").isNull(), F.lit("bad_timestamp"))
-        return timed.withColumn(REASON, F.coalesce(F.col(REASON), late))
+        unreadable = F.when(F.col("Timestamp").isNull(), F.lit("bad_timestamp"))
+        return timed.withColumn(REASON, F.coalesce(F.col(REASON), unreadable))
     if on_bad_ts == "zero":
         return timed.withColumn("Timestamp", F.coalesce(F.col("Timestamp"), zero_time()))
     return timed
@@ -87,8 +87,7 @@ def ingest(df: DataFrame, body: str = "value", on_bad_json: str = "quarantine",
 
 
 def route_logs(df: DataFrame, rules: Sequence[tuple[str, Column]], default: str = "default") -> DataFrame:
-    """Adds ``route``: the name of the first rule a row fulfils. Writing the result
-    with ``partitionBy('route')`` gives each store its own folder in one pass."""
+    """Adds ``route``: the name of the first rule a row fulfils."""
     route = F.lit(default)
     for name, rule in reversed(list(rules)):
         route = F.when(F.coalesce(rule, F.lit(False)), F.lit(name)).otherwise(route)

@@ -84,6 +84,13 @@ def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None)
         writer.parquet(folder)
 
 
+def write_routed(rows: DataFrame, path: str, column: str = "route") -> None:
+    """Append routed rows, each route to a folder of its own, in one pass. A route that
+    takes most rows is cut by size."""
+    with settings(rows.sparkSession, STORAGE):
+        rows.hint("rebalance", column).write.mode("append").options(**FILE_OPTIONS).partitionBy(column).parquet(path)
+
+
 def to_json_rows(df: DataFrame, column: str = "value") -> DataFrame:
     """One JSON object per row, the timestamp as text with microseconds."""
     fields = [

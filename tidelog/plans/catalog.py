@@ -521,12 +521,12 @@ def tail_step_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- search -----------------------------------------------------------------------------
 
 _STATEMENT = """
-    CASE doc_id % 6
-        WHEN 0 THEN 'SELECT * FROM logs WHERE Message LIKE ''%' || text || '%'''
-        WHEN 1 THEN chr(10) || chr(9) || ' select 1 -- ' || text
-        WHEN 2 THEN 'with a as (select 1) select * from a -- ' || text
-        WHEN 3 THEN 'select 1; DROP table logs -- ' || text
-        WHEN 4 THEN 'describe updated_at -- ' || text || ' dropped'
+    CASE right(source, 1)
+        WHEN '0' THEN 'SELECT * FROM logs WHERE Message LIKE ''%' || text || '%'''
+        WHEN '1' THEN chr(10) || chr(9) || ' select 1 -- ' || text
+        WHEN '2' THEN 'with a as (select 1) select * from a -- ' || text
+        WHEN '3' THEN 'select 1; DROP table logs -- ' || text
+        WHEN '4' THEN 'describe updated_at -- ' || text || ' dropped'
         ELSE 'select replace(Message, ''a'', ''b'') from logs -- ' || text
     END
 """
@@ -542,7 +542,8 @@ _STATEMENT = """
     """,
 )
 def readonly_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An audit of one statement per document, the whole text inside."""
+    """An audit of one statement per document, the whole text inside; the kind of
+    statement goes with the document's source."""
     statements = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_STATEMENT_SPARK).alias("sql"))
     return statements.select("doc_id", is_read_only(F.col("sql")).alias("accepted"))
 

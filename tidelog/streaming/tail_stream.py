@@ -21,7 +21,9 @@ def dedup_stream(rows: DataFrame, keys: Sequence[str] = LOG_COLUMNS, delay: str
     """Drop repeated rows of an at-least-once source that arrive within ``delay``.
 
     Copies of one row share a key, so a row repeated very often would load one task.
-    They are first reduced per key and input split (the salt), then per key.
+    They are first reduced per key and input split (the salt), then per key. A row that
+    comes more than ``delay`` behind the newest one of earlier micro-batches cannot be
+    compared any more and is left out, so ``delay`` must cover how far the source lags.
     """
     salted = rows.withWatermark("Timestamp", delay).withColumn("_salt", F.spark_partition_id() % salts)
     reduced = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
@@ -47,7 +49,8 @@ def tail_logs(
 
     Stored rows come first, then new ones; the source offsets give every row once.
     ``late='keep'`` delivers rows that are stored later with an older timestamp,
-    ``'drop'`` leaves them out, at the price of a shuffle. The default start moves with
+    ``'drop'`` leaves them out, at the price of a shuffle; do not split the stored rows
+    by ``maxFilesPerTrigger`` then, or their own order decides what is late. The default start moves with
     the clock, so a tail that is to resume after a pause needs a fixed one. ``options``
     go to the file source.
     """
