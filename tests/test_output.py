@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import (
-    expanded_rows, export_logs, log_volume, project_logs, read_logs, read_quarantine, summarize_logs,
+    expanded_rows, export_logs, filter_logs, log_volume, project_logs, read_logs, read_quarantine, summarize_logs,
     summary_rows, to_json_rows, to_log_rows, top_messages, write_logs,
 )
 from tidelog.functions.timestamps import micros_text
-from tidelog.operators.output import is_stream_table
+from tidelog.sources.table import is_batch_table, is_stream_table
 from conftest import plan_of
 
 ROWS = [
@@ -152,5 +152,14 @@ def test_log_volume(make_logs):
 
 
 def test_batch_and_stream_tables_are_told_apart(spark, make_logs, folder):
+    assert not is_batch_table(spark, folder)
     write_logs(make_logs(ROWS), folder)
-    assert not is_stream_table(spark, folder)
+    assert is_batch_table(spark, folder) and not is_stream_table(spark, folder)
+
+
+def test_other_parquet_files_are_read_as_they_are(spark, make_logs, folder):
+    make_logs(ROWS).select("Level", "Timestamp", "ResourceID", "Message").write.parquet(folder)
+    logs = read_logs(spark, folder)
+    assert logs.columns == ["Timestamp", "Level", "Message", "ResourceID"]
+    assert text_rows(logs) == text_rows(make_logs(ROWS))
+    assert filter_logs(logs, start="2024-01-02").count() == 2

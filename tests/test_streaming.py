@@ -84,6 +84,16 @@ def test_tail_that_drops_late_rows(spark, make_logs, folder):
     assert run_tail(spark, folder, late="drop") == ["1", "5", "5", "6", "6"]
 
 
+def test_tail_of_other_parquet_files(spark, make_logs, folder):
+    make_logs([log(1, "1"), log(2, "2")]).write.parquet(f"{folder}/logs")
+    assert run_tail(spark, folder) == ["1", "2"]
+
+
+def test_ingest_of_bodies_with_several_lines(spark, folder):
+    spark.createDataFrame([(body(1).replace(",", ",\n"),)], "value string").coalesce(1).write.text(f"{folder}/in")
+    assert run_ingest(spark, folder, source_options={"wholetext": True}) == ["m"]
+
+
 def test_tail_waits_for_the_first_rows(spark, make_logs, folder):
     write_logs(make_logs([("2023-12-31 00:00:00", "", "before the start", "")]), f"{folder}/logs")
     rows = tail_logs(spark, f"{folder}/logs", START)

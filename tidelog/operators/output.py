@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.timestamps import DISPLAY_FORMAT, display_text, micros_text
 from tidelog.operators.ingest import REASON
 from tidelog.session import settings
-from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA
+from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA, is_stream_table
 
 # Labels of the expanded view, by column.
 LABELS = {"Timestamp": "Timestamp", "Level": "Level", "Message": "Message", "ResourceID": "ResourceId"}
@@ -23,23 +23,6 @@ FILE_OPTIONS = {
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
 
-_STREAM_LOG = "_spark_metadata"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
-
-
-def is_stream_table(spark: SparkSession, path: str) -> bool:
-    """Whether a streaming ingest owns the table. Readers of such a table see only the
-    files its commit log names, so files that others add would stay unseen."""
-    return _exists(spark, f"{path.rstrip('/')}/{_STREAM_LOG}")
-
-
-def is_batch_table(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, path) and not is_stream_table(spark, path)
-
 
 def stored_rows(rows: DataFrame) -> DataFrame:
     """Log rows in the layout of the table. Columns are chosen by name; rows that carry

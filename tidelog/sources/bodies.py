@@ -14,9 +14,10 @@ def read_log_bodies(
     **options,
 ) -> DataFrame:
     """Text files with one body per line, as a batch or as a stream. ``options`` go to
-    the file source; a stream that receives files with old modification times needs a
-    longer ``maxFileAge`` than the source's week."""
-    return (spark.readStream if streaming else spark.read).options(**options).text(path)
+    the file source: ``wholetext=True`` takes a file as one body; a stream that receives
+    files with old modification times needs a longer ``maxFileAge`` than the usual week.
+    """
+    return (spark.readStream if streaming else spark.read).format("text").options(**options).load(path)
 
 
 def read_kafka_bodies(spark: SparkSession, servers: str, topic: str, streaming: bool = True) -> DataFrame:

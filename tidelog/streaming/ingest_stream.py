@@ -7,9 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.batching import TICK
 from tidelog.operators.ingest import to_log_rows
-from tidelog.operators.output import FILE_OPTIONS, STORAGE, is_batch_table, stored_rows
+from tidelog.operators.output import FILE_OPTIONS, STORAGE, stored_rows
 from tidelog.sources.bodies import read_log_bodies
-from tidelog.sources.table import DATE, STATUS
+from tidelog.sources.table import DATE, STATUS, is_batch_table
 
 
 def start_stream_write(

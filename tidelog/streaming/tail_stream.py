@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.filters import Bound, since
-from tidelog.sources.table import DATE, LOG_COLUMNS, OK, STATUS, STORED_SCHEMA
+from tidelog.sources.table import DATE, LOG_COLUMNS, LOG_SCHEMA, OK, STATUS, STORED_SCHEMA, is_batch_table, is_stream_table
 
 # Fixed value: how often a tail looks for new rows.
 POLL = dt.timedelta(milliseconds=1500)
@@ -56,9 +56,13 @@ def tail_logs(
     """
     if late not in ("keep", "drop"):
         raise ValueError(f"late must be 'keep' or 'drop', not {late!r}")
-    stored = spark.readStream.schema(STORED_SCHEMA).options(**options).parquet(path).where(F.col(STATUS) == OK)
+    if is_batch_table(spark, path) or is_stream_table(spark, path):
+        stored = spark.readStream.schema(STORED_SCHEMA).options(**options).parquet(path)
+        stored = stored.where(F.col(STATUS) == OK).select(*LOG_COLUMNS, DATE, "_metadata")
+    else:
+        stored = spark.readStream.schema(LOG_SCHEMA).options(**options).parquet(path).select("*", "_metadata")
     place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    recent = since(stored.select(*LOG_COLUMNS, DATE, *[c.alias(name) for name, c in place.items()]), start)
+    recent = since(stored, start).withColumns(place).drop("_metadata")
     if late == "drop":
         recent = drop_late(recent, list(place))
     return recent.select(*LOG_COLUMNS)
