@@ -8,6 +8,8 @@ from tidelog import (
     dedup_stream, project_logs, read_logs, read_quarantine, start_ingest, start_tail, tail_logs, write_logs,
 )
 
+from tidelog.session import settings
+
 START = "2024-01-01 00:00:00"
 
 
@@ -54,6 +56,19 @@ def test_ingest_policies_and_batch_files(spark, folder):
     assert max(r["count"] for r in files.collect()) <= 100
 
 
+def test_ingest_gathers_days_and_splits_a_hot_one(spark, folder):
+    """Bodies of ten days in 16 files, half of them of one day."""
+    day = "date_add(date'2024-01-01', if(id % 2 = 0, 0, cast(id % 20 / 2 as int)))"
+    bodies = spark.range(0, 40_000, 1, 16).selectExpr(
+        f"""concat('{{"timestamp":"', {day}, 'T00:00:00Z","message":"', uuid(), '"}}') value""")
+    bodies.write.text(f"{folder}/in")
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.shuffle.partitions": "64"}
+    with settings(spark, keys):
+        assert len(run_ingest(spark, folder)) == 40_000
+    files = {d: len(glob.glob(f"{folder}/logs/status=ok/log_date=2024-01-{d:02d}/*.parquet")) for d in range(1, 11)}
+    assert files[1] > 2 and sorted(files.values())[5] <= 2, files
+
+
 def test_stream_and_batch_do_not_share_a_table(spark, make_logs, folder):
     add_bodies(spark, f"{folder}/in", [body(1)])
     run_ingest(spark, folder)

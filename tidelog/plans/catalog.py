@@ -399,9 +399,9 @@ def filter_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_logs(messages, contains_text="on%the_re").select("doc_id", "lang")
 
 
-@_register("filter_resource", _rows_where("\"ResourceID\" = 'user-42'"))
+@_register("filter_resource", _rows_where("\"ResourceID\" = 'user-6'"))
 def filter_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(filter_logs(_logs(spark, sf_dir), resource_id="user-42"))
+    return _shown(filter_logs(_logs(spark, sf_dir), resource_id="user-6"))
 
 
 _ALL_FILTERS = dict(start="2024-01-03 00:00:00", end="2024-01-28 12:00:00", level="error", contains_text="7")

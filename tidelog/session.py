@@ -22,7 +22,7 @@ BASE_CONF = {
 # and AQE merges them to the advisory size, so the same number serves small days
 # and 100 TB backfills.
 CLUSTER_CONF = {
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.files.maxPartitionBytes": "256m",

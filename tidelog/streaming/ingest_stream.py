@@ -19,19 +19,27 @@ def start_stream_write(
     trigger_seconds: float = TICK,
     available_now: bool = False,
     max_rows_per_file: int | None = None,
+    gather: bool = False,
 ) -> StreamingQuery:
     """Append a stream of log rows to the table.
 
     The file sink commits a micro-batch as a whole and skips one it already has, so a
     restart on the same checkpoint neither loses nor repeats rows. Accepted and
-    quarantined rows share the commit and are told apart by partition. There is no
-    shuffle: tasks write what they read.
+    quarantined rows share the commit and are told apart by partition.
+
+    ``gather`` brings the rows of a day together, so that a micro-batch adds few files
+    rather than one per task and day; adaptive execution cuts a heavy day by size. It is
+    for streams without state, as others are not executed adaptively. Without it tasks
+    write what they read and nothing more is shuffled.
     """
-    if is_batch_table(rows.sparkSession, path):
+    spark = rows.sparkSession
+    if is_batch_table(spark, path):
         raise ValueError(f"{path} was written in batches; the stream would hide those rows")
+    stored = stored_rows(rows)
+    if gather and spark.conf.get("spark.sql.adaptive.enabled") == "true":
+        stored = stored.hint("rebalance", STATUS, DATE)
     writer = (
-        stored_rows(rows)
-        .writeStream.format("parquet")
+        stored.writeStream.format("parquet")
         .partitionBy(STATUS, DATE)
         .options(**FILE_OPTIONS)
         .option("path", path)
@@ -42,7 +50,7 @@ def start_stream_write(
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(trigger_seconds * 1000)} milliseconds"}
     for key, value in STORAGE.items():  # read anew by every micro-batch, so set for good
-        rows.sparkSession.conf.set(key, value)
+        spark.conf.set(key, value)
     return writer.trigger(**trigger).start()
 
 
@@ -54,9 +62,10 @@ def start_ingest(
     on_bad_json: str = "quarantine",
     on_bad_ts: str = "quarantine",
     source_options: dict | None = None,
+    gather: bool = True,
     **write_options,
 ) -> StreamingQuery:
     """Watch a folder of body files and keep the log table up to date."""
     bodies = read_log_bodies(spark, src, streaming=True, **(source_options or {}))
     rows = to_log_rows(bodies, "value", on_bad_json, on_bad_ts)
-    return start_stream_write(rows, dst, checkpoint, **write_options)
+    return start_stream_write(rows, dst, checkpoint, gather=gather, **write_options)
