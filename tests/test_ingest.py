@@ -12,6 +12,14 @@ LEVELS = {
     '{"level":5}': "5",
     '{"level":5.10}': "5.1",
     '{"level":12345678901234567890123}': "12345678901234567890123",
+    '{"level":1.0}': "1",
+    '{"level":1e2}': "100",
+    '{"level":-2.50E-3}': "-0.0025",
+    '{"level":123456789.5}': "123456789.5",
+    '{"level":0.0}': "0",
+    '{"level":"1.0"}': "1.0",
+    '{"level":"1.0E2"}': "1.0E2",
+    '{"level":"10.0.0.1"}': "10.0.0.1",
     '{"level":true}': "true",
     '{"level":{"a": 1}}': '{"a":1}',
     '{"level":[1, 2]}': "[1,2]",

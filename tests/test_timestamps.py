@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,22 @@ def test_legal_spellings(spark):
     assert {text: row.Timestamp for text, row in found.items()} == GOOD
 
 
+def test_random_instants_in_random_zones(spark):
+    rng = random.Random(11)
+    expected = {}
+    for _ in range(400):
+        local = dt.datetime(1970, 1, 2) + dt.timedelta(microseconds=rng.randrange(10**17))
+        minutes = rng.randrange(-24 * 60, 24 * 60 + 1)
+        digits = rng.choice([0, 1, 3, 6, 9])
+        fraction = (f"{local.microsecond:06d}" + f"{rng.randrange(1000):03d}")[:digits]
+        zone = "Z" if minutes == 0 else f"{'-' if minutes < 0 else '+'}{abs(minutes) // 60:02d}:{abs(minutes) % 60:02d}"
+        kept = int(fraction[:6].ljust(6, "0")) if fraction else 0
+        text = f"{local:%Y-%m-%dT%H:%M:%S}" + (rng.choice(".,") + fraction if fraction else "") + zone
+        utc = local.replace(microsecond=kept) - dt.timedelta(minutes=minutes)
+        expected[text] = f"{utc:%Y-%m-%d %H:%M:%S.%f}"
+    assert {text: row.Timestamp for text, row in parsed(spark, expected).items()} == expected
+
+
 def test_illegal_spellings_are_null(spark):
     assert [t for t, row in parsed(spark, BAD).items() if row.Timestamp is not None] == []
 

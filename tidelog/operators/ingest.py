@@ -27,7 +27,7 @@ def extract_fields(df: DataFrame, body: str = "value", on_bad_json: str = "quara
     # otherwise be pushed below it and parse every body once more.
     staged = df.select("*", F.explode(F.array(parse_body(F.col(body)))).alias("_parsed"))
     parsed = F.col("_parsed")
-    fields = [body_field(parsed, key).alias(column) for key, column in FIELD_COLUMNS.items()]
+    fields = [body_field(F.col(body), parsed, key).alias(column) for key, column in FIELD_COLUMNS.items()]
     bad = F.when(parsed.isNull(), F.lit("bad_json")) if on_bad_json == "quarantine" else F.lit(None)
     return staged.select(*[F.col(c) for c in df.columns], *fields, bad.cast("string").alias(REASON))
 
