@@ -26,16 +26,15 @@ def parse_body(body: Column) -> Column:
     return F.from_json(body, "map<string,string>", _OPTIONS)
 
 
-def _plain_number(value: Column, body: Column) -> Column:
+def body_field(parsed: Column, key: str) -> Column:
+    """Text of a key; absent and null give ''."""
+    return F.coalesce(parsed[key], F.lit(""))
+
+
+def plain_number(value: Column, body: Column) -> Column:
     """Numbers with a fraction or an exponent as plain digits: 1.0 is 1, 1e2 is 100. A
     value that stands in quotes in the body is text and stays as it is."""
     digits = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     looks = F.ascii(value).between(ord("-"), ord("9")) & value.rlike(r"^-?\d+\.\d+(E-?\d+)?\z")
     quoted = body.contains(F.concat(F.lit('"'), value, F.lit('"')))
     return F.when(looks & ~quoted, F.coalesce(digits, value)).otherwise(value)
-
-
-def body_field(body: Column, parsed: Column, key: str) -> Column:
-    """Text of a key; absent and null give ''."""
-    value = F.coalesce(parsed[key], F.lit(""))
-    return value if key == "timestamp" else _plain_number(value, body)

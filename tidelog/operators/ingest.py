@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.functions.json_fields import FIELD_COLUMNS, TIME_TEXT, body_field, parse_body
+from tidelog.functions.json_fields import FIELD_COLUMNS, TIME_TEXT, body_field, parse_body, plain_number
 from tidelog.functions.timestamps import rfc3339_to_timestamp, zero_time
 from tidelog.sources.table import LOG_COLUMNS
 
@@ -18,18 +18,25 @@ def _check(name: str, value: str, allowed: Sequence[str]) -> None:
         raise ValueError(f"{name} must be one of {', '.join(allowed)}, not {value!r}")
 
 
+def _with_step(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed in a step of its own. A plain column would be
+    computed again by every filter on it, as filters are pushed below projections but
+    not below a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def extract_fields(df: DataFrame, body: str = "value", on_bad_json: str = "quarantine") -> DataFrame:
-    """Adds the four text fields (the time as ``time_text``) and ``reason``. A body that is no JSON object has
-    empty fields; ``on_bad_json='empty'`` keeps it as such a row, as the log store
-    always did, ``'quarantine'`` gives it a reason."""
+    """Adds the four text fields (the time as ``time_text``) and ``reason``. A body that
+    is no JSON object has empty fields; ``on_bad_json='empty'`` keeps it as such a row, as
+    the log store always did, ``'quarantine'`` gives it a reason."""
     _check("on_bad_json", on_bad_json, ("quarantine", "empty"))
-    # A generator keeps the parse in a step of its own: filters on its fields would
-    # otherwise be pushed below it and parse every body once more.
-    staged = df.select("*", F.explode(F.array(parse_body(F.col(body)))).alias("_parsed"))
+    staged = _with_step(df, "_parsed", parse_body(F.col(body)))
     parsed = F.col("_parsed")
-    fields = [body_field(F.col(body), parsed, key).alias(column) for key, column in FIELD_COLUMNS.items()]
+    fields = [body_field(parsed, key).alias(column) for key, column in FIELD_COLUMNS.items()]
     bad = F.when(parsed.isNull(), F.lit("bad_json")) if on_bad_json == "quarantine" else F.lit(None)
-    return staged.select(*[F.col(c) for c in df.columns], *fields, bad.cast("string").alias(REASON))
+    rows = staged.select(*[F.col(c) for c in df.columns], *fields, bad.cast("string").alias(REASON))
+    texts = [column for column in FIELD_COLUMNS.values() if column != TIME_TEXT]
+    return rows.withColumns({column: plain_number(F.col(column), F.col(body)) for column in texts})
 
 
 def normalize_timestamp(df: DataFrame, col: str = TIME_TEXT, on_bad_ts: str = "quarantine") -> DataFrame:
@@ -37,10 +44,9 @@ def normalize_timestamp(df: DataFrame, col: str = TIME_TEXT, on_bad_ts: str = "q
     unreadable text gives: a reason (``'quarantine'``), year one (``'zero'``, as the
     log store always did) or NULL (``'null'``)."""
     _check("on_bad_ts", on_bad_ts, ("quarantine", "zero", "null"))
-    ts = rfc3339_to_timestamp(F.col(col))
-    reason = F.col(REASON) if REASON in df.columns else F.lit(None).cast("string")
-    others = [F.col(c) for c in df.columns if c != REASON]
-    timed = df.select(*others, ts.alias("Timestamp"), reason.alias(REASON))
+    if REASON not in df.columns:
+        df = df.withColumn(REASON, F.lit(None).cast("string"))
+    timed = _with_step(df, "Timestamp", rfc3339_to_timestamp(F.col(col)))
     if on_bad_ts == "quarantine":
         unreadable = F.when(F.col("Timestamp").isNull(), F.lit("bad_timestamp"))
         return timed.withColumn(REASON, F.coalesce(F.col(REASON), unreadable))
