@@ -1,10 +1,63 @@
-"""From documents to packed training sequences, in five stages."""
+"""From documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame that is written and read
+again as the next one's documents: quality rules, line de-duplication, near-duplicates,
+mixing of sources, packing. All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelog.llm.common import saved
+from tidelog.llm.line_dedup import dedup_lines
+from tidelog.llm.line_rules import apply_line_rules
+from tidelog.llm.mixing import mix_documents
+from tidelog.llm.near_dups import drop_near_duplicates
+from tidelog.llm.packing import pack
+from tidelog.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, and so do lines that too many documents of a host hold."""
+    return apply_line_rules(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines shared by many documents stay in one of them."""
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return drop_near_duplicates(docs, width=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for, in training order."""
+    return mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+# Links between near-duplicates and packing are beyond SQL; tests compare the stages with
+# plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

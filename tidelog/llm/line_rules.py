@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.llm.common import SPACE, saved, words_of
@@ -32,15 +34,29 @@ def _paired(hashes: Column, distance: int) -> Column:
     return F.zip_with(F.slice(hashes, 1, kept), F.slice(hashes, distance + 1, kept), lambda a, b: F.xxhash64(a, b))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _covered(windows: Column) -> Column:
     """Words covered by windows whose hash occurs more than once."""
+
+    def starts(placed: Column) -> Column:
+        # a window and its sorted neighbour, where their hashes are the same
+        twins = F.zip_with(
+            placed, F.slice(placed, 2, F.size(placed)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
+        )
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+
+    def words(at: Column) -> Column:
+        steps = F.zip_with(
+            at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))
+        )
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    after = F.slice(placed, 2, F.size(placed))
-    # a sorted neighbour on either side with the same hash
-    with_next = F.zip_with(placed, after, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(with_next, lambda x: x.isNotNull()))))
-    steps = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+    return _once(_once(placed, starts), words)
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -165,9 +181,14 @@ def apply_line_rules(docs: DataFrame, host: str = "source", **limits) -> DataFra
         F.split("text", "\n", -1), lambda x: ~F.array_contains("g_lines", F.xxhash64(normal_line(x)))
     )
     clean = F.when(F.col("g_lines").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
-    judged = base_statistics(whole).withColumn("clean", clean)
-    kept = judged.where(~F.col("base_failed") & ((F.col("g_lines").isNull()) | (F.size(words_of(F.col("clean"))) >= MIN_WORDS)))
-    changed = {"text": F.col("clean")}
+    judged = base_statistics(whole.withColumn("clean", clean))
+    kept = ~F.col("base_failed") & (F.col("g_lines").isNull() | (F.size(words_of(F.col("clean"))) >= MIN_WORDS))
+    new = F.struct(F.col("clean").alias("text"), F.length("clean").alias("n_chars"))
+    # a generator and no filter, which would be pushed below the statistics and compute
+    # them over and over
+    rows = judged.select("row", F.col("g_lines").isNotNull().alias("changed"), F.explode(F.when(kept, F.array(new))).alias("new"))
+    changed = {"text": F.col("new.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("g_lines").isNull(), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        size = F.when(F.col("changed"), F.col("new.n_chars")).otherwise(F.col("row.n_chars"))
+        changed["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -79,64 +79,96 @@ def time_of_demand(part: Column, schedule: Schedule) -> Column:
     return F.least(time, F.lit(float(schedule[-1][0])))
 
 
-def _with_starts(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, *extra: Column) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("content"), *extra)
+
+
+def _with_order(sized: DataFrame) -> DataFrame:
+    """A random but repeatable order of the documents, and the block of the order."""
+    ordered = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return ordered.withColumn("block", F.substring("order", 1, BLOCK_DIGITS))
+
+
+def _placed(sized: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Adds ``start``, the words before a document in its source's order, and the
-    source's target. The order is random but repeatable. Words are summed per block of
-    the order first, so that a source may hold any share of the documents."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    ordered = sized.withColumn("order", order).withColumn("block", F.substring("order", 1, BLOCK_DIGITS))
-    blocks = ordered.groupBy(F.col("source").alias("b_source"), F.col("block").alias("b_block")).agg(F.sum("size").alias("n"))
+    source's size, weight and target. ``sizes`` has the same documents without the
+    columns that only travel along. Words are summed per block of the order first, so
+    that a source may hold any share of the documents."""
+    blocks = _with_order(sizes).groupBy(F.col("source").alias("b_source"), F.col("block").alias("b_block")).agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("b_source").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("b_source", "b_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     offsets = offsets.join(targets, F.col("b_source").eqNullSafe(F.col("m_source"))).drop("m_source")
     inside = Window.partitionBy("source", "block").orderBy("order", "content", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = ordered.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    summed = _with_order(sized).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block"))
     return summed.join(offsets, same).withColumn("start", F.col("before") + F.col("within"))
 
 
+def _takes(epochs: int, cut: bool, schedules: Mapping[float, Schedule]) -> list[tuple[Column, Column]]:
+    """Per epoch: the words taken of a document, and the training time at which its
+    source's demand has reached it."""
+    goal = F.floor("target") if cut else F.col("target")
+    takes = []
+    for epoch in range(epochs):
+        before = F.col("source_size") * epoch + F.col("start")
+        missing = goal - before
+        if cut:
+            words = F.greatest(F.least(missing.cast("long"), F.col("size")), F.lit(0))
+        else:
+            words = F.when(2 * missing >= F.col("size"), F.col("size")).otherwise(0)
+        part = F.when(F.col("target") > 0, F.least(before / F.col("target"), F.lit(1.0)))
+        time = F.lit(None).cast("double")
+        for weight, schedule in schedules.items():
+            time = F.when(F.col("weight") == float(weight), time_of_demand(part, schedule)).otherwise(time)
+        takes.append((words.cast("long"), time))
+    return takes
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     share: float = MIX_SHARE,
     epochs: int = MAX_EPOCHS,
     schedules: Mapping[float, Schedule] = SCHEDULES,
-    cut: bool = True,
 ) -> DataFrame:
     """Per document: its ``size`` in words, its source's size and target, the words the
     mix takes of it (``taken``) and when it comes first in training (``position``, 0 to
     1, NULL if it never does). Rows are sorted by position over all partitions.
 
     A source gives its documents in a repeatable random order, again and again up to
-    ``epochs`` times, until its target is reached. The last document gives only the words
-    that are missing, or, without ``cut``, the whole of it or nothing, whichever is
-    nearer. The words before a document, as a share of the target, are the source's
-    demand at which it comes; the source's weight schedule, integrated and inverted, says
-    at which time that demand is reached.
-
-    A NULL text has no words; documents without words are never short of any and take
-    none, and come at the place of their order. A NULL source is a source of its own,
-    the last one; a NULL doc_id and rows that repeat a document are documents too. An
-    empty table gives an empty result; extra columns are left out.
+    ``epochs`` times, until its target is reached; the last document gives only the words
+    that are missing. The words before a document, as a share of the target, are the
+    source's demand at which it comes; the source's weight schedule, integrated and
+    inverted, says at which time that demand is reached.
+
+    A NULL text has no words, and documents without words take none. A NULL source is a
+    source of its own, the last one; a NULL doc_id and rows that repeat a document are
+    documents too. An empty table gives an empty result; extra columns are left out.
     """
-    text = F.coalesce("text", F.lit(""))
-    sized = saved(docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("content")), "sizes")
-    targets = source_targets(sized, weights, share, epochs)
-    placed = _with_starts(sized, targets)
-    goal = F.floor("target") if cut else F.col("target")
-    taken = F.lit(0).cast("long")
-    for epoch in range(epochs):
-        missing = goal - F.col("source_size") * epoch - F.col("start")
-        if cut:
-            part = F.greatest(F.least(missing.cast("long"), F.col("size")), F.lit(0))
-        else:
-            part = F.when(2 * missing >= F.col("size"), F.col("size")).otherwise(0)
-        taken = taken + part
-    part = F.when(F.col("target") > 0, F.col("start") / F.col("target"))
-    time = F.lit(None).cast("double")
-    for weight, schedule in schedules.items():
-        time = F.when(F.col("weight") == float(weight), time_of_demand(part, schedule)).otherwise(time)
-    rows = placed.withColumn("taken", taken.cast("long"))
-    return rows.select(
-        "doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, time).alias("position")
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    sizes = saved(_sized(docs), "sizes")
+    rows = _placed(sizes, sizes, source_targets(sizes, weights, share, epochs))
+    takes = _takes(epochs, True, schedules)
+    taken = sum((words for words, _ in takes[1:]), takes[0][0])
+    rows = rows.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, takes[0][1]))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(
+        F.col("position").asc_nulls_last(), "doc_id"
+    )
+
+
+def mix_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = MIX_SHARE,
+    epochs: int = MAX_EPOCHS,
+    schedules: Mapping[float, Schedule] = SCHEDULES,
+) -> DataFrame:
+    """The mix itself: whole documents with all their columns, each as often as it is
+    taken, range-sorted by training position. A source's last document is taken or not,
+    whichever comes nearer to the target. Nulls and repeats count as in ``mix``."""
+    sizes = saved(_sized(docs), "sizes")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _placed(_sized(docs, whole), sizes, source_targets(sizes, weights, share, epochs))
+    takes = [F.struct(words.alias("words"), time.alias("time")) for words, time in _takes(epochs, False, schedules)]
+    copies = rows.select("row", F.explode(F.filter(F.array(*takes), lambda x: x["words"] > 0)).alias("take"))
+    return copies.orderBy("take.time", "row.doc_id").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

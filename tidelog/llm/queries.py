@@ -10,7 +10,9 @@ from tidelog.llm.common import table
 from tidelog.llm.line_dedup import dedup_lines
 from tidelog.llm.line_rules import line_rules
 from tidelog.llm.mixing import mix
+from tidelog.llm.near_dups import near_duplicates
 from tidelog.llm.packing import pack
+from tidelog.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,7 +108,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TIME = {
     # the inverse of the integrated schedule for each weight; part runs from 0 to 1
-    5: "CASE WHEN part * 1.0e0 >= 0.5625e0 THEN 0.5e0 + 2e0 * greatest(part * 1.0e0 - 0.5625e0, 0e0) / (1e0 + sqrt(greatest(1e0 - 1e0 * greatest(part * 1.0e0 - 0.5625e0, 0e0), 0e0))) "
+    5: "CASE WHEN part >= 0.5625e0 THEN 0.5e0 + 2e0 * greatest(part - 0.5625e0, 0e0) / (1e0 + sqrt(greatest(1e0 - 1e0 * greatest(part - 0.5625e0, 0e0), 0e0))) "
        "ELSE 2e0 * part / (1.25e0 + sqrt(greatest(1.5625e0 - 1e0 * part, 0e0))) END",
     2: "2e0 * part / (1e0 + sqrt(1e0))",
     1: "CASE WHEN part >= 0.375e0 THEN 0.5e0 + 2e0 * greatest(part - 0.375e0, 0e0) / (1e0 + sqrt(greatest(1e0 + 2e0 * greatest(part - 0.375e0, 0e0), 0e0))) "
@@ -126,7 +128,7 @@ s AS (SELECT z.*, g.source_size, g.weight, g.target,
              coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
 k AS (SELECT *, greatest(least(floor(target)::BIGINT - start, size), 0) + greatest(least(floor(target)::BIGINT - source_size - start, size), 0) AS taken,
-             CASE WHEN target > 0 THEN start / target END AS part FROM s)
+             CASE WHEN target > 0 THEN least(start / target, 1e0) END AS part FROM s)
 SELECT doc_id, size, source_size, target, taken,
        CASE WHEN taken > 0 THEN least(CASE weight WHEN 5 THEN {_TIME[5]} WHEN 2 THEN {_TIME[2]} ELSE {_TIME[1]} END, 1e0) END AS position
 FROM k
@@ -137,3 +139,30 @@ FROM k
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, and where in training it stands first."""
     return mix(table(spark, sf_dir, "documents"))
+
+
+# --- 2, near-duplicates ------------------------------------------------------------------------
+
+@_register("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, over runs of four words."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+# --- 8, exact top-k search -----------------------------------------------------------------------
+
+_TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@_register("op8_segment_top_k", _TOP_SQL)
+def op8_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors to every fiftieth one."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return top_k(vectors, vectors.where(F.col("id") % 50 == 0))
