@@ -12,6 +12,9 @@ from tidelog.llm.line_rules import line_rules
 from tidelog.llm.mixing import mix
 from tidelog.llm.near_dups import near_duplicates
 from tidelog.llm.packing import pack
+from tidelog.llm.pii import find_pii
+from tidelog.llm.quality import classify
+from tidelog.llm.substring import dedup_spans
 from tidelog.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +169,29 @@ def op8_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all vectors to every fiftieth one."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return top_k(vectors, vectors.where(F.col("id") % 50 == 0))
+
+
+# --- 1, substring de-duplication ------------------------------------------------------------------
+
+@_register("op1_sentence_spans")
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentence spans that an earlier place has."""
+    return dedup_spans(table(spark, sf_dir, "documents"))
+
+
+# --- 3, quality ---------------------------------------------------------------------------------
+
+@_register("op3_rule_quality")
+def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, from rules fitted on the labels that are not held out."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# --- 4, personal data ---------------------------------------------------------------------------
+
+@_register("op4_weak_supervision_pii")
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, all spans."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
