@@ -14,6 +14,7 @@ from tidelog.llm.near_dups import near_duplicates
 from tidelog.llm.packing import pack
 from tidelog.llm.pii import find_pii
 from tidelog.llm.quality import classify
+from tidelog.llm.rnn_lm import score_texts
 from tidelog.llm.substring import dedup_spans
 from tidelog.llm.topk import top_k
 
@@ -195,3 +196,11 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.col(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+# --- 9, language model --------------------------------------------------------------------------
+
+@_register("op9_gated_rnn_score")
+def op9_gated_rnn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under word counts and under the recurrent model."""
+    return score_texts(table(spark, sf_dir, "documents"))
