@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog.session import fresh_folder
@@ -10,8 +12,6 @@ from tidelog.session import fresh_folder
 WHITE = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]"
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,18 +25,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free_name(taken: Sequence[str], name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    lowered = {c.lower() for c in taken}
+    while name in lowered:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words of a text: runs of anything but ASCII white space. NULL has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
-
-
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(text, _UPPER, _LOWER)
-
-
-def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that no extra one can clash; NULL texts are empty."""
-    return docs.select(
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) if c == "text" else F.col(c) for c in columns]
-    )

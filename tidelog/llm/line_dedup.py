@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.common import WHITE, saved
+from tidelog.llm.common import WHITE, free_name, saved
 
 # A line is removed when its key has this many characters and this many documents hold it.
 MIN_CHARS = 40
@@ -228,8 +228,7 @@ class _Probe:
 
 
 def _probed_by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
-    """``g_doc, g_lines``: the hashes of each document's lines that go, found where the
-    shards lie. Lines are dealt by shard and salt; each salt gets the shard's arrays."""
+    """The documents and the hashes of their lines that go, found where the shards lie. Lines are dealt by shard and salt; each salt gets the shard's arrays."""
     import pandas as pd
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +252,7 @@ def _probed_by_shard(docs: DataFrame, index: DataFrame, n_shards: int, min_chars
         return own.loc[gone, ["doc", "h"]]
 
     hits = lines.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "doc long, h long")
-    return hits.groupBy(F.col("doc").alias("g_doc")).agg(F.collect_set("h").alias("g_lines"))
+    return hits.groupBy("doc").agg(F.collect_set("h").alias("lines"))
 
 
 def dedup_lines(
@@ -305,13 +304,14 @@ def dedup_lines(
 
         return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(clean, schema)
 
-    hits = _probed_by_shard(docs, index, n_shards, min_chars)
-    same = F.coalesce("doc_id", F.lit(_NULL_DOC)) == F.col("g_doc")
-    found = docs.select(*[F.col(f"`{c}`") for c in columns]).join(hits, same, "left").drop("g_doc")
+    hit_doc, hit_lines = (free_name(columns, c) for c in ("hit_doc", "hit_lines"))
+    hits = _probed_by_shard(docs, index, n_shards, min_chars).toDF(hit_doc, hit_lines)
+    same = F.coalesce("doc_id", F.lit(_NULL_DOC)) == F.col(hit_doc)
+    found = docs.select(*[F.col(f"`{c}`") for c in columns]).join(hits, same, "left").drop(hit_doc)
 
     def clean_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = {d: set(x) for d, x in zip(_doc_ids(batch), batch.column("g_lines").to_pylist()) if x}
+            gone = {d: set(x) for d, x in zip(_doc_ids(batch), batch.column(hit_lines).to_pylist()) if x}
 
             def told(h, fp, ids):
                 return np.array([x in gone.get(d, ()) for x, d in zip(h.tolist(), ids.tolist())], bool)
