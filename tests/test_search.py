@@ -4,6 +4,7 @@ from tidelog import (
     NotReadOnlyError, assert_read_only, is_read_only, read_logs, register_logs, search, search_sql,
     statement_is_read_only, write_logs,
 )
+from tidelog.functions.readonly import assert_plan_inside
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 from conftest import plan_of
@@ -29,6 +30,10 @@ SIDE_DOORS = [
     "select transform(Message) using 'cat' from logs",
     "select * from (map Message using /* c */ 'cat' as x from logs)",
     "explain extended select reflect('java.lang.System','getProperty','user.dir')",
+    "select identifier('refl' || 'ect')('java.lang.System','getProperty','user.dir')",
+    "select identifier(:f)('java.lang.System','getProperty','user.dir')",
+    "select IDENTIFIER /* c */ ('refl' || 'ect')('java.lang.System','getProperty','user.dir')",
+    "select transform(Message) using/* c */'cat' from logs",
 ]
 
 
@@ -100,19 +105,26 @@ def test_metadata_statements(spark, logs):
     assert "Aggregate" in search_sql(spark, "EXPLAIN SELECT count(*) FROM logs").first()[0]
 
 
-def test_small_result_has_a_summary(spark, logs):
-    result = search(spark, "select * from logs where Level = 'info'")
-    assert result.logs.count() == 50 and result.logs.schema == logs.where("Level = 'info'").schema
-    assert sorted(tuple(r) for r in result.logs.collect()) == sorted(tuple(r) for r in logs.where("Level = 'info'").collect())
-    row = result.summary.first()
-    assert (row.Level, row.n_logs, row.share, row.n_messages) == ("info", 50, 1.0, 7)
+def test_a_plan_that_leaves_spark_is_refused(spark, logs):
+    outside = spark.sql("select reflect('java.lang.System','getProperty','user.dir') as x, 1 as one")
+    with pytest.raises(NotReadOnlyError):
+        assert_plan_inside(outside.where("one = 1"))
+    assert_plan_inside(spark.sql("select 'CallMethodViaReflection' as x, '\"class\":\"a.PythonUDF\"' as y from logs"))
+
+
+@pytest.mark.parametrize("condition", ["Level = 'info'", "true", "false"])
+def test_every_result_has_a_summary(spark, logs, condition):
+    result = search(spark, f"select * from logs where {condition}")
+    own = logs.where(condition)
+    assert sorted(map(tuple, result.logs.collect())) == sorted(map(tuple, own.collect()))
+    assert sum(r.n_logs for r in result.summary.collect()) == own.count()
 
 
-def test_size_bound(spark, logs):
-    assert search(spark, "select * from logs limit 149").summary is not None
-    assert search(spark, "select * from logs limit 150").summary is None
-    large = search(spark, "select * from logs")
-    assert large.summary is None and large.logs.count() == 200
+def test_nothing_runs_before_a_result_is_used(spark, logs):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    search(spark, "select * from logs order by Message")
+    assert list(tracker.getJobIdsForGroup("lazy")) == []
 
 
 def test_small_result_without_log_columns(spark, logs):

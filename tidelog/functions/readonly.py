@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # How a statement may start and the words it may not hold.
 READ_PREFIXES = ("select", "show", "describe", "explain")
@@ -26,10 +26,11 @@ _WRITES = "(?<![a-z0-9_])(" + "|".join(WRITE_WORDS) + ")(?![a-z0-9_])"
 _ESCAPED_CHAR = r"(?s)\\."
 _LITERAL = r"'[^']*'"
 
-# Doors that Spark SQL leaves open beside the words above: calls into the JVM and
-# external scripts (USING followed by anything but a column list). The test looks at
+# Doors that Spark SQL leaves open beside the words above: calls into the JVM, names put
+# together at run time, and external scripts (USING followed by anything but a column
+# list). The test looks at
 # the whole text, comments and quoted text included, so it may refuse too much.
-_JVM_CALL = re.compile(r"(?<![a-z0-9_])(reflect|try_reflect|java_method)(?![a-z0-9_])")
+_JVM_CALL = re.compile(r"(?<![a-z0-9_])(reflect|try_reflect|java_method|identifier)(?![a-z0-9_])")
 _SCRIPT = re.compile(r"(?<![a-z0-9_])using(?![a-z0-9_])(?!\s*\()")
 
 
@@ -56,7 +57,17 @@ def statement_is_read_only(sql: str, ignore_literals: bool = False) -> bool:
 def assert_read_only(sql: str, ignore_literals: bool = False) -> None:
     """Raise unless the statement passes the read-only test and uses no side door."""
     if not statement_is_read_only(sql, ignore_literals):
-        raise NotReadOnlyError("The SQL query is not read-only")
+        raise NotReadOnlyError("only plain reads are allowed: this statement does not start as one or holds a write word")
     text = sql.lower()
     if _JVM_CALL.search(text) or _SCRIPT.search(text):
-        raise NotReadOnlyError("The SQL query calls code outside Spark SQL")
+        raise NotReadOnlyError("the statement reaches for code outside Spark SQL")
+
+
+# Nodes of a resolved plan that run code outside Spark SQL, however they were written.
+_OUTSIDE = re.compile(r'"class":"[\w.]*\.(CallMethodViaReflection|TryReflect|ScriptTransformation|PythonUDF|ScalaUDF)"')
+
+
+def assert_plan_inside(df: DataFrame) -> None:
+    """Raise if the resolved statement calls the JVM, a script or a registered function."""
+    if _OUTSIDE.search(df._jdf.queryExecution().analyzed().toJSON()):
+        raise NotReadOnlyError("the statement reaches for code outside Spark SQL")

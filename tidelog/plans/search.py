@@ -6,24 +6,20 @@ from collections.abc import Mapping
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import TimestampType
 
-from tidelog.functions.readonly import assert_read_only
+from tidelog.functions.readonly import assert_plan_inside, assert_read_only
 from tidelog.operators.filters import Bound, filter_logs
 from tidelog.operators.summary import summarize_logs
 from tidelog.session import settings
 from tidelog.sources.table import LOG_COLUMNS, project_logs
 
-# Fixed value: results with fewer rows than this come with a summary.
-SMALL_RESULT = 150
-
 # No ``parquet.`/path```: statements see registered tables, not any file.
 _TABLES_ONLY = {"spark.sql.runSQLOnFiles": "false"}
 
 
 class SearchResult(NamedTuple):
     logs: DataFrame
-    summary: DataFrame | None
+    summary: DataFrame
 
 
 def register_logs(df: DataFrame, name: str = "logs", start: Bound | None = None, end: Bound | None = None) -> None:
@@ -36,37 +32,21 @@ def search_sql(spark: SparkSession, sql: str, args: Mapping[str, Any] | None = N
     """Rows of one read-only statement. Values belong in ``args``, not in the text."""
     assert_read_only(sql, ignore_literals)
     with settings(spark, _TABLES_ONLY):
-        return spark.sql(sql, args=dict(args) if args else None)
-
-
-def _bounded_copy(df: DataFrame, limit: int) -> DataFrame | None:
-    """The rows of ``df`` as a local table when there are fewer than ``limit``."""
-    zoned = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
-    plain = df.withColumns({c: F.col(f"`{c}`").cast("timestamp_ntz") for c in zoned}) if zoned else df
-    rows = plain.take(limit)
-    if len(rows) >= limit:
-        return None
-    local = df.sparkSession.createDataFrame(rows, plain.schema)
-    return local.withColumns({c: F.col(f"`{c}`").cast("timestamp") for c in zoned}) if zoned else local
+        found = spark.sql(sql, args=dict(args) if args else None)
+    assert_plan_inside(found)
+    return found
 
 
 def search(
     spark: SparkSession,
     sql: str,
     args: Mapping[str, Any] | None = None,
-    small: int = SMALL_RESULT,
     ignore_literals: bool = False,
 ) -> SearchResult:
-    """Run a statement; a small result also gets a summary.
-
-    Reading stops at the ``small``-th row. A result below it is kept as read, so the
-    statement runs once for size, rows and summary together; a larger one stays lazy.
-    The summary groups by the log columns the statement returned.
-    """
+    """A statement's rows and their summary. Both are lazy, whatever the size: nothing
+    runs before one of them is used. The summary groups by the log columns the statement
+    returns; without them it counts the rows."""
     found = search_sql(spark, sql, args, ignore_literals)
-    copy = _bounded_copy(found, small)
-    if copy is None:
-        return SearchResult(found, None)
-    if set(LOG_COLUMNS) <= set(copy.columns):
-        return SearchResult(copy, summarize_logs(copy))
-    return SearchResult(copy, copy.agg(F.count("*").alias("n_logs")))
+    if set(LOG_COLUMNS) <= set(found.columns):
+        return SearchResult(found, summarize_logs(found))
+    return SearchResult(found, found.agg(F.count("*").alias("n_logs")))
