@@ -31,10 +31,43 @@ def body_field(parsed: Column, key: str) -> Column:
     return F.coalesce(parsed[key], F.lit(""))
 
 
-def plain_number(value: Column, body: Column) -> Column:
-    """Numbers with a fraction or an exponent as plain digits: 1.0 is 1, 1e2 is 100. A
-    value that stands in quotes in the body is text and stays as it is."""
-    digits = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    looks = F.ascii(value).between(ord("-"), ord("9")) & value.rlike(r"^-?\d+\.\d+(E-?\d+)?\z")
-    quoted = body.contains(F.concat(F.lit('"'), value, F.lit('"')))
-    return F.when(looks & ~quoted, F.coalesce(digits, value)).otherwise(value)
+def looks_fractional(value: Column) -> Column:
+    """Whether a text might come from a number with a fraction or an exponent."""
+    first = F.ascii(value).between(ord("-"), ord("9"))
+    return first & value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?\z") & value.rlike("[.eE]")
+
+
+def parse_tokens(body: Column) -> Column:
+    """The top-level keys of a body with their values as JSON tokens, which tell a number
+    from a text that looks like one. Control characters inside texts do not matter here."""
+    return F.from_json(F.regexp_replace(body, r"[\x00-\x1f]", " "), "map<string,variant>", _OPTIONS)
+
+
+def plain_number(value: Column, token: Column) -> Column:
+    """Numbers with a fraction or an exponent as plain digits of the nearest double: 1.0
+    is 1, 1e2 is 100, 1e-3 is 0.001. Texts stay as they are."""
+    number = F.schema_of_variant(token).rlike("^(DOUBLE|FLOAT|DECIMAL)")
+    return F.when(looks_fractional(value) & number, plain_digits(value.try_cast("double"))).otherwise(value)
+
+
+def plain_digits(value: Column) -> Column:
+    """Shortest decimal digits of a double, without an exponent."""
+    # the plain text of a double may have a digit too many; fewer that give the same
+    # double are nearer to what was written
+    short, long = F.format_string("%.14e", value), F.format_string("%.15e", value)
+    shown = (
+        F.when(short.try_cast("double") == value, short)
+        .when(long.try_cast("double") == value, long)
+        .otherwise(value.cast("string"))
+    )
+    form = r"^(-?)(\d+)\.(\d+?)0*(?:[eE]([+-]?\d+))?$"
+    sign, whole = F.regexp_extract(shown, form, 1), F.regexp_extract(shown, form, 2)
+    digits = F.concat(whole, F.regexp_replace(F.regexp_extract(shown, form, 3), "^0$", ""))
+    exponent = F.coalesce(F.regexp_extract(shown, form, 4).try_cast("int"), F.lit(0))
+    point, size = F.length(whole) + exponent, F.length(digits)
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+    )
+    return F.when(shown.rlike(form), F.concat(sign, plain)).otherwise(shown)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.functions.json_fields import FIELD_COLUMNS, TIME_TEXT, body_field, parse_body, plain_number
+from tidelog.functions.json_fields import (
+    FIELD_COLUMNS, TIME_TEXT, body_field, looks_fractional, parse_body, parse_tokens, plain_number,
+)
 from tidelog.functions.timestamps import rfc3339_to_timestamp, zero_time
 from tidelog.sources.table import LOG_COLUMNS
 
@@ -35,8 +39,12 @@ def extract_fields(df: DataFrame, body: str = "value", on_bad_json: str = "quara
     fields = [body_field(parsed, key).alias(column) for key, column in FIELD_COLUMNS.items()]
     bad = F.when(parsed.isNull(), F.lit("bad_json")) if on_bad_json == "quarantine" else F.lit(None)
     rows = staged.select(*[F.col(c) for c in df.columns], *fields, bad.cast("string").alias(REASON))
-    texts = [column for column in FIELD_COLUMNS.values() if column != TIME_TEXT]
-    return rows.withColumns({column: plain_number(F.col(column), F.col(body)) for column in texts})
+    texts = {key: column for key, column in FIELD_COLUMNS.items() if column != TIME_TEXT}
+    # few bodies hold such a number; only those are parsed again for their tokens
+    numbers = reduce(or_, [looks_fractional(F.col(column)) for column in texts.values()])
+    rows = _with_step(rows, "_tokens", F.when(numbers, parse_tokens(F.col(body))))
+    plain = {column: plain_number(F.col(column), F.col("_tokens")[key]) for key, column in texts.items()}
+    return rows.withColumns(plain).drop("_tokens")
 
 
 def normalize_timestamp(df: DataFrame, col: str = TIME_TEXT, on_bad_ts: str = "quarantine") -> DataFrame:
