@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.session import fresh_folder
+from tidelog.session import shared_folder
 
 # Rows per flush, seconds to the first tick and between later ones.
 MAX_ROWS = 100
@@ -45,22 +45,24 @@ def assign_batches(
     A row number over each tick would put a busy tick into one task. Instead the rows
     are range partitioned by (tick, arrival, ``order_by``) and numbered where they are;
     per run of a tick inside a partition, the rows before it are added from a table
-    with one line per run. The numbered rows are written once, because the ranges come
-    from sampling and both readers must see the same ones. ``order_by`` must make the
-    order total, or rows of the same instant cannot be spread.
+    with one line per run. ``order_by`` must make the order total, or rows of the same
+    instant cannot be spread.
+
+    The ranges come from sampling and both readers must see the same ones, so the call
+    itself numbers the rows and checkpoints them in the shared folder. Spark removes the
+    checkpoint when nothing refers to the result any more.
     """
     spark = df.sparkSession
     order = ["tick", arrival, *order_by]
     keyed = df.withColumn("tick", tick_index(F.col(arrival), first_tick, tick))
     ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
-    folder = fresh_folder(spark, "batches")
-    (
+    shared_folder(spark)  # there must be one
+    numbered = (
         ranged.sortWithinPartitions(*order)
         .withColumn("_position", F.monotonically_increasing_id())
         .withColumn("_range", F.spark_partition_id())
-        .write.parquet(folder)
+        .checkpoint()
     )
-    numbered = spark.read.parquet(folder)
     runs = numbered.groupBy("tick", "_range").agg(
         F.min("_position").alias("_first"), F.count("*").alias("_rows")
     )
@@ -93,7 +95,7 @@ def batch_sizes(
     )
     chunks = _div(F.col("_rows") + (max_rows - 1), max_rows)
     blocks = per_tick.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), _div(chunks - 1, _BLOCK))))
-    blocks = blocks.repartition(df.sparkSession.sparkContext.defaultParallelism, "tick", "_block")
+    blocks = blocks.repartition("tick", "_block")
     last = F.least(chunks, (F.col("_block") + 1) * _BLOCK) - 1
     numbered = blocks.withColumn("chunk", F.explode(F.sequence(F.col("_block") * _BLOCK, last)))
     size = F.least(F.lit(max_rows).cast("long"), F.col("_rows") - F.col("chunk") * max_rows)
