@@ -10,7 +10,8 @@ from tidelog import (
     summary_rows, to_json_rows, to_log_rows, top_messages, write_logs,
 )
 from tidelog.functions.timestamps import micros_text
-from tidelog.sources.table import is_batch_table, is_stream_table
+from tidelog.sources.table import is_log_table
+from tidelog.session import settings
 from conftest import plan_of
 
 ROWS = [
@@ -142,7 +143,7 @@ def test_top_messages_limits_before_the_shuffle(make_logs):
     logs = make_logs(ROWS * 2 + ROWS[2:3])
     top = top_messages(logs, 1)
     plan = plan_of(top)
-    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    assert plan.count("WindowGroupLimit") == 4 and "Partial" in plan
     assert sorted((r.Level, r.Message, r.n_logs) for r in top.collect()) == [("error", 'say "hi"\n', 2), ("info", "é", 3)]
 
 
@@ -151,12 +152,42 @@ def test_log_volume(make_logs):
     assert found == [("error", 2), ("info", 2)]
 
 
-def test_batch_and_stream_tables_are_told_apart(spark, make_logs, folder):
-    assert not is_batch_table(spark, folder)
+def test_log_tables_are_known_by_their_layout(spark, make_logs, folder):
+    assert not is_log_table(spark, folder)
     write_logs(make_logs(ROWS), folder)
-    assert is_batch_table(spark, folder) and not is_stream_table(spark, folder)
+    assert is_log_table(spark, folder)
 
 
+def test_another_time_zone_is_refused(spark, make_logs, folder):
+    logs = make_logs(ROWS)
+    write_logs(logs, folder)
+    with settings(spark, {"spark.sql.session.timeZone": "America/New_York"}):
+        for use in (lambda: write_logs(logs, folder), lambda: read_logs(spark, folder), lambda: log_volume(logs), lambda: to_json_rows(logs)):
+            with pytest.raises(ValueError):
+                use()
+
+
+def test_summaries_read_their_input_once(spark, make_logs, folder):
+    write_logs(make_logs(ROWS * 20), folder)
+    logs = filter_logs(read_logs(spark, folder), contains_text="é")
+    summary = summarize_logs(logs, ["Level"])
+    assert sorted((r.Level, r.n_logs, r.share) for r in summary.collect()) == [("error", 20, 0.5), ("info", 20, 0.5)]
+    summary.collect()
+    assert "ReusedExchange" in summary._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_messages_are_cut_in_slices(spark):
+    logs = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', 'cold') Level", "cast(id % 7000 as string) Message")
+    plan = plan_of(top_messages(logs, 5000))
+    assert plan.count("Window [row_number()") == 2 and "_slice" in plan
+    found = top_messages(logs, 5000).where("rank <= 3").orderBy("Level", "rank").collect()
+    counts = {}
+    for i in range(20_000):
+        key = ("hot" if i % 3 == 0 else "cold", str(i % 7000))
+        counts[key] = counts.get(key, 0) + 1
+    expected = [(lv, m, n) for lv in ("cold", "hot") for (l2, m), n in sorted(((k, n) for k, n in counts.items() if k[0] == lv), key=lambda x: (-x[1], x[0][1]))[:3]]
+    assert [(r.Level, r.Message, r.n_logs) for r in found] == expected
+
 def test_other_parquet_files_are_read_as_they_are(spark, make_logs, folder):
     make_logs(ROWS).select("Level", "Timestamp", "ResourceID", "Message").write.parquet(folder)
     logs = read_logs(spark, folder)

@@ -1,14 +1,20 @@
+import datetime as dt
+import fnmatch
 import glob
+import os
+import time
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from tidelog import (
-    dedup_stream, project_logs, read_logs, read_quarantine, start_ingest, start_tail, tail_logs, write_logs,
+    append_once, compact_days, days_from, project_logs, read_logs, read_quarantine, start_dedup, start_ingest,
+    start_tail, tail_logs, unseen_rows, write_logs,
 )
-
-from tidelog.session import settings
+from tidelog.operators.output import stored_rows
+from tidelog.session import delete_path, files_below, move_file, settings, write_text
 
 START = "2024-01-01 00:00:00"
 
@@ -69,14 +75,75 @@ def test_ingest_gathers_days_and_splits_a_hot_one(spark, folder):
     assert files[1] > 2 and sorted(files.values())[5] <= 2, files
 
 
-def test_stream_and_batch_do_not_share_a_table(spark, make_logs, folder):
-    add_bodies(spark, f"{folder}/in", [body(1)])
+def test_stream_and_batch_share_a_table(spark, make_logs, folder):
+    add_bodies(spark, f"{folder}/in", [body(1, "stream")])
     run_ingest(spark, folder)
-    with pytest.raises(ValueError):
-        write_logs(make_logs([log(1, "x")]), f"{folder}/logs")
-    write_logs(make_logs([log(1, "x")]), f"{folder}/batch")
-    with pytest.raises(ValueError):
-        start_ingest(spark, f"{folder}/in", f"{folder}/batch", f"{folder}/other", available_now=True)
+    write_logs(make_logs([log(1, "batch")]), f"{folder}/logs")
+    add_bodies(spark, f"{folder}/in", [body(1, "again")])
+    assert run_ingest(spark, folder) == ["again", "batch", "stream"]
+
+
+def test_bodies_of_any_age_are_taken(spark, folder):
+    add_bodies(spark, f"{folder}/in", [body(1, "new")])
+    assert run_ingest(spark, folder) == ["new"]
+    add_bodies(spark, f"{folder}/in", [body(2, "old")])
+    for file in glob.glob(f"{folder}/in/*.txt"):
+        if "old" in open(file).read():
+            os.utime(file, (time.time() - 30 * 86400,) * 2)
+    assert run_ingest(spark, folder) == ["new", "old"]
+
+
+def test_taken_bodies_may_be_archived(spark, folder):
+    for k in range(4):
+        add_bodies(spark, f"{folder}/in", [body(k, str(k))])
+        run_ingest(spark, folder, archive=f"{folder}/taken")
+    assert run_ingest(spark, folder, archive=f"{folder}/taken") == ["0", "1", "2", "3"]
+    assert len(glob.glob(f"{folder}/taken/**/*.txt", recursive=True)) >= 2
+
+
+def test_a_batch_that_comes_again_writes_nothing_twice(spark, make_logs, folder):
+    """A failure after the first write, in the middle of the moves, and after them."""
+    rows = make_logs([(f"2024-01-{d:02d} 00:00:00", "", str(d), "") for d in range(1, 9)])
+    table, checkpoint = f"{folder}/logs", f"{folder}/progress"
+    messages = lambda: sorted(int(r.Message) for r in read_logs(spark, table).collect())
+    append_once(stored_rows(rows), 0, table, checkpoint, ("status", "log_date"))
+    append_once(stored_rows(rows), 0, table, checkpoint, ("status", "log_date"))
+    assert messages() == list(range(1, 9))
+    # half of the files are back in the stage, as if they had not been moved yet
+    for file in files_below(spark, f"{table}/status=ok")[:4]:
+        move_file(spark, f"{table}/status=ok/{file}", f"{checkpoint}/staged/0/status=ok/{file}")
+    append_once(stored_rows(rows), 0, table, checkpoint, ("status", "log_date"))
+    assert messages() == list(range(1, 9))
+    # a write that did not finish is done anew
+    spark.sql("select 1").write.mode("overwrite").parquet(f"{checkpoint}/staged/1/status=ok/log_date=2024-01-01")
+    delete_path(spark, f"{checkpoint}/staged/1/status=ok/log_date=2024-01-01/_SUCCESS")
+    append_once(stored_rows(rows.limit(1)), 1, table, checkpoint, ("status", "log_date"))
+    assert len(messages()) == 9
+    assert {f.split("/")[0] for f in files_below(spark, f"{checkpoint}/staged")} == {"1"}
+
+
+def test_finished_days_are_compacted(spark, make_logs, folder):
+    rows = [(f"2024-01-0{1 + i % 3} 00:00:{i:02d}", "", str(i), "") for i in range(30)]
+    for i in range(0, 30, 10):
+        write_logs(make_logs(rows[i : i + 10]), folder)
+    done = compact_days(spark, folder, dt.date(2024, 1, 3))
+    assert done == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    files = [len(glob.glob(f"{folder}/status=ok/log_date=2024-01-0{d}/*.parquet")) for d in (1, 2, 3)]
+    assert files == [1, 1, 3]
+    assert sorted(int(r.Message) for r in read_logs(spark, folder).collect()) == list(range(30))
+    assert compact_days(spark, folder, dt.date(2024, 1, 3)) == []
+
+
+def test_compaction_that_broke_off_is_finished(spark, make_logs, folder):
+    for i in range(2):
+        write_logs(make_logs([log(i, str(i))]), folder)
+    day = f"{folder}/status=ok/log_date=2024-01-01"
+    names = files_below(spark, day)
+    spark.read.parquet(*[f"{day}/{n}" for n in names]).coalesce(1).write.parquet(f"{folder}/_compacting/2024-01-01/rows")
+    write_text(spark, f"{folder}/_compacting/2024-01-01/replaced", "\n".join(names))
+    compact_days(spark, folder, dt.date(2024, 1, 1))
+    assert sorted(r.Message for r in read_logs(spark, folder).collect()) == ["0", "1"]
+    assert len(files_below(spark, day)) == 1 and files_below(spark, f"{folder}/_compacting") == []
 
 
 def test_tail_gives_every_row_once(spark, make_logs, folder):
@@ -92,16 +159,32 @@ def test_tail_gives_every_row_once(spark, make_logs, folder):
     assert run_tail(spark, folder) == ["1", "2", "3", "4", "5", "5", "5", "late"]
 
 
-def test_tail_that_drops_late_rows(spark, make_logs, folder):
+def test_late_rows_are_flagged_and_kept(spark, make_logs, folder):
+    """Late by the newest row before, also when that one is from the future."""
+    def run():
+        rows = tail_logs(spark, f"{folder}/logs", START)
+        start_tail(rows, f"{folder}/tail", path=f"{folder}/seen", available_now=True, late_column="late").awaitTermination()
+        return sorted((r.Message, r.late) for r in spark.read.parquet(f"{folder}/seen").collect())
+
     write_logs(make_logs([log(1, "1"), log(5, "5")]), f"{folder}/logs")
-    assert run_tail(spark, folder, late="drop") == ["1", "5"]
-    write_logs(make_logs([log(3, "late"), log(5, "5"), log(6, "6"), log(6, "6")]), f"{folder}/logs")
-    assert run_tail(spark, folder, late="drop") == ["1", "5", "5", "6", "6"]
+    assert run() == [("1", False), ("5", False)]
+    write_logs(make_logs([log(3, "3"), log(5, "5b"), ("2099-01-01 00:00:00", "", "future", "")]), f"{folder}/logs")
+    write_logs(make_logs([log(6, "6")]), f"{folder}/logs")
+    assert run()[2:] == [("5", False), ("5b", False), ("6", False), ("future", False)]
+    write_logs(make_logs([log(7, "7")]), f"{folder}/logs")
+    assert ("7", True) in run() and ("3", True) in run()
 
 
 def test_tail_of_other_parquet_files(spark, make_logs, folder):
     make_logs([log(1, "1"), log(2, "2")]).write.parquet(f"{folder}/logs")
-    assert run_tail(spark, folder) == ["1", "2"]
+    assert run_tail(spark, folder, plain=True) == ["1", "2"]
+
+
+def test_tail_lists_only_days_from_its_start(spark):
+    for day in (dt.date(2024, 1, 10), dt.date(1999, 12, 31), dt.date(2000, 2, 29)):
+        glob_ = days_from(day)[1:-1].split(",")
+        for other in [day + dt.timedelta(n) for n in (-400, -31, -1, 0, 1, 22, 31, 366, 40_000)]:
+            assert any(fnmatch.fnmatch(f"log_date={other}", g) for g in glob_) == (other >= day), (day, other)
 
 
 def test_ingest_of_bodies_with_several_lines(spark, folder):
@@ -109,14 +192,29 @@ def test_ingest_of_bodies_with_several_lines(spark, folder):
     assert run_ingest(spark, folder, source_options={"wholetext": True}) == ["m"]
 
 
-def test_tail_waits_for_the_first_rows(spark, make_logs, folder):
-    write_logs(make_logs([("2023-12-31 00:00:00", "", "before the start", "")]), f"{folder}/logs")
+@pytest.mark.parametrize("there", ["absent", "empty", "old"])
+def test_tail_waits_for_the_first_rows(spark, make_logs, folder, there):
+    if there == "empty":
+        os.makedirs(f"{folder}/logs")
+    if there == "old":
+        write_logs(make_logs([("2023-12-31 00:00:00", "", "before the start", "")]), f"{folder}/logs")
     rows = tail_logs(spark, f"{folder}/logs", START)
     start_tail(rows, f"{folder}/tail", path=f"{folder}/seen", available_now=True).awaitTermination()
     write_logs(make_logs([log(1, "1")]), f"{folder}/logs")
     assert run_tail(spark, folder) == ["1"]
 
 
+def test_running_tail_started_before_the_table(spark, make_logs, folder):
+    query = start_tail(tail_logs(spark, f"{folder}/logs", START), f"{folder}/tail", path=f"{folder}/seen")
+    try:
+        query.processAllAvailable()
+        write_logs(make_logs([log(1, "1")]), f"{folder}/logs")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [r.Message for r in spark.read.parquet(f"{folder}/seen").collect()] == ["1"]
+
+
 def test_default_start_is_an_hour_ago(spark, make_logs, folder):
     now = spark.sql("SELECT cast(now() as string), cast(now() - interval 2 hours as string)").first()
     write_logs(make_logs([(now[0], "", "new", ""), (now[1], "", "old", "")]), f"{folder}/logs")
@@ -149,35 +247,47 @@ def test_running_tail_sees_new_rows_and_stops(spark, make_logs, folder):
 
 def test_options_are_checked(spark, make_logs, folder):
     write_logs(make_logs([log(1, "1")]), folder)
-    with pytest.raises(ValueError):
-        tail_logs(spark, folder, START, late="maybe")
     with pytest.raises(ValueError):
         start_tail(tail_logs(spark, folder, START), f"{folder}-p")
 
 
+def run_dedup(spark, folder):
+    rows = tail_logs(spark, f"{folder}/in", START, maxFilesPerTrigger=2)
+    start_dedup(rows, f"{folder}/logs", f"{folder}/progress", available_now=True).awaitTermination()
+    return sorted(r.Message for r in read_logs(spark, f"{folder}/logs").collect())
+
+
 def test_dedup_of_hot_copies_across_batches(spark, make_logs, folder):
     """A third of all rows are copies of one; copies also come in a later batch."""
-    def run():
-        rows = dedup_stream(tail_logs(spark, f"{folder}/logs", START))
-        start_tail(rows, f"{folder}/tail", path=f"{folder}/seen", available_now=True).awaitTermination()
-        return sorted(int(r.Message) for r in spark.read.parquet(f"{folder}/seen").collect())
-
     rows = spark.range(0, 3000, 1, 6).selectExpr(
         "timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0, if(id % 3 = 0, 0, id % 60)) Timestamp",
         "'info' Level", "cast(if(id % 3 = 0, 0, id) as string) Message", "'r' ResourceID")
-    expected = sorted({0 if i % 3 == 0 else i for i in range(3000)})
-    write_logs(rows, f"{folder}/logs")
-    assert run() == expected
-    write_logs(rows, f"{folder}/logs")
-    assert run() == expected
+    expected = sorted({"0" if i % 3 == 0 else str(i) for i in range(3000)})
+    for _ in range(2):
+        write_logs(rows, f"{folder}/in")
+        assert run_dedup(spark, folder) == expected
+
+
+def test_dedup_loses_nothing_when_clocks_differ(spark, make_logs, folder):
+    write_logs(make_logs([("2099-01-01 00:00:00", "", "future", ""), log(12, "12")]), f"{folder}/in")
+    assert run_dedup(spark, folder) == ["12", "future"]
+    write_logs(make_logs([log(11, "11"), log(12, "12"), (None, None, "no time", None)]), f"{folder}/in")
+    assert run_dedup(spark, folder) == ["11", "12", "future"]
+    write_logs(make_logs([log(1, "1"), log(1, "1"), ("2099-01-01 00:00:00", "", "future", "")]), f"{folder}/in")
+    assert run_dedup(spark, folder) == ["1", "11", "12", "future"]
 
 
-def test_streams_use_no_python(spark, make_logs, folder):
+def test_unseen_rows_compare_nulls(spark, make_logs, folder):
+    rows = make_logs([(None, None, "no time", None), log(1, "1")])
+    write_logs(rows, folder)
+    assert unseen_rows(rows.union(rows), folder).count() == 0
+    assert unseen_rows(rows, f"{folder}-absent").count() == 2
+
+
+def test_streams_use_no_python_function(spark, make_logs, folder):
     write_logs(make_logs([log(1, "1")]), f"{folder}/logs")
-    query = start_tail(tail_logs(spark, f"{folder}/logs", START, late="drop"), f"{folder}/tail", path=f"{folder}/seen", available_now=True)
-    query.awaitTermination()
-    plan = query._jsq.explainInternal(True)
-    assert "DeduplicateWithinWatermark" in plan and "Python" not in plan
+    plan = plan_of(unseen_rows(make_logs([log(1, "1")]), f"{folder}/logs"))
+    assert "Python" not in plan and "LeftAnti" in plan
 
 
 def test_stored_rows_survive_the_round_trip(spark, folder):

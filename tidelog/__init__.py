@@ -17,4 +17,5 @@ from tidelog.sources.table import (
     read_quarantine, schema_from_config,
 )
 from tidelog.streaming.ingest_stream import start_ingest, start_stream_write
-from tidelog.streaming.tail_stream import dedup_stream, drop_late, start_tail, tail_logs
+from tidelog.streaming.sink import append_once, compact_days
+from tidelog.streaming.tail_stream import days_from, flag_late, start_dedup, start_tail, tail_logs, unseen_rows

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.timestamps import DISPLAY_FORMAT, display_text, micros_text
 from tidelog.operators.ingest import REASON
-from tidelog.session import settings
-from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA, is_stream_table
+from tidelog.session import require_utc, settings
+from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA
 
 # Labels of the expanded view, by column.
 LABELS = {"Timestamp": "Timestamp", "Level": "Level", "Message": "Message", "ResourceID": "ResourceId"}
@@ -26,7 +26,8 @@ FILE_OPTIONS = {
 
 def stored_rows(rows: DataFrame) -> DataFrame:
     """Log rows in the layout of the table. Columns are chosen by name; rows that carry
-    a reason go to quarantine."""
+    a reason go to quarantine. The day is the UTC one."""
+    require_utc(rows.sparkSession)
     reason = F.col(REASON) if REASON in rows.columns else F.lit(None)
     body = F.col("body") if "body" in rows.columns else F.lit(None)
     values = {name: F.col(name) for name in LOG_COLUMNS}
@@ -47,8 +48,6 @@ def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None)
     ones; sorting by time inside a task gives row groups narrow time ranges.
     """
     spark = rows.sparkSession
-    if is_stream_table(spark, path):
-        raise ValueError(f"{path} belongs to a streaming ingest; append to it through that stream")
     stored, folder, parts = stored_rows(rows), path, [STATUS, DATE]
     if REASON not in rows.columns:
         # Only accepted rows: write below their partition. A constant partition column
@@ -76,6 +75,7 @@ def write_routed(rows: DataFrame, path: str, column: str = "route") -> None:
 
 def to_json_rows(df: DataFrame, column: str = "value") -> DataFrame:
     """One JSON object per row, the timestamp as text with microseconds."""
+    require_utc(df.sparkSession)
     fields = [
         (micros_text(F.col(name)) if name == "Timestamp" else F.col(name)).alias(name) for name in df.columns
     ]
@@ -84,6 +84,7 @@ def to_json_rows(df: DataFrame, column: str = "value") -> DataFrame:
 
 def summary_rows(df: DataFrame, tz: str = "UTC", pattern: str = DISPLAY_FORMAT) -> DataFrame:
     """Collapsed view: displayed timestamp and the whole row as JSON text."""
+    require_utc(df.sparkSession)
     fields = [micros_text(F.col("Timestamp")).alias("Timestamp"), *LOG_COLUMNS[1:]]
     return df.select(
         display_text(F.col("Timestamp"), tz, pattern).alias("shown_at"),

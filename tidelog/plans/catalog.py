@@ -17,7 +17,7 @@ from tidelog.operators.filters import between, filter_logs, from_date, latest, n
 from tidelog.operators.ingest import (
     ingest, normalize_timestamp, route_logs, split_rows, validate,
 )
-from tidelog.operators.output import expanded_rows, summary_rows, to_json_rows, write_logs
+from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages
 from tidelog.operators.tailing import next_cursor, tail_step
 from tidelog.plans.search import register_logs, search, search_sql
@@ -25,7 +25,8 @@ from tidelog.session import fresh_folder
 from tidelog.sources.bodies import extract_plaintext
 from tidelog.sources.table import conform, events_as_logs, project_logs, read_logs, schema_from_config, TABLE_CONFIG
 from tidelog.streaming.ingest_stream import start_ingest
-from tidelog.streaming.tail_stream import dedup_stream, start_tail, tail_logs
+from tidelog.streaming.sink import compact_days
+from tidelog.streaming.tail_stream import start_dedup, start_tail, tail_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +118,31 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(accepted)
 
 
+_CENTS = "CAST(floor(value * 100 + 0.5) AS BIGINT)"
+
+
+@_register(
+    "ingest_numbers",
+    f"""
+    SELECT event_id,
+           CASE WHEN c % 100 = 0 THEN (c // 100)::VARCHAR
+                WHEN c % 10 = 0 THEN (c // 100)::VARCHAR || '.' || (c % 100 // 10)::VARCHAR
+                ELSE (c // 100)::VARCHAR || '.' || lpad((c % 100)::VARCHAR, 2, '0') END AS "Level",
+           c::VARCHAR || 'e-2' AS "Message", c::VARCHAR || repeat('0', 20) AS "ResourceID"
+    FROM (SELECT event_id, {_CENTS} AS c FROM events)
+    """,
+)
+def ingest_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number with an exponent, the same characters as text beside it, and a number
+    beyond 64 bits."""
+    cents = _table(spark, sf_dir, "events").select("event_id", F.expr(_CENTS).cast("string").alias("c"))
+    body = F.format_string(
+        '{"timestamp":"2024-01-01T00:00:00Z","level":%se-2,"message":"%se-2","resourceID":%se20}', "c", "c", "c"
+    )
+    accepted, _ = ingest(cents.select("event_id", body.alias("value")))
+    return accepted.select("event_id", "Level", "Message", "ResourceID")
+
+
 @_register(
     "ingest_long_messages",
     "SELECT doc_id, lang AS \"Level\", text AS \"Message\", source AS \"ResourceID\" FROM documents",
@@ -257,6 +283,21 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_logs(_logs(spark, sf_dir, "event_id", "user_id"), rules, "archive").select("event_id", "route")
 
 
+@_register(
+    "routed_files",
+    """
+    SELECT CASE WHEN event_type = 'error' THEN 'alerts' WHEN user_id < 50 THEN 'internal' ELSE 'archive' END AS route, event_id
+    FROM events
+    """,
+)
+def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every route is written to a folder of its own and read back."""
+    path = fresh_folder(spark, "routes")
+    rules = [("alerts", F.col("Level") == "error"), ("internal", F.col("user_id") < 50)]
+    write_routed(route_logs(_logs(spark, sf_dir, "event_id", "user_id"), rules, "archive"), path)
+    return spark.read.parquet(path).select("route", "event_id")
+
+
 # Arrival time for batching: an hour of events passes in one second, so that both
 # count flushes and clock flushes occur.
 _ARRIVAL = "(epoch_us(ts) - 1704067200000000) // 3600"
@@ -320,6 +361,20 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_json_rows(project_logs(_logs(spark, sf_dir)))
 
 
+@_register("export_json", ORACLES["json_rows"])
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "export")
+    export_logs(project_logs(_logs(spark, sf_dir)), path, "json")
+    return spark.read.text(path)
+
+
+@_register("export_csv", _ROWS)
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "export")
+    export_logs(project_logs(_logs(spark, sf_dir)), path, "csv")
+    return spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+
+
 _DISPLAY = "strftime({}, '%-m/%-d/%Y, %-I:%M:%S %p')"
 
 
@@ -447,55 +502,95 @@ def _run_tail(spark: SparkSession, rows: DataFrame, checkpoint: str, path: str)
     start_tail(rows, checkpoint, path=path, available_now=True).awaitTermination()
 
 
+def _first_time(logs: DataFrame):
+    """The oldest time of the logs, where a tail over all of them starts."""
+    return logs.agg(F.min(F.col("Timestamp").cast("timestamp_ntz"))).first()[0]
+
+
+def _from_the_future(logs: DataFrame) -> DataFrame:
+    """The newest log once more, dated 75 years later, as a bad clock would send it."""
+    newest = logs.orderBy(F.col("event_id").desc()).limit(1)
+    return newest.withColumn("Timestamp", F.col("Timestamp") + F.expr("INTERVAL 75 YEARS"))
+
+
+_FUTURE = f"""
+    SELECT {_text("ts + INTERVAL 75 YEAR")} AS "Timestamp", event_type AS "Level", props AS "Message",
+           'user-' || user_id AS "ResourceID"
+    FROM events WHERE event_id = (SELECT max(event_id) FROM events)
+"""
+
+
 @_register("ingest_stream", _ROWS)
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies come in two loads of several files; the ingest takes one file per
+    micro-batch, ends after the first load and goes on after a restart."""
     folder = fresh_folder(spark, "ingest")
-    _bodies(_logs(spark, sf_dir)).write.text(f"{folder}/bodies")
-    query = start_ingest(spark, f"{folder}/bodies", f"{folder}/logs", f"{folder}/progress", available_now=True)
-    query.awaitTermination()
+    bodies = _bodies(_logs(spark, sf_dir, "user_id"), "user_id")
+    odd = F.col("user_id") % 2 == 1
+    for part in (odd, ~odd):
+        bodies.where(part).select("value").repartition(3).write.mode("append").text(f"{folder}/bodies")
+        start_ingest(
+            spark, f"{folder}/bodies", f"{folder}/logs", f"{folder}/progress", available_now=True,
+            source_options={"maxFilesPerTrigger": 1},
+        ).awaitTermination()
     return _shown(project_logs(read_logs(spark, f"{folder}/logs")))
 
 
+@_register("compact_days", _ROWS)
+def compact_days_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day is stored in pieces; the days of the first half are compacted."""
+    logs, folder = _logs(spark, sf_dir, "event_id"), fresh_folder(spark, "compact")
+    for k in range(3):
+        write_logs(logs.where(F.col("event_id") % 3 == k), folder)
+    first, last = logs.agg(F.min("Timestamp").cast("date"), F.max("Timestamp").cast("date")).first()
+    compact_days(spark, folder, first + (last - first) / 2)
+    return _shown(project_logs(read_logs(spark, folder)))
+
+
 @_register("tail_all", _ROWS)
 def tail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the levels are stored, tailed, then the rest arrives and the tail resumes
-    from its checkpoint: every row comes once."""
+    """The tail starts before there is a table; then half of the levels are stored and
+    tailed, then the rest arrives and the tail resumes: every row comes once."""
     logs, folder = _logs(spark, sf_dir), fresh_folder(spark, "tail")
-    first = F.col("Level").isin("click", "view", "error")
-    for part in (first, ~first):
-        write_logs(logs.where(part), f"{folder}/logs")
-        _run_tail(spark, tail_logs(spark, f"{folder}/logs", _START), f"{folder}/progress", f"{folder}/seen")
+    start, first = _first_time(logs), F.col("Level").isin("click", "view", "error")
+    for part in (None, first, ~first):
+        if part is not None:
+            write_logs(logs.where(part), f"{folder}/logs")
+        _run_tail(spark, tail_logs(spark, f"{folder}/logs", start), f"{folder}/progress", f"{folder}/seen")
     return _shown(spark.read.parquet(f"{folder}/seen"))
 
 
 @_register(
     "tail_late",
-    _rows_where(
-        "\"Level\" <> 'signup' OR \"Timestamp\" > (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MILLISECOND "
-        "FROM events WHERE event_type <> 'signup')"
-    ),
+    f"""
+    SELECT *, "Level" NOT IN ('click', 'view') AS late FROM ({_ROWS})
+    UNION ALL SELECT *, false FROM ({_FUTURE})
+    """,
 )
 def tail_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signups are stored after everything else was seen; a tail that drops late rows
-    shows only those newer than its cursor."""
-    logs, folder = _logs(spark, sf_dir), fresh_folder(spark, "tail")
-    late = F.col("Level") == "signup"
-    for part in (~late, late):
-        write_logs(logs.where(part), f"{folder}/logs")
-        tail = tail_logs(spark, f"{folder}/logs", _START, late="drop")
-        _run_tail(spark, tail, f"{folder}/progress", f"{folder}/seen")
+    """Clicks and views come first, then one row from the future, then all others, which
+    are late. Every row is shown, late ones with a flag."""
+    logs, folder = _logs(spark, sf_dir, "event_id"), fresh_folder(spark, "tail")
+    start, first = _first_time(logs), F.col("Level").isin("click", "view")
+    for rows in (logs.where(first), _from_the_future(logs), logs.where(~first)):
+        write_logs(rows, f"{folder}/logs")
+        tail = tail_logs(spark, f"{folder}/logs", start)
+        start_tail(tail, f"{folder}/progress", f"{folder}/seen", available_now=True, late_column="late").awaitTermination()
     return _shown(spark.read.parquet(f"{folder}/seen"))
 
 
-@_register("dedup_events", _ROWS)
+@_register("dedup_events", f"{_ROWS} UNION ALL {_FUTURE}")
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source that delivers the whole table twice."""
-    logs, folder = _logs(spark, sf_dir), fresh_folder(spark, "dedup")
-    for _ in range(2):
-        write_logs(logs, f"{folder}/logs")
-    rows = dedup_stream(tail_logs(spark, f"{folder}/logs", _START))
-    _run_tail(spark, rows, f"{folder}/progress", f"{folder}/seen")
-    return _shown(spark.read.parquet(f"{folder}/seen"))
+    """A source that delivers the whole table twice, a row from the future among it, in
+    several micro-batches whose days are out of order."""
+    logs, folder = _logs(spark, sf_dir, "event_id"), fresh_folder(spark, "dedup")
+    everything = logs.union(_from_the_future(logs))
+    write_logs(everything, f"{folder}/in")
+    write_logs(everything.where(F.col("event_id") % 2 == 0), f"{folder}/in")
+    write_logs(everything.where(F.col("event_id") % 2 == 1), f"{folder}/in")
+    rows = tail_logs(spark, f"{folder}/in", _first_time(logs), maxFilesPerTrigger=32)
+    start_dedup(rows, f"{folder}/logs", f"{folder}/progress", available_now=True).awaitTermination()
+    return _shown(project_logs(read_logs(spark, f"{folder}/logs")))
 
 
 _CURSOR_BOUND = "2024-01-15 00:00:00"
@@ -554,26 +649,36 @@ _STATEMENT_SPARK = _STATEMENT.replace("''%'", "\\'%'").replace("'%'''", "'%\\''"
 @_register(
     "small_result",
     f"""
-    SELECT "Level", "ResourceID", count(*) AS n_logs, count(*) / 100.0::DOUBLE AS share,
+    SELECT "Level", "ResourceID", count(*) AS n_logs, count(*) / sum(count(*)) OVER () AS share,
            {_text('min(ts)')} AS first_seen, {_text('max(ts)')} AS last_seen,
            count(DISTINCT "Message") AS n_messages
-    FROM (SELECT "Timestamp" AS ts, "Level", "Message", "ResourceID" FROM ({_LOGS})
-          WHERE "Level" = 'error' ORDER BY "Timestamp" DESC LIMIT 100)
+    FROM (SELECT "Timestamp" AS ts, "Level", "Message", "ResourceID" FROM ({_LOGS}) WHERE "Level" = 'error')
     GROUP BY "Level", "ResourceID"
     """,
 )
 def small_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 100 errors are few enough to come with a summary."""
+    """The summary that comes with a statement, here with all errors."""
     register_logs(_logs(spark, sf_dir))
-    sql = "SELECT * FROM logs WHERE Level = :level ORDER BY Timestamp DESC LIMIT 100"
-    return _shown(search(spark, sql, {"level": "error"}).summary)
+    return _shown(search(spark, "SELECT * FROM logs WHERE Level = :level", {"level": "error"}).summary)
 
 
-@_register("large_result", _rows_where("\"Level\" = 'error'"))
+@_register("large_result", _rows_where("\"Level\" <> 'error'"))
 def large_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All errors are too many for a summary: the rows only."""
+    """The rows of the same kind of statement."""
+    register_logs(_logs(spark, sf_dir))
+    return _shown(search(spark, "SELECT * FROM logs WHERE Level <> :level", {"level": "error"}).logs)
+
+
+@_register(
+    "sql_metadata",
+    """
+    SELECT * FROM (VALUES ('Timestamp', 'timestamp_ntz', NULL::VARCHAR), ('Level', 'string', NULL), ('Message', 'string', NULL),
+                          ('ResourceID', 'string', NULL)) AS t(col_name, data_type, comment)
+    """,
+)
+def sql_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_logs(_logs(spark, sf_dir))
-    return _shown(search(spark, "SELECT * FROM logs WHERE Level = :level", {"level": "error"}).logs)
+    return search_sql(spark, "DESCRIBE logs")
 
 
 @_register(

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.functions.json_fields import FIELD_COLUMNS
 
+# The file source skips files much older than the newest one unless told otherwise.
+ANY_AGE = "36500d"
+BATCH_BYTES = 64 << 30
+
 
 def read_log_bodies(
     spark: SparkSession,
@@ -14,10 +18,16 @@ def read_log_bodies(
     **options,
 ) -> DataFrame:
     """Text files with one body per line, as a batch or as a stream. ``options`` go to
-    the file source: ``wholetext=True`` takes a file as one body; a stream that receives
-    files with old modification times needs a longer ``maxFileAge`` than the usual week.
+    the file source: ``wholetext=True`` takes a file as one body. A stream takes files of
+    any age, and so many bytes per micro-batch that a backlog comes in pieces; what is
+    beyond them waits.
     """
-    return (spark.readStream if streaming else spark.read).format("text").options(**options).load(path)
+    if not streaming:
+        return spark.read.format("text").options(**options).load(path)
+    usual = {"maxFileAge": ANY_AGE}
+    if "maxFilesPerTrigger" not in options:
+        usual["maxBytesPerTrigger"] = BATCH_BYTES
+    return spark.readStream.format("text").options(**usual | options).load(path)
 
 
 def read_kafka_bodies(spark: SparkSession, servers: str, topic: str, streaming: bool = True) -> DataFrame:

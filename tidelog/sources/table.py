@@ -11,7 +11,7 @@ from pyspark.sql.types import (
     LongType, StringType, StructField, StructType, TimestampType,
 )
 
-from tidelog.session import path_exists
+from tidelog.session import path_exists, require_utc
 
 # The declared log table.
 TABLE_CONFIG = {
@@ -91,23 +91,18 @@ STORED_SCHEMA = StructType(
 )
 
 
-def is_stream_table(spark: SparkSession, path: str) -> bool:
-    """Whether a streaming ingest owns the table. Readers of such a table see only the
-    files its commit log names, so files that others add would stay unseen."""
-    return path_exists(spark, f"{path.rstrip('/')}/_spark_metadata")
-
-
-def is_batch_table(spark: SparkSession, path: str) -> bool:
-    """Whether batch writes filled the table."""
-    parts = [f"{path.rstrip('/')}/{STATUS}={status}" for status in (OK, QUARANTINE)]
-    return not is_stream_table(spark, path) and any(path_exists(spark, part) for part in parts)
+def is_log_table(spark: SparkSession, path: str) -> bool:
+    """Whether the folder has the layout of a log table; batch and streaming writes fill
+    the same one."""
+    return any(path_exists(spark, f"{path.rstrip('/')}/{STATUS}={status}") for status in (OK, QUARANTINE))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Scan of a log table: the four columns and the partition column ``log_date``, which
     the filters use to skip whole days. A folder of other parquet files with the four
     columns is read as it is."""
-    if not (is_batch_table(spark, path) or is_stream_table(spark, path)):
+    require_utc(spark)
+    if not is_log_table(spark, path):
         return conform(spark.read.parquet(path))
     stored = spark.read.schema(STORED_SCHEMA).parquet(path)
     return stored.where(F.col(STATUS) == OK).select(*LOG_COLUMNS, DATE)

@@ -7,9 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.batching import TICK
 from tidelog.operators.ingest import to_log_rows
-from tidelog.operators.output import FILE_OPTIONS, STORAGE, stored_rows
+from tidelog.operators.output import stored_rows
+from tidelog.session import require_utc
 from tidelog.sources.bodies import read_log_bodies
-from tidelog.sources.table import DATE, STATUS, is_batch_table
+from tidelog.sources.table import DATE, STATUS
+from tidelog.streaming.sink import append_once
 
 
 def start_stream_write(
@@ -19,39 +21,23 @@ def start_stream_write(
     trigger_seconds: float = TICK,
     available_now: bool = False,
     max_rows_per_file: int | None = None,
-    gather: bool = False,
 ) -> StreamingQuery:
-    """Append a stream of log rows to the table.
+    """Append a stream of log rows to the table, in the layout of batch writes, so that
+    both may fill one table.
+
+    A micro-batch is committed once, whatever fails. Accepted and quarantined rows leave
+    together and are told apart by partition. The rows of a day are brought together, so
+    that a micro-batch adds few files rather than one per task and day; adaptive
+    execution cuts a heavy day by size. ``compact_days`` replaces the files of finished
+    days by few large ones.
+    """
+    require_utc(rows.sparkSession)
 
-    The file sink commits a micro-batch as a whole and skips one it already has, so a
-    restart on the same checkpoint neither loses nor repeats rows. Accepted and
-    quarantined rows share the commit and are told apart by partition.
+    def append(batch: DataFrame, number: int) -> None:
+        append_once(stored_rows(batch), number, path, checkpoint, (STATUS, DATE), max_rows_per_file)
 
-    ``gather`` brings the rows of a day together, so that a micro-batch adds few files
-    rather than one per task and day; adaptive execution cuts a heavy day by size. It is
-    for streams without state, as others are not executed adaptively. Without it tasks
-    write what they read and nothing more is shuffled.
-    """
-    spark = rows.sparkSession
-    if is_batch_table(spark, path):
-        raise ValueError(f"{path} was written in batches; the stream would hide those rows")
-    stored = stored_rows(rows)
-    if gather and spark.conf.get("spark.sql.adaptive.enabled") == "true":
-        stored = stored.hint("rebalance", STATUS, DATE)
-    writer = (
-        stored.writeStream.format("parquet")
-        .partitionBy(STATUS, DATE)
-        .options(**FILE_OPTIONS)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    if max_rows_per_file:
-        writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(trigger_seconds * 1000)} milliseconds"}
-    for key, value in STORAGE.items():  # read anew by every micro-batch, so set for good
-        spark.conf.set(key, value)
-    return writer.trigger(**trigger).start()
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def start_ingest(
@@ -61,11 +47,16 @@ def start_ingest(
     checkpoint: str,
     on_bad_json: str = "quarantine",
     on_bad_ts: str = "quarantine",
+    archive: str | None = None,
     source_options: dict | None = None,
-    gather: bool = True,
     **write_options,
 ) -> StreamingQuery:
-    """Watch a folder of body files and keep the log table up to date."""
-    bodies = read_log_bodies(spark, src, streaming=True, **(source_options or {}))
+    """Watch a folder of body files and keep the log table up to date. With ``archive``,
+    a folder outside ``src``, files that were taken move there, so that listings stay
+    short."""
+    options = dict(source_options or {})
+    if archive:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
+    bodies = read_log_bodies(spark, src, streaming=True, **options)
     rows = to_log_rows(bodies, "value", on_bad_json, on_bad_ts)
-    return start_stream_write(rows, dst, checkpoint, gather=gather, **write_options)
+    return start_stream_write(rows, dst, checkpoint, **write_options)

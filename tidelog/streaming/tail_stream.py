@@ -3,69 +3,101 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.operators.filters import Bound, since
-from tidelog.sources.table import DATE, LOG_COLUMNS, LOG_SCHEMA, OK, STATUS, STORED_SCHEMA, is_batch_table, is_stream_table
+from tidelog.functions.timestamps import parse_bound
+from tidelog.operators.filters import LOOK_BACK, Bound, since
+from tidelog.operators.output import stored_rows
+from tidelog.session import files_below, require_utc, write_text
+from tidelog.sources.bodies import ANY_AGE
+from tidelog.sources.table import DATE, LOG_COLUMNS, LOG_SCHEMA, OK, STATUS, is_log_table, read_logs
+from tidelog.streaming.sink import append_once
 
 # Fixed value: how often a tail looks for new rows.
 POLL = dt.timedelta(milliseconds=1500)
 
-_SALTS = 64
 
+def days_from(day: dt.date) -> str:
+    """Glob of the day folders from ``day`` on: for every digit of the date, those that
+    begin like it and are larger there, and the day itself."""
+    text = day.isoformat()
+    found = [f"{DATE}={text}"]
+    for k, digit in enumerate(text):
+        if digit.isdigit() and digit != "9":
+            found.append(f"{DATE}={text[:k]}[{int(digit) + 1}-9]*")
+    return "{" + ",".join(found) + "}"
 
-def dedup_stream(rows: DataFrame, keys: Sequence[str] = LOG_COLUMNS, delay: str = "10 minutes", salts: int = _SALTS) -> DataFrame:
-    """Drop repeated rows of an at-least-once source that arrive within ``delay``.
 
-    Copies of one row share a key, so a row repeated very often would load one task.
-    They are first reduced per key and input split (the salt), then per key. A row that
-    comes more than ``delay`` behind the newest one of earlier micro-batches cannot be
-    compared any more and is left out, so ``delay`` must cover how far the source lags.
-    """
-    salted = rows.withWatermark("Timestamp", delay).withColumn("_salt", F.spark_partition_id() % salts)
-    reduced = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
-    return reduced.dropDuplicatesWithinWatermark(list(keys))
-
-
-def drop_late(rows: DataFrame, row_id: Sequence[str]) -> DataFrame:
-    """Drop rows older than the newest row of earlier micro-batches, as a polling tail
-    with a time cursor loses them. The cursor has millisecond precision. ``row_id``
-    tells any two rows apart: only a stateful step compares rows with the watermark, so
-    each row is its own key, spread evenly and forgotten once the watermark passes."""
-    return rows.withWatermark("Timestamp", "1 millisecond").dropDuplicatesWithinWatermark(list(row_id))
-
-
-def tail_logs(
-    spark: SparkSession,
-    path: str,
-    start: Bound | None = None,
-    late: str = "keep",
-    **options,
-) -> DataFrame:
+def tail_logs(spark: SparkSession, path: str, start: Bound | None = None, plain: bool = False, **options) -> DataFrame:
     """Streaming read of the log table from ``start`` on (default: the last hour).
 
-    Stored rows come first, then new ones; the source offsets give every row once.
-    ``late='keep'`` delivers rows that are stored later with an older timestamp,
-    ``'drop'`` leaves them out, at the price of a shuffle; do not split the stored rows
-    by ``maxFilesPerTrigger`` then, or their own order decides what is late. The default start moves with
-    the clock, so a tail that is to resume after a pause needs a fixed one. ``options``
-    go to the file source.
+    Stored rows come first, then new ones; the source offsets give every row once, late
+    ones too. The table need not be there yet. Only the accepted rows of the days from
+    the start on are listed, so that a poll costs as much as those days have files. The
+    default start moves with the clock; a tail that is to resume after a pause needs a
+    fixed one. ``plain`` tails a folder of other parquet files with the four columns.
+    ``options`` go to the file source.
     """
-    if late not in ("keep", "drop"):
-        raise ValueError(f"late must be 'keep' or 'drop', not {late!r}")
-    if is_batch_table(spark, path) or is_stream_table(spark, path):
-        stored = spark.readStream.schema(STORED_SCHEMA).options(**options).parquet(path)
-        stored = stored.where(F.col(STATUS) == OK).select(*LOG_COLUMNS, DATE, "_metadata")
-    else:
-        stored = spark.readStream.schema(LOG_SCHEMA).options(**options).parquet(path).select("*", "_metadata")
-    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    recent = since(stored, start).withColumns(place).drop("_metadata")
-    if late == "drop":
-        recent = drop_late(recent, list(place))
-    return recent.select(*LOG_COLUMNS)
+    require_utc(spark)
+    first = dt.datetime.now(dt.timezone.utc) - LOOK_BACK if start is None else parse_bound(start)
+    folder = path if plain else f"{path.rstrip('/')}/{STATUS}={OK}/{days_from(first.date())}"
+    rows = spark.readStream.schema(LOG_SCHEMA).options(**{"maxFileAge": ANY_AGE} | options).parquet(folder)
+    return since(rows, start).select(*LOG_COLUMNS)
+
+
+def _newest_before(spark: SparkSession, folder: str, number: int) -> int | None:
+    """Microseconds of the newest row of the micro-batches before ``number``. Each
+    micro-batch leaves one small file, whose name holds its number and its newest."""
+    found = [tuple(map(int, name.split("_"))) for name in files_below(spark, folder) if name.replace("_", "").replace("-", "").isdigit()]
+    return max((newest for n, newest in found if n < number), default=None)
+
+
+def flag_late(batch: DataFrame, number: int, checkpoint: str, column: str = "late") -> DataFrame:
+    """Adds whether a row is older than the newest one of earlier micro-batches, which a
+    polling tail with a time cursor would have lost. The newest times are kept beside the
+    checkpoint; no row is dropped, and a row from the future only makes others late."""
+    spark, folder = batch.sparkSession, f"{checkpoint.rstrip('/')}/newest"
+    before = _newest_before(spark, folder, number)
+    own = batch.agg(F.max(F.unix_micros("Timestamp"))).first()[0]
+    newest = max((x for x in (before, own) if x is not None), default=None)
+    if newest is not None:
+        write_text(spark, f"{folder}/{number}_{newest}", "")
+    late = F.lit(False) if before is None else F.coalesce(F.unix_micros("Timestamp") < before, F.lit(False))
+    return batch.withColumn(column, late)
+
+
+def unseen_rows(batch: DataFrame, path: str) -> DataFrame:
+    """The distinct rows of a batch that the log table does not hold yet. Copies are
+    reduced within each task first, so a row may be any share of the batch; only the days
+    of the batch are read of the table, and rows meet by day and hash."""
+    spark = batch.sparkSession
+    stored = stored_rows(batch.dropDuplicates(list(LOG_COLUMNS))).withColumn("_hash", F.xxhash64(*LOG_COLUMNS))
+    if not is_log_table(spark, path):
+        return stored.drop("_hash")
+    days = [r[0] for r in stored.select(DATE).distinct().collect()]
+    # a row without a time has no day
+    dated = F.col(DATE).isin([d for d in days if d is not None])
+    held = read_logs(spark, path).where(dated | F.col(DATE).isNull() if None in days else dated)
+    held = held.select(F.col(DATE).alias("_day"), F.xxhash64(*LOG_COLUMNS).alias("_held"), *[F.col(c).alias(f"_{c}") for c in LOG_COLUMNS])
+    same = [F.col(DATE).eqNullSafe(F.col("_day")), F.col("_hash") == F.col("_held")]
+    same += [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG_COLUMNS]
+    return stored.join(held, reduce(and_, same), "left_anti").drop("_hash")
+
+
+def start_dedup(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Append the rows of an at-least-once source to a log table that has each of them
+    once. No state and no time limit: a copy is recognised however late it comes, because
+    micro-batches are compared with the table itself."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        append_once(unseen_rows(batch, path), number, path, checkpoint, (STATUS, DATE))
+
+    return _start(rows, append, checkpoint, available_now)
 
 
 def start_tail(
@@ -74,17 +106,28 @@ def start_tail(
     path: str | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = False,
+    late_column: str | None = None,
 ) -> StreamingQuery:
     """One consumer's tail: to a parquet folder, or to ``on_batch``, which gets each new
-    batch and its number (a number may come again after a failure). Stopping the query
-    ends the tail; starting it again on the checkpoint goes on where it was."""
+    batch and its number (a number may come again after a failure; a folder gets each
+    once). ``late_column`` adds that column, see ``flag_late``. Stopping the query ends
+    the tail; starting it again on the checkpoint goes on where it was."""
     if (path is None) == (on_batch is None):
         raise ValueError("a tail needs either a path or a function")
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
-    if path is not None:
-        writer = writer.format("parquet").option("path", path)
-    else:
-        writer = writer.foreachBatch(on_batch)
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        if late_column:
+            batch = flag_late(batch, number, checkpoint, late_column)
+        if path is not None:
+            append_once(batch, number, path, checkpoint)
+        else:
+            on_batch(batch, number)
+
+    return _start(rows, deliver, checkpoint, available_now)
+
+
+def _start(rows: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver)
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{POLL // dt.timedelta(milliseconds=1)} milliseconds").start()
