@@ -56,8 +56,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     # the level if this source and those after it stay below their bounds
     level = (F.col("mix_size") - F.col("bounds_before")) / F.col("weights_from")
     free = running.withColumn("level", level).withColumn("is_free", F.col("bound") >= F.col("level") * F.col("weight"))
-    common = F.min(F.when(F.col("is_free"), F.struct(F.col("bound") / F.col("weight"), F.col("level")))).over(everything)
-    target = F.when(F.col("is_free"), common["level"] * F.col("weight")).otherwise(F.col("bound"))
+    # from the first free source on the level only falls, also among equal ones
+    common = F.max(F.when(F.col("is_free"), F.col("level"))).over(everything)
+    target = F.when(F.col("is_free"), common * F.col("weight")).otherwise(F.col("bound"))
     return free.select("m_source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 

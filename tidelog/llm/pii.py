@@ -191,7 +191,8 @@ def reliabilities(counts: Mapping[tuple[int, ...], int], rounds: int = 50) -> di
     """Probability that a candidate is personal data, by vote pattern. Labelers are taken
     to err independently; expectation maximisation starts from the mean vote and finds
     how often each says what for true and for false candidates."""
-    total = sum(counts.values())
+    if not counts:
+        return {}
     belief = {v: min(max(0.5 + sum(v) / (2 * len(v)), 0.02), 0.98) for v in counts}
     for _ in range(rounds):
         mass = [1.0 + sum(n * (1 - belief[v]) for v, n in counts.items()), 1.0 + sum(n * belief[v] for v, n in counts.items())]
@@ -208,7 +209,7 @@ def reliabilities(counts: Mapping[tuple[int, ...], int], rounds: int = 50) -> di
         for v in counts:
             odds = math.log(mass[1] / mass[0]) + sum(math.log(said[k][1][x] / said[k][0][x]) for k, x in enumerate(v))
             belief[v] = 1 / (1 + math.exp(-max(min(odds, 40.0), -40.0)))
-        if max(abs(belief[v] - old[v]) for v in counts) < 1e-6 or not total:
+        if max(abs(belief[v] - old[v]) for v in counts) < 1e-6:
             break
     return belief
 

@@ -125,7 +125,7 @@ w AS (SELECT *, [5e0, 2e0, 1e0][1 + (row_number() OVER (ORDER BY encode(source)
 r AS (SELECT *, (1.5e0 * (SELECT sum(source_size)::DOUBLE FROM t)
                  - coalesce(sum(bound) OVER (ORDER BY bound / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
                 / sum(weight) OVER (ORDER BY bound / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-f AS (SELECT arg_min(level, bound / weight) AS level FROM r WHERE bound >= level * weight),
+f AS (SELECT max(level) AS level FROM r WHERE bound >= level * weight),
 g AS (SELECT r.source, r.source_size, r.weight,
              CASE WHEN r.bound >= r.level * r.weight THEN f.level * r.weight ELSE r.bound END AS target FROM r, f),
 s AS (SELECT z.*, g.source_size, g.weight, g.target,
