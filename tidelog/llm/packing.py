@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +16,15 @@ from tidelog.llm.common import saved
 CAPACITY = 2048
 END_ID = 0
 
-# Lengths above this share of a sequence are large; so many groups of equal cardinality.
+# Lengths above a quarter of a sequence are large, so that at most three fit into one;
+# they are rounded in so many groups of equal cardinality.
 LARGE_SHARE = 4
-GROUPS = 24
+GROUPS = 256
 
 # A worker forgets its words beyond this many, and keeps none longer than this.
 _CACHE_WORDS = 500_000
 _CACHE_BYTES = 64
+_ENCODED = 4096
 _BLOCK_ROWS = 200_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,23 +32,38 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # --- tokens ---------------------------------------------------------------------------
 
-class WordIds(dict):
-    """Ids of each word as little-endian bytes. The tokenizer never joins text across
-    white space, so a document's ids are those of its words one after the other."""
+class WordIds:
+    """Ids of words as little-endian bytes. The tokenizer never joins text across white
+    space, so a document's ids are those of its words one after the other. Words not yet
+    known are encoded many at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= _CACHE_BYTES:
-            if len(self) >= _CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), _ENCODED):
+            part = words[at : at + _ENCODED]
+            found = self.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right")
+            begin = 0
+            for word, end in zip(part, ends.tolist()):
+                self.known[word] = ids[begin:end]
+                begin = end
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        words = [(text or "").encode().split() for text in texts]
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        self._learn(list(set(chain.from_iterable(words)).difference(self.known)))
+        for own in words:
+            yield b"".join(map(self.known.__getitem__, own))
+        for word in {w for own in words for w in own if len(w) > _CACHE_BYTES}:
+            self.known.pop(word)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -56,11 +73,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     width, end = 4 * capacity, np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer)
+        words = WordIds(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = b"".join([known[w] for w in (text or "").encode().split()]) + end
+            for doc, known in zip(batch.column("doc_id").to_pylist(), words.of(batch.column("text").to_pylist())):
+                ids = known + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
@@ -96,20 +113,28 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[t
     return found
 
 
-def _best_configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """Numbers of each rounded size that fill one sequence as far as possible, from what
-    is left; among equally full ones the one with the longest sizes."""
-    best: dict[int, list[int]] = {0: [0] * len(sizes)}
-    for k, size in enumerate(sizes):
-        if not left[k]:
-            continue
-        for used in sorted(best):
-            for n in range(1, min(left[k], (capacity - used) // size) + 1):
-                if used + n * size not in best:
-                    new = best[used].copy()
-                    new[k] = n
-                    best[used + n * size] = new
-    return best[max(best)]
+def _configuration(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[int]:
+    """Groups that fill one sequence: the longest size left, and the one or two further
+    ones that leave the least room. ``sizes`` fall; none is so short that four would fit."""
+    first = int(np.flatnonzero(left)[0])
+    left = left.copy()
+    left[first] -= 1
+    there = np.flatnonzero(left)[::-1]  # shortest first
+    have = sizes[there]
+    room = capacity - int(sizes[first])
+    fit = int(np.searchsorted(have, room, "right"))
+    if not fit:
+        return [first]
+    best, chosen = int(have[fit - 1]), [first, int(there[fit - 1])]
+    # with each second size the longest third one, the same only if there are two
+    second = np.arange(fit)
+    third = np.minimum(np.searchsorted(have, room - have[:fit], "right") - 1, second)
+    third = np.where((third == second) & (left[there[:fit]] < 2), third - 1, third)
+    both = np.where(third >= 0, have[:fit] + have[np.maximum(third, 0)], 0)
+    if both.max() > best:
+        k = int(both.argmax())
+        chosen = [first, int(there[k]), int(there[third[k]])]
+    return chosen
 
 
 class Plan:
@@ -171,29 +196,28 @@ class Plan:
             count -= min(count, full * per + (take - full) * (count - full * per))
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE) -> Plan:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
     """Sequences for pieces of the given lengths and numbers; only these numbers decide,
     so the work does not grow with the pieces.
 
     Large lengths are rounded up to the longest of their group of equal cardinality.
-    Configurations of the rounded sizes are chosen fullest first, each as often as its
-    groups last; then the groups' own pieces take the places, longest first, which leaves
-    the room that rounding had claimed. Small pieces, longest first, go to the sequence
-    with the least room that holds them.
+    Configurations of at most three rounded sizes are chosen, longest size first, each as
+    often as its groups last; then the groups' own pieces take the places, longest first,
+    which leaves the room that rounding had claimed. Small pieces, longest first, go to
+    the sequence with the least room that holds them.
     """
     made = Plan(capacity)
-    large = {x: n for x, n in counts.items() if x * large_share > capacity}
+    large = {x: n for x, n in counts.items() if x * LARGE_SHARE > capacity}
     if capacity in large:
         n = large.pop(capacity)
         made.place(capacity, n, made.open(n), 0)
     grouped = linear_groups(large, groups)
-    sizes = [size for size, _ in grouped]
+    sizes = np.array([size for size, _ in grouped], np.int64)
     members = [list(parts) for _, parts in grouped]
-    left = [sum(n for _, n in parts) for parts in members]
-    while any(left):
-        configuration = _best_configuration(sizes, left, capacity)
-        times = min(left[k] // n for k, n in enumerate(configuration) if n)
-        chosen = [k for k, n in enumerate(configuration) for _ in range(n)]
+    left = np.array([sum(n for _, n in parts) for parts in members], np.int64)
+    while left.any():
+        chosen = _configuration(sizes, left, capacity)
+        times = min(int(left[k]) // chosen.count(k) for k in chosen)
         # substitute the groups' own pieces: runs in which every slot has one length
         cuts = {0, times}
         queues = []
@@ -223,7 +247,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
                         offset += length
                     at += n
             made.leave(capacity - offset, first, stop - begin)
-    for length in sorted((x for x in counts if x * large_share <= capacity), reverse=True):
+    for length in sorted((x for x in counts if x * LARGE_SHARE <= capacity), reverse=True):
         made.fill_best(length, counts[length])
     return made
 
