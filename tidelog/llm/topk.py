@@ -19,6 +19,7 @@ RESOLUTIONS = (1, 4, 16)
 # Query blocks whose best scores a task holds at once.
 _HELD = 16
 _SEED = 128
+_PAIRS = 1 << 16
 _SALTS = 64
 
 _BLOCK_SCHEMA = "dim int, ids binary, data binary"
@@ -101,6 +102,18 @@ def _products(a: np.ndarray, b: np.ndarray, whole: bool) -> np.ndarray:
     return np.array([min(max(s, _LONG.min), _LONG.max) for s in sums], np.int64)
 
 
+def _mostly(open_: np.ndarray) -> bool:
+    """Whether so many pairs are open that one product of all is cheaper."""
+    return np.count_nonzero(open_) * 16 > open_.size
+
+
+def _some(open_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The open pairs, a bounded number at a time."""
+    query, row = np.nonzero(open_)
+    for at in range(0, len(query), _PAIRS):
+        yield query[at : at + _PAIRS], row[at : at + _PAIRS]
+
+
 class _Best:
     """The best ``k`` candidates so far of every query of a block."""
 
@@ -134,22 +147,26 @@ class _Best:
 
     def _search(self, found: _Vectors, begin: int, end: int) -> None:
         low = self.floor()
-        whole = self.queries.most * found.most * found.data.shape[1] < 2.0**52
-        # rounding of the bounds
-        slack = 1e-9 * self.queries.most * found.most * found.data.shape[1] + 1e-6
-        open_ = None
+        size = self.queries.most * found.most * found.data.shape[1]
+        slack = 1e-9 * size + 1e-6  # rounding of the bounds
+        open_ = np.ones((len(low), end - begin), bool)
         for mine, theirs in zip(self.queries.levels, found.levels):
-            if open_ is None:
-                open_ = np.nonzero(mine @ theirs[begin:end].T >= (low - slack)[:, None])
+            bound = (low - slack)[:, None]
+            if _mostly(open_):
+                open_ &= mine @ theirs[begin:end].T >= bound
             else:
-                left = np.einsum("ij,ij->i", mine[open_[0]], theirs[begin:end][open_[1]]) >= low[open_[0]] - slack
-                open_ = open_[0][left], open_[1][left]
-        query, row = open_[0], open_[1] + begin
-        other = self.queries.ids[query] != found.ids[row]
-        query, row = query[other], row[other]
-        scores = _products(self.queries.data[query], found.data[row], whole)
-        near = scores >= low[query]
-        self.add(query[near], found.ids[row[near]], scores[near])
+                for query, row in _some(open_):
+                    left = np.einsum("ij,ij->i", mine[query], theirs[row + begin]) >= bound[query, 0]
+                    open_[query, row] = left
+        # sums that stay whole are exact in floating point
+        whole = size < 2.0**52
+        dense = self.queries.data @ found.data[begin:end].T if whole and _mostly(open_) else None
+        for query, row in _some(open_):
+            other = self.queries.ids[query] != found.ids[row + begin]
+            query, row = query[other], row[other]
+            scores = dense[query, row].astype(np.int64) if dense is not None else _products(self.queries.data[query], found.data[row + begin], whole)
+            near = scores >= low[query]
+            self.add(query[near], found.ids[row[near] + begin], scores[near])
 
     def result(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"query_id": self.queries.ids[self.query], "vec_id": self.ids, "score": self.scores})
@@ -203,7 +220,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     # every vector block goes once to each query block; salts spread the vector blocks of
     # one query block over several tasks
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt")
-    pairs = c.join(q.select("*", salts), ["dim", "salt"])
+    pairs = c.join(q.select("*", salts).hint("merge"), ["dim", "salt"])
     found = pairs.select("number", "dim", "q_ids", "q_data", "ids", "data").mapInArrow(
         _search_blocks(k), "query_id long, vec_id long, score long"
     )
