@@ -429,7 +429,9 @@ def _warm_start(batches_: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 sizes = sizes[:WARM_DOCS]
                 yield pa.RecordBatch.from_pydict({"weights": [train(first, vocabulary, ids[: sizes.sum()], sizes).tobytes()]})
 
-    one = batches_.orderBy("batch").limit(1).mapInArrow(learn, "weights binary").collect()
+    # the batch is found by its number alone; sorting whole batches would move one per task
+    number = batches_.agg(F.min("batch")).first()[0]
+    one = batches_.where(F.col("batch") == number).mapInArrow(learn, "weights binary").collect() if number is not None else []
     return np.frombuffer(one[0]["weights"], np.float32) if one else first
 
 
