@@ -765,7 +765,7 @@ _STATEMENTS = {
             SELECT 1 FROM customer
             WHERE concat('user-', c_custkey) = l.ResourceID AND c_mktsegment = 'FURNITURE')""",
     "sql_setops": """
-        SELECT DISTINCT ResourceID FROM logs WHERE Level = 'error' AND Message LIKE '%7%'
+        SELECT DISTINCT ResourceID FROM logs WHERE Level = 'error'
         EXCEPT
         SELECT DISTINCT ResourceID FROM logs WHERE Level = 'purchase' AND Message LIKE '%8%'""",
     "sql_scalar": """
