@@ -767,7 +767,7 @@ _STATEMENTS = {
     "sql_setops": """
         SELECT DISTINCT ResourceID FROM logs WHERE Level = 'error'
         EXCEPT
-        SELECT DISTINCT ResourceID FROM logs WHERE Level = 'purchase' AND Message LIKE '%8%'""",
+        SELECT DISTINCT ResourceID FROM logs WHERE Level = 'purchase' AND Message LIKE '%88%'""",
     "sql_scalar": """
         SELECT upper(Level) AS shouted, length(Message) AS size, substring(ResourceID, 6) AS suffix,
                extract(day FROM "Timestamp") AS day, count(*) AS n
