@@ -10,7 +10,7 @@ import pytest
 
 from tests.llm.conftest import doc
 from tidelog.llm.near_dups import components, drop_near_duplicates, near_duplicates, shingle_set, _WordHash
-from tidelog.llm.substring import dedup_spans, sentence_places, sentences
+from tidelog.llm.substring import CUT_WORDS, dedup_spans, sentence_places, sentences
 
 
 def shingles(text, width):
@@ -163,3 +163,29 @@ def test_sentence_places_agree_with_sentences():
         text = "".join(rng.choice(["a", "b.", "C!", " ", "  ", "\n", "\t", "é?", "\x0b", "word ", ". "]) for _ in range(rng.randint(0, 90)))
         places = sentence_places(text)
         assert [text[a:b].encode().lower().split() for a, b in places] == sentences(text)
+
+
+def test_long_passages_are_found_wherever_they_start(frame):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(n))
+    passage = words(60)
+    rows = [doc(0, f"{words(30)} {passage} {words(30)}")]
+    rows += [doc(1 + k, f"{words(30 + k)} {passage} {words(20)}") for k in range(16)]
+    rows += [doc(20, words(200))]
+    found = {r["doc_id"]: r for r in dedup_spans(frame(rows)).collect()}
+    assert all(found[i]["copied_from"][0] == 0 and found[i]["n_removed"] > 0 for i in range(1, 17))
+    assert found[0]["n_removed"] == found[20]["n_removed"] == 0
+
+
+def test_cuts_inside_a_passage_do_not_depend_on_its_surroundings():
+    rng = random.Random(9)
+    for _ in range(200):
+        size = rng.choice([3, 200])  # few words make ties
+        words = lambda n: [f"w{rng.randrange(size)}" for _ in range(n)]
+        passage, cuts = words(50), []
+        for before in (rng.randint(0, 40), rng.randint(0, 40)):
+            text = words(before) + passage + words(rng.randint(20, 40))  # none of the cut before the end
+            ends = np.cumsum([len(s) for s in sentences(" ".join(text))])
+            cuts.append({e - before for e in ends if CUT_WORDS <= e - before <= 50 - CUT_WORDS})
+            assert max(np.diff([0, *ends])) <= CUT_WORDS
+        assert cuts[0] == cuts[1]
