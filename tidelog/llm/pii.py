@@ -38,7 +38,7 @@ _NEEDED = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9](?:[ -]?[0-9]){12}
 MORE_PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?{_LABEL}++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?{_LABEL}++)++",
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,128}+=*+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+=*+(?![A-Za-z0-9_/+-])",
 }
 _MORE_NEEDED = {"email": "[(\\[](?:at|AT)[)\\]]", "phone": "[0-9]{3}[ .-][0-9]{4}", "secret": "[0-9]"}
 
@@ -61,6 +61,8 @@ WORDS_AGAINST = r"(?i)(version|isbn|doi|page|chapter|order no|checksum|sha-?[0-9
 
 LABELERS = ("regex", "gazetteer", "context", "shape")
 FEATURES = ("length", "variety", "digits", "quoted", "told")
+# What the span classifier sees.
+INPUTS = (*FEATURES, *LABELERS)
 
 _MARK, _OTHER = "\u0001", "\u0002"
 
@@ -215,10 +217,10 @@ def reliabilities(counts: Mapping[tuple[int, ...], int], rounds: int = 50) -> di
 
 
 def train_spans(cells: Iterable[tuple[tuple[int, ...], float, int]], rounds: int = 300, decay: float = 1e-3) -> dict[tuple[str, int], float]:
-    """Logistic weights by (feature, value) from cells of ``values of the features,
+    """Logistic weights by (feature, value) from cells of ``values of the inputs,
     belief, count``; the entry ("", 0) is the intercept. Gradient steps with a rate per
     weight, on counts scaled to one."""
-    rows = [([("", 0), *[(f, x) for f, x in zip(FEATURES, values)]], belief, n) for values, belief, n in cells]
+    rows = [([("", 0), *[(f, x) for f, x in zip(INPUTS, values)]], belief, n) for values, belief, n in cells]
     total = sum(n for *_, n in rows) or 1
     weights = {key: 0.0 for keys, _, _ in rows for key in keys} | {("", 0): 0.0}
     speed = dict.fromkeys(weights, 1e-8)
@@ -240,7 +242,7 @@ def _span_odds(weights: Mapping[tuple[str, int], float]) -> Callable[[Column], C
 
     def odds(x: Column) -> Column:
         total = F.lit(weights[("", 0)])
-        for feature in FEATURES:
+        for feature in INPUTS:
             own = {v: w for (f, v), w in weights.items() if f == feature}
             part = F.lit(0.0)
             for value, weight in own.items():
@@ -287,15 +289,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
             counts[votes] = counts.get(votes, 0) + c["n"]
         belief = reliabilities(counts)
         odds[kind] = _span_odds(
-            train_spans((tuple(c[f] for f in FEATURES), belief[tuple(c[n] for n in LABELERS)], c["n"]) for c in own)
+            train_spans((tuple(c[f] for f in INPUTS), belief[tuple(c[n] for n in LABELERS)], c["n"]) for c in own)
         )
 
     def accepted(x: Column) -> Column:
-        # the classifier decides where at least one labeler speaks for and none against
-        opinions = [x[n] for n in LABELERS]
-        agreed = reduce(or_, [o > 0 for o in opinions]) & ~reduce(or_, [o < 0 for o in opinions])
-        chosen = reduce(or_, [(x["kind"] == kind) & (odd(x) > 0) for kind, odd in odds.items()])
-        return x["base"] | (agreed & chosen)
+        # the votes are among the classifier's inputs: no labeler has a veto
+        return x["base"] | reduce(or_, [(x["kind"] == kind) & (odd(x) > 0) for kind, odd in odds.items()])
 
     base = F.filter("found", lambda x: x["base"])
     kinds = F.transform(base, lambda x: x["kind"])
