@@ -183,6 +183,15 @@ def test_compiled_rules_equal_the_matrix(spark):
     assert len(rules) < 200
 
 
+def test_rules_of_late_trees_are_weighed(monkeypatch):
+    x = np.random.RandomState(4).rand(2000, len(FEATURES))
+    last = ((0, 0.5, True),)
+    noise = [((1 + k % 11, 0.02 + 0.0025 * k, True),) for k in range(380)]
+    monkeypatch.setattr("tidelog.llm.quality.tree_rules", lambda x, y: [*noise, last])
+    weights = dict(fit_rules(x, (x[:, 0] > 0.5).astype(float))[0])
+    assert weights[last] == max(weights.values()) > 1
+
+
 def test_lasso_drops_noise():
     rng = np.random.RandomState(0)
     a = rng.randint(0, 2, (3000, 30)).astype(np.float32)

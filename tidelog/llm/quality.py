@@ -17,7 +17,6 @@ TRAIN_ROWS = 20_000
 TREES = 40
 DEPTH = 3
 BINS = 32
-MAX_RULES = 250
 LASSO = 2e-4
 THRESHOLD = 0.3
 
@@ -168,7 +167,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[list[tuple[Rule, float]], f
     seen, keep = set(), []
     for r in range(len(rules)):
         column = a[:, r].tobytes()
-        if 0.002 < a[:, r].mean() < 0.998 and column not in seen and len(keep) < MAX_RULES:
+        if 0.002 < a[:, r].mean() < 0.998 and column not in seen:
             seen.add(column)
             keep.append(r)
     w, b = lasso_logistic(a[:, keep], y)
