@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm.common import table
+from tidelog.llm.conversation_repair import damage, in_order, repair_report
 from tidelog.llm.line_dedup import dedup_lines
 from tidelog.llm.line_rules import line_rules
 from tidelog.llm.mixing import mix
 from tidelog.llm.near_dups import near_duplicates
 from tidelog.llm.packing import pack
+from tidelog.llm.piece_codec import decode_pieces, encode_pieces
 from tidelog.llm.pii import find_pii
 from tidelog.llm.quality import classify
 from tidelog.llm.rnn_lm import score_texts
 from tidelog.llm.substring import dedup_spans
 from tidelog.llm.topk import top_k
+from tidelog.llm.whitening import by_component, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,3 +207,41 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_gated_rnn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every text under word counts and under the recurrent model."""
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+# --- 11, SentencePiece ids ------------------------------------------------------------------------
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_register("op11_piece_codec")
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document, of the bytes they stand for and of the text
+    they give back."""
+    model = piece_model_path()
+    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    joined = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), joined("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), joined("ends").alias("ends_sha256"),
+    )
+
+
+# --- 12, conversations --------------------------------------------------------------------------
+
+@_register("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, in_order(damage(conversations)))
+
+
+# --- 13, whitening --------------------------------------------------------------------------------
+
+@_register("op13_qdwh_whitening")
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight strongest components, at unit variance."""
+    return by_component(whiten(table(spark, sf_dir, "embeddings")))
