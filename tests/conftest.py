@@ -41,7 +41,3 @@ def make_logs(spark):
         return df.withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
 
     return make
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

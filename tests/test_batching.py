@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from tidelog import assign_batches, batch_sizes
 from tidelog.session import files_below
 

@@ -6,7 +6,7 @@ from tidelog import (
     between, conform, events_as_logs, filter_logs, from_date, latest, next_cursor, project_logs, read_logs,
     schema_from_config, since, tail_step, write_logs, TABLE_CONFIG,
 )
-from conftest import plan_of
+from plan_text import plan_of
 
 ROWS = [
     ("2024-01-01 10:00:00", "info", "start", "a"),

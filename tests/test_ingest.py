@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import extract_fields, extract_plaintext, ingest, route_logs, to_log_rows, validate, write_routed
-from conftest import plan_of
+from plan_text import plan_of
 
 LEVELS = {
     '{"level":"x"}': "x",

@@ -12,7 +12,7 @@ from tidelog import (
 from tidelog.functions.timestamps import micros_text
 from tidelog.sources.table import is_log_table
 from tidelog.session import settings
-from conftest import plan_of
+from plan_text import plan_of
 
 ROWS = [
     ("2024-01-01 15:04:05.000006", "error", 'say "hi"\n', "a"),

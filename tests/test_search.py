@@ -7,7 +7,7 @@ from tidelog import (
 from tidelog.functions.readonly import assert_plan_inside
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
-from conftest import plan_of
+from plan_text import plan_of
 
 ACCEPTED = [
     "SELECT * FROM logs", "show tables", "describe logs", "explain select 1",

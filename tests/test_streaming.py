@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from tidelog import (
     append_once, compact_days, days_from, project_logs, read_logs, read_quarantine, start_dedup, start_ingest,
     start_tail, tail_logs, unseen_rows, write_logs,
