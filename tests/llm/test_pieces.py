@@ -87,4 +87,6 @@ def test_query(spark, model):
     assert len(rows) == len(texts)
     for r in rows:
         ids = model.encode(texts[r["doc_id"]])
-        assert tuple(r)[1:4] == (len(ids), digest(",".join(map(str, ids))), digest(model.decode(ids)))
+        assert tuple(r)[1:] == (
+            len(ids), digest(",".join(map(str, ids))), digest(model.decode(ids)), len(texts[r["doc_id"]].encode())
+        )

@@ -26,7 +26,7 @@ COLUMNS = {
     "op8": "query_id rank vec_id score",
     "op9": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op10": "doc_id size source_size target taken position",
-    "op11": "doc_id n_tokens ids_sha256 decoded_sha256 ends_sha256",
+    "op11": "doc_id n_tokens ids_sha256 decoded_sha256 n_bytes",
     "op12": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op13": "vec_id component n deviation whitened explained identity_error",
 }

@@ -9,7 +9,7 @@ every piece to a span of original bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,20 +202,19 @@ class PieceCodec:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, and first and last original byte (exclusive) of every piece, per text."""
         normal = [self.normalizer.of((text or "").encode()) for text in texts]
-        found = self.merges.encode([n.decode() for n, _ in normal], num_threads=1)
-        for own, (data, places) in zip(found, normal):
-            ids = np.array(own, np.int32)
+        found = self.merges.encode([data for data, _ in normal], num_threads=1, return_type="numpy")
+        for ids, (data, places) in zip(found, normal):
             ends = np.cumsum(self._widths(ids), dtype=np.int64)
             if int(ends[-1] if len(ends) else 0) != len(data):
                 raise ValueError("the pieces do not cover the normalised text")
             begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ids)]
             yield ids, places[begins], places[ends]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.model.decode(ids) if ids else []
 
 
-def _portions(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
+def _portions(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
     """Runs ``(first, end)`` of rows, each of about ``_PORTION`` or one large row."""
     first = total = end = 0
     for end, size in enumerate(sizes, 1):
@@ -271,12 +270,14 @@ def decode_pieces(pieces: DataFrame, model: str, column: str = "ids", into: str
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
         for batch in batches:
-            counts = (0 if n is None else 4 * n for n in pa.compute.list_value_length(batch.column(column)).to_pylist())
-            for first, end in _portions(counts):
+            sizes = batch.column(column).value_lengths().fill_null(0).to_pylist()
+            for first, end in _portions(4 * n for n in sizes):
                 part = batch.slice(first, end - first)
-                ids = part.column(column).to_pylist()
-                texts = iter(codec.decode([i for i in ids if i is not None]))
-                shown = pa.array([None if i is None else next(texts) for i in ids], pa.string())
+                ids = part.column(column)
+                values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                lengths = ids.value_lengths().drop_null().to_numpy(zero_copy_only=False)
+                texts = iter(codec.decode(np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []))
+                shown = pa.array([next(texts) if there else None for there in ids.is_valid().to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, shown], names=[*part.schema.names, into])
 
     return pieces.mapInArrow(decode, f"{schema}, `{into}` string")

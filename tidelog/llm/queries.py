@@ -219,14 +219,15 @@ def piece_model_path() -> str:
 
 @_register("op11_piece_codec")
 def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids of every document, of the bytes they stand for and of the text
-    they give back."""
+    """Digests of the ids of every document and of the text they give back, and how many
+    of its bytes they cover."""
     model = piece_model_path()
     coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
-    joined = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), joined("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), joined("ends").alias("ends_sha256"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
     )
 
 
