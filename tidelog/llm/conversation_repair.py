@@ -28,6 +28,9 @@ DAMAGE_KINDS = 20
 # Rows of a chunk, as a power of two.
 CHUNK_BITS = 12
 
+# Rows that a task gathers before it hands them on.
+_RESULTS = 1 << 14
+
 # States of the grammar ``(s?(ua)+)?``: nothing yet, after the system row, after a user
 # row, after an assistant row. A conversation may end in the first and in the last.
 _START, _SYSTEM, _USER, _ASSISTANT = range(4)
@@ -319,41 +322,39 @@ def least_edits(rows: DataFrame) -> DataFrame:
     states = saved(_run(costs, _guess_states, names, ["entered", "left"], "entered string, left string"), "states")
     states = _fix_up(states, "before", "entered", "left", _rerun_states, "states")
 
+    names = ["conv_id", "pos", "kind", "code", "inserted", "edit", "role"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar()
         for batch in batches:
+            found: list[tuple] = []
             for row in batch.to_pylist():
-                codes, state = row["codes"], int(row["entered"])
+                codes, state, conv_id = row["codes"], int(row["entered"]), row["conv_id"]
                 at = (row["chunk"] << CHUNK_BITS) + row["first"]
-                inserted, edits, roles = [], [], []
                 for code, vector in zip(codes, grammar.vectors_of(codes, _read(grammar, row["end"]))):
-                    if code & _FORCED:
-                        before, edit = "", "D"
-                    else:
+                    before, edit = "", "D"
+                    if not code & _FORCED:
                         before, edit, state = grammar.pick(vector, code, state)
-                    inserted.append(before)
-                    edits.append(edit)
-                    roles.append(_ROLE[state] if edit == "R" else None)
-                kinds, places, numbers = [_EDIT] * len(codes), list(range(at, at + len(codes))), list(codes)
+                    found.append((conv_id, at, _EDIT, code, before, edit, _ROLE[state] if edit == "R" else None))
+                    at += 1
                 if row["after"] is None:
-                    kinds.append(_TAIL)
-                    places.append(at + len(codes) - 1)
-                    numbers.append(None)
-                    inserted.append(grammar.tail(state))
-                    edits.append("")
-                    roles.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["conv_id"]] * len(kinds), pa.int64()), pa.array(places, pa.int64()),
-                        pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()),
-                        pa.array(inserted), pa.array(edits), pa.array(roles, pa.string()),
-                    ],
-                    names=["conv_id", "pos", "kind", "code", "inserted", "edit", "role"],
-                )
+                    found.append((conv_id, at - 1, _TAIL, None, grammar.tail(state), "", None))
+                if len(found) >= _RESULTS:
+                    yield _batch(found, names, types)
+            if found:
+                yield _batch(found, names, types)
 
     return states.mapInArrow(trace, "conv_id long, pos long, kind int, code int, inserted string, edit string, role string")
 
 
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """The gathered rows, of which none are left."""
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    rows.clear()
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 # --- results --------------------------------------------------------------------------------
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -436,7 +437,6 @@ class _Digest:
         )
 
 
-_RESULTS = 1024
 DIGEST_SCHEMA = (
     "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 )
@@ -464,12 +464,6 @@ def repair_report(conversations: DataFrame, ordered: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row, done = None, None, []
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*done))
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
         for batch in batches:
             values = [batch.column(c).to_pylist() for c in ("conv_id", "kind", "turn", "role", "text", "code", "inserted", "edit")]
             for conv_id, kind, turn, role, text, code, inserted, edit in zip(*values):
@@ -485,10 +479,10 @@ def repair_report(conversations: DataFrame, ordered: DataFrame) -> DataFrame:
                         own.fault(code, row[1])
                     own.edit(edit, inserted, code, role, row)
             if len(done) >= _RESULTS:
-                yield out()
+                yield _batch(done, names, types)
         if own:
             done.append(own.result())
         if done:
-            yield out()
+            yield _batch(done, names, types)
 
     return records.mapInArrow(digest, DIGEST_SCHEMA)
