@@ -160,10 +160,21 @@ def test_long_conversations_in_many_chunks(spark, monkeypatch, seed):
 
 
 def test_one_conversation_of_copies(spark, monkeypatch):
-    """A run of copies changes no cost, so vectors pass through its chunks."""
+    """Copies must go and take no part in the passes, however many parts they fill."""
     monkeypatch.setattr(conversation_repair, "CHUNK_BITS", 2)
+    passes = []
+    over = conversation_repair._Pass.over
+    monkeypatch.setattr(conversation_repair._Pass, "over", lambda self, df: passes.append(self.towards) or over(self, df))
     rows = [(1, 0, "user", "Hello.")] + [(1, 7, "assistant", "Same.")] * 200 + [(1, 9, "user", "no end"), (1, 10, "user", "End.")]
     assert report(spark.createDataFrame(rows, SCHEMA).repartition(4)) == plain(rows)
+    assert len(passes) <= 4
+
+
+def test_parts_without_convergence(spark, monkeypatch):
+    """Cut rows keep differences alive; the vector still gets through all parts."""
+    monkeypatch.setattr(conversation_repair, "CHUNK_BITS", 2)
+    rows = [(1, k, ["user", "assistant"][k % 3 == 0], f"t{k}") for k in range(150)] + [(1, 200, "assistant", "A."), (1, 201, "user", "b")]
+    assert report(spark.createDataFrame(rows, SCHEMA).repartition(4)) == plain(rows)
 
 
 def test_vectors_converge():

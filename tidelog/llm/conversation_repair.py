@@ -1,21 +1,23 @@
 """Conversations repaired at least cost, by a parallel Viterbi with rank convergence.
 
-The rows of a conversation are cut into chunks. A chunk's costs to the end start from a
-speculative vector, one cost per state of the grammar of roles; only differences within
-a vector matter, as a constant never changes a choice. Fix-up passes hand every chunk the
-vector its successor came to and run it again from its end until the old and the new
-vector differ by a constant only; from there on nothing changes. The stitched costs then
-lead the tracing of the least audit, which runs over the same chunks in the other
-direction and is fixed up in the same way.
+The rows of a conversation lie in chunks, and its chunks in one or more parts. The costs
+to the end start in every part from a speculative vector, one cost per state of the
+grammar of roles; only differences within a vector matter, as a constant never changes a
+choice. Fix-up passes hand a part the vector its successor came to and run its chunks
+again until the old and the new vector differ by a constant only; from there on nothing
+changes. The stitched costs then lead the tracing of the least audit, which runs over the
+same chunks in the other direction and is fixed up in the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelog.llm.common import SPACE, saved
 
@@ -25,8 +27,8 @@ REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 # Kinds of damage by remainder.
 DAMAGE_KINDS = 20
 
-# Rows of a chunk, as a power of two.
-CHUNK_BITS = 12
+# Rows of a chunk, and chunks of a part, as powers of two.
+CHUNK_BITS, PART_BITS = 12, 33
 
 # Rows that a task gathers before it hands them on.
 _RESULTS = 1 << 14
@@ -45,6 +47,7 @@ _CUT, _FORCED, _FIRST = 4, 8, 16
 
 # Kinds of records while rows and edits are brought together.
 _MARKER, _ROW, _EDIT, _TAIL = range(4)
+_BEYOND = 2**63 - 1
 
 
 # --- the grammar ------------------------------------------------------------------------
@@ -118,21 +121,19 @@ class Grammar:
         """Roles inserted at the end."""
         return {_START: "", _SYSTEM: "ua", _USER: "a", _ASSISTANT: ""}[state]
 
-    # a chunk: its rows' codes; rows that must go change no vector and no state
+    # a chunk: the codes of its rows
 
     def vectors_of(self, codes: bytes, end: int) -> list[int]:
         """For each row the vector after it."""
         found, vector = [0] * len(codes), end
         for at in range(len(codes) - 1, -1, -1):
             found[at] = vector
-            if not codes[at] & _FORCED:
-                vector = self.back(vector, codes[at])
+            vector = self.back(vector, codes[at])
         return found
 
     def first_vector(self, codes: bytes, end: int) -> int:
         for code in reversed(codes):
-            if not code & _FORCED:
-                end = self.back(end, code)
+            end = self.back(end, code)
         return end
 
     def again(self, codes: bytes, old_end: int, old_first: int, end: int) -> int:
@@ -140,14 +141,12 @@ class Grammar:
         for code in reversed(codes):
             if old_end == end:
                 return old_first
-            if not code & _FORCED:
-                old_end, end = self.back(old_end, code), self.back(end, code)
+            old_end, end = self.back(old_end, code), self.back(end, code)
         return end
 
     def last_state(self, codes: bytes, end: int, state: int) -> int:
         for code, vector in zip(codes, self.vectors_of(codes, end)):
-            if not code & _FORCED:
-                state = self.pick(vector, code, state)[2]
+            state = self.pick(vector, code, state)[2]
         return state
 
 
@@ -188,14 +187,10 @@ def in_order(rows: DataFrame) -> DataFrame:
     return saved(ordered.withColumn("pos", F.monotonically_increasing_id()), "turns")
 
 
-def _chunk(pos: Column | str) -> Column:
-    return F.shiftright(pos, CHUNK_BITS)
-
-
-def _codes(rows: DataFrame) -> DataFrame:
-    """``conv_id, chunk, first, codes``: a byte for every row of a chunk. First rows of
-    their kind are found by the least number per role and text, and come to the chunk as
-    records of their own, so that no row is joined by a frequent role and text."""
+def _faults(rows: DataFrame) -> DataFrame:
+    """``conv_id, pos, code``. The first row of its kind is found by the least number per
+    role and text, and meets its own code by number, so that no row is joined by a
+    frequent role and text."""
     solid = "[^\\x20\\x09-\\x0D]"
     initial = F.substring("role", 1, 1)
     role = F.when(initial == "s", _S).when(initial == "u", _U).when(initial == "a", _A).otherwise(_OTHER)
@@ -205,26 +200,47 @@ def _codes(rows: DataFrame) -> DataFrame:
     coded = rows.select("conv_id", "pos", code.cast("int").alias("code"), "role", F.sha2("text", 256).alias("text"))
     first = coded.groupBy("conv_id", "role", "text").agg(F.min("pos").alias("pos"))
     records = coded.select("conv_id", "pos", "code").unionAll(first.select("conv_id", "pos", F.lit(_FIRST).alias("code")))
-    found = records.groupBy("conv_id", _chunk("pos").alias("chunk")).agg(
-        F.collect_list(F.struct((F.col("pos") - F.shiftleft(_chunk("pos"), CHUNK_BITS)).cast("int").alias("at"), "code")).alias("found")
-    )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = records.groupBy("pos").agg(F.max("conv_id").alias("conv_id"), F.bit_or("code").alias("code"))
+    forced = F.col("code").bitwiseAND(_FIRST) == 0
+    return met.select("conv_id", "pos", F.when(forced, F.col("code").bitwiseOR(_FORCED)).otherwise(F.col("code")).alias("code"))
+
+
+def _chunks(faults: DataFrame) -> DataFrame:
+    """``conv_id, part, chunk, codes, places``: the rows that may stay, in order, at most
+    ``2 ** CHUNK_BITS`` of a conversation in a chunk. Rows that must go change no cost;
+    were they in the chunks, vectors would pass through a long run of copies unchanged."""
+    live = faults.where(F.col("code").bitwiseAND(_FORCED) == 0).repartitionByRange("pos").sortWithinPartitions("pos")
+    most = 1 << CHUNK_BITS
+    names = ["conv_id", "part", "chunk", "codes", "places"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        done: list[tuple] = []
+        codes, places, own, number = bytearray(), [], None, 0
         for batch in batches:
-            firsts, codes = [], []
-            for found in batch.column("found").to_pylist():
-                first = min(r["at"] for r in found)
-                own = bytearray(max(r["at"] for r in found) - first + 1)
-                for r in found:
-                    own[r["at"] - first] |= r["code"]
-                codes.append(bytes(c if c & _FIRST else c | _FORCED for c in own))
-                firsts.append(first)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(firsts, pa.int32()), pa.array(codes, pa.binary())],
-                names=["conv_id", "chunk", "first", "codes"],
-            )
-
-    return found.mapInArrow(join, "conv_id long, chunk long, first int, codes binary")
+            for conv_id, pos, code in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "pos", "code"))):
+                if codes and (conv_id != own or len(codes) == most):
+                    done.append((own, part, part << PART_BITS | number, bytes(codes), places))
+                    codes, places, number = bytearray(), [], number + 1
+                own = conv_id
+                codes.append(code)
+                places.append(pos)
+            if sum(len(row[3]) for row in done) >= _RESULTS:
+                yield _batch(done, names, types)
+        if codes:
+            done.append((own, part, part << PART_BITS | number, bytes(codes), places))
+        if done:
+            yield _batch(done, names, types)
+
+    return live.mapInArrow(gather, "conv_id long, part long, chunk long, codes binary, places array<long>")
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """The gathered rows, of which none are left."""
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    rows.clear()
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _linked(chunks: DataFrame) -> DataFrame:
@@ -232,17 +248,16 @@ def _linked(chunks: DataFrame) -> DataFrame:
     none. Chunks are numbered through within a part; the first one of a part follows the
     last one of the part before it that has rows. There are as many parts as the session
     has shuffle partitions, at most."""
-    part = F.shiftright("chunk", 33 - CHUNK_BITS)
     order = Window.orderBy("part")
-    parts = chunks.groupBy(part.alias("part")).agg(F.max("chunk").alias("last")).select(
+    parts = chunks.groupBy("part").agg(F.max("chunk").alias("last")).select(
         "part", "last",
-        F.shiftleft(F.lead("part").over(order), 33 - CHUNK_BITS).alias("following"),
+        F.shiftleft(F.lead("part").over(order), PART_BITS).alias("following"),
         F.lag("last").over(order).alias("leading"),
     )
-    placed = chunks.join(F.broadcast(parts), part == F.col("part"))
     after = F.when(F.col("chunk") < F.col("last"), F.col("chunk") + 1).otherwise(F.col("following"))
-    before = F.when(F.col("chunk") > F.shiftleft("part", 33 - CHUNK_BITS), F.col("chunk") - 1).otherwise(F.col("leading"))
-    placed = placed.withColumns({"after": after, "before": before}).drop("part", "last", "following", "leading")
+    before = F.when(F.col("chunk") > F.shiftleft("part", PART_BITS), F.col("chunk") - 1).otherwise(F.col("leading"))
+    placed = chunks.join(F.broadcast(parts), "part").withColumns({"after": after, "before": before})
+    placed = placed.drop("last", "following", "leading")
     there = chunks.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"))
     for side in ("after", "before"):
         same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col(side) == F.col("_chunk"))
@@ -252,76 +267,95 @@ def _linked(chunks: DataFrame) -> DataFrame:
 
 # --- passes over the chunks --------------------------------------------------------------
 
-def _run(chunks: DataFrame, function: Callable[[Grammar, dict], tuple], columns: list[str], names: list[str], schema: str) -> DataFrame:
-    """Applies ``function`` to every chunk; its values become the columns ``names``."""
-    types = [f.dataType.simpleString() for f in chunks.select(*columns).schema.fields]
-    kept = ", ".join(f"{c} {t}" for c, t in zip(columns, types))
+class _Pass(NamedTuple):
+    """Chunks run in order, each from what its neighbour ``towards`` has come to. At the
+    end of a part that is what the part beyond has told, or a guess."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar()
-        for batch in batches:
-            found = [function(grammar, row) for row in batch.to_pylist()]
-            made = [pa.array(list(v), pa.string()) for v in (zip(*found) if found else [()] * len(names))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, *names])
+    towards: str
+    given: str
+    got: str
+    guess: Callable[[dict], str]
+    run: Callable[[Grammar, dict, str], str]
+    again: Callable[[Grammar, dict, str], str]
+
+    def over(self, chunks: DataFrame) -> DataFrame:
+        order = F.col("chunk").desc() if self.towards == "after" else F.col("chunk")
+        columns = [c for c in chunks.columns if c not in (self.given, self.got, "_told")]
+        known = self.got in chunks.columns
+        dealt = chunks.repartition("part").sortWithinPartitions("part", order)
+        kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*columns).schema.fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grammar, last = Grammar(), (None, "")
+            for batch in batches:
+                given, got = [], []
+                for row in batch.to_pylist():
+                    told = row["_told"] if known else self.guess(row)
+                    if row[self.towards] is not None and row[self.towards] == last[0]:
+                        told = last[1]
+                    value = self.again(grammar, row, told) if known else self.run(grammar, row, told)
+                    last = row["chunk"], value
+                    given.append(told)
+                    got.append(value)
+                made = [pa.array(given, pa.string()), pa.array(got, pa.string())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, self.given, self.got])
+
+        return dealt.mapInArrow(run, f"{kept}, {self.given} string, {self.got} string")
 
-    return chunks.mapInArrow(run, f"{kept}, {schema}")
+    def until_stitched(self, chunks: DataFrame) -> DataFrame:
+        """Passes until every chunk has run from what its neighbour has come to."""
+        chunks = saved(self.over(chunks), "pass")
+        while True:
+            told = chunks.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"), F.col(self.got).alias("_told"))
+            same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col(self.towards) == F.col("_chunk"))
+            heard = chunks.join(told, same, "left").drop("_conv", "_chunk").withColumn("_told", F.coalesce("_told", self.given))
+            if heard.where(F.col("_told") != F.col(self.given)).isEmpty():
+                return chunks
+            chunks = saved(self.over(heard), "pass")
 
 
-def _fix_up(chunks: DataFrame, towards: str, given: str, got: str, rerun: Callable[[Grammar, dict], tuple], label: str) -> DataFrame:
-    """Hands every chunk what its neighbour ``towards`` has come to, until all have worked
-    with what their neighbours have. Only chunks that were given something else run."""
-    columns = [c for c in chunks.columns if c not in (given, got)]
-    while True:
-        told = chunks.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"), F.col(got).alias("_told"))
-        same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col(towards) == F.col("_chunk"))
-        heard = chunks.join(told, same, "left").drop("_conv", "_chunk")
-        heard = heard.withColumn("_told", F.coalesce("_told", given))
-        if heard.where(F.col("_told") != F.col(given)).isEmpty():
-            return chunks
-        chunks = saved(_run(heard, rerun, columns, [given, got], f"{given} string, {got} string"), label)
+def _first_vector(grammar: Grammar, row: dict, end: str) -> str:
+    return _shown(grammar.vectors[grammar.first_vector(row["codes"], _read(grammar, end))])
 
 
-def _speculate(grammar: Grammar, row: dict) -> tuple[str, str]:
-    first = grammar.first_vector(row["codes"], grammar.terminal)
-    return _shown(_TERMINAL), _shown(grammar.vectors[first])
+def _first_vector_again(grammar: Grammar, row: dict, end: str) -> str:
+    if end == row["end"]:
+        return row["begin"]
+    old, begin, new = (_read(grammar, v) for v in (row["end"], row["begin"], end))
+    return _shown(grammar.vectors[grammar.again(row["codes"], old, begin, new)])
 
 
-def _rerun_costs(grammar: Grammar, row: dict) -> tuple[str, str]:
-    if row["_told"] == row["end"]:
-        return row["end"], row["begin"]
-    old, begin, new = (_read(grammar, row[c]) for c in ("end", "begin", "_told"))
-    return row["_told"], _shown(grammar.vectors[grammar.again(row["codes"], old, begin, new)])
+def _last_state(grammar: Grammar, row: dict, entered: str) -> str:
+    return str(grammar.last_state(row["codes"], _read(grammar, row["end"]), int(entered)))
 
 
-def _guess_states(grammar: Grammar, row: dict) -> tuple[str, str]:
-    entered = _START if row["before"] is None else _ASSISTANT
-    return str(entered), str(grammar.last_state(row["codes"], _read(grammar, row["end"]), entered))
+def _last_state_again(grammar: Grammar, row: dict, entered: str) -> str:
+    return row["left"] if entered == row["entered"] else _last_state(grammar, row, entered)
 
 
-def _rerun_states(grammar: Grammar, row: dict) -> tuple[str, str]:
-    if row["_told"] == row["entered"]:
-        return row["entered"], row["left"]
-    return row["_told"], str(grammar.last_state(row["codes"], _read(grammar, row["end"]), int(row["_told"])))
+def _costs() -> _Pass:
+    return _Pass("after", "end", "begin", lambda row: _shown(_TERMINAL), _first_vector, _first_vector_again)
+
+
+def _states() -> _Pass:
+    guess = lambda row: str(_START if row["before"] is None else _ASSISTANT)
+    return _Pass("before", "entered", "left", guess, _last_state, _last_state_again)
 
 
 def least_edits(rows: DataFrame) -> DataFrame:
     """The edits of numbered rows (see ``in_order``): one per row, ``conv_id, pos, kind,
     code, inserted, edit, role``, with the roles inserted before it and the role it gets
-    if that changes; and one of kind ``_TAIL`` for what is inserted after the last row.
+    if that changes; and one of kind ``_TAIL``, its ``pos`` beyond all rows, for what is
+    inserted after the last one.
 
     The cheapest edits, of equally cheap ones those whose initials come first. Chunks of
     at most ``2 ** CHUNK_BITS`` rows bound what a task holds, however long a conversation
-    is. Rows that must go take no part in the costs. A pass costs what the chunks cost
-    whose neighbour changed; costs converge within some rows as a rule, so that two passes
-    do, and the number of chunks is the bound."""
-    linked = _linked(saved(_codes(rows), "codes"))
-    columns = linked.columns
-    costs = saved(_run(linked, _speculate, columns, ["end", "begin"], "end string, begin string"), "costs")
-    costs = _fix_up(costs, "after", "end", "begin", _rerun_costs, "costs")
-    names = [*columns, "end"]
-    states = saved(_run(costs, _guess_states, names, ["entered", "left"], "entered string, left string"), "states")
-    states = _fix_up(states, "before", "entered", "left", _rerun_states, "states")
-
+    is. Costs converge within some rows as a rule, so that one pass and one fix-up do; the
+    number of parts that a conversation lies in is the bound.
+    """
+    faults = saved(_faults(rows), "faults")
+    costs = _costs().until_stitched(_linked(saved(_chunks(faults), "chunks")))
+    states = _states().until_stitched(costs.drop("begin"))
     names = ["conv_id", "pos", "kind", "code", "inserted", "edit", "role"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
@@ -331,28 +365,21 @@ def least_edits(rows: DataFrame) -> DataFrame:
             found: list[tuple] = []
             for row in batch.to_pylist():
                 codes, state, conv_id = row["codes"], int(row["entered"]), row["conv_id"]
-                at = (row["chunk"] << CHUNK_BITS) + row["first"]
-                for code, vector in zip(codes, grammar.vectors_of(codes, _read(grammar, row["end"]))):
-                    before, edit = "", "D"
-                    if not code & _FORCED:
-                        before, edit, state = grammar.pick(vector, code, state)
-                    found.append((conv_id, at, _EDIT, code, before, edit, _ROLE[state] if edit == "R" else None))
-                    at += 1
+                for pos, code, vector in zip(row["places"], codes, grammar.vectors_of(codes, _read(grammar, row["end"]))):
+                    before, edit, state = grammar.pick(vector, code, state)
+                    found.append((conv_id, pos, _EDIT, code, before, edit, _ROLE[state] if edit == "R" else None))
                 if row["after"] is None:
-                    found.append((conv_id, at - 1, _TAIL, None, grammar.tail(state), "", None))
+                    found.append((conv_id, _BEYOND, _TAIL, None, grammar.tail(state), "", None))
                 if len(found) >= _RESULTS:
                     yield _batch(found, names, types)
             if found:
                 yield _batch(found, names, types)
 
-    return states.mapInArrow(trace, "conv_id long, pos long, kind int, code int, inserted string, edit string, role string")
-
-
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    """The gathered rows, of which none are left."""
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-    rows.clear()
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    traced = states.mapInArrow(trace, "conv_id long, pos long, kind int, code int, inserted string, edit string, role string")
+    forced = faults.where(F.col("code").bitwiseAND(_FORCED) != 0).select(
+        "conv_id", "pos", F.lit(_EDIT).alias("kind"), "code", F.lit("").alias("inserted"), F.lit("D").alias("edit"),
+        F.lit(None).cast("string").alias("role"))
+    return traced.unionAll(forced)
 
 
 # --- results --------------------------------------------------------------------------------
@@ -374,16 +401,15 @@ def repair(rows: DataFrame) -> DataFrame:
     ordered = in_order(plain)
     edits = least_edits(ordered).withColumnsRenamed({"conv_id": "_conv", "pos": "_pos", "role": "_role"})
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("pos") == F.col("_pos"))
-    both = ordered.join(edits, same)
+    both = edits.join(ordered, same, "left")
     full = lambda c: F.when(c == "u", _ROLE[_USER]).otherwise(_ROLE[_ASSISTANT])
     letters = F.filter(F.split("inserted", ""), lambda c: c != "")
     nothing = F.lit(None).cast("long")
     added = F.transform(letters, lambda c: F.struct(nothing.alias("turn"), full(c).alias("role"), F.lit("").alias("text")))
     own = F.array(F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("_role", "role").alias("role"), "text"))
     steps = F.when(F.col("edit").isin("K", "R"), F.concat(added, own)).otherwise(added)
-    placed = both.select("conv_id", "pos", "kind", F.posexplode(steps).alias("at", "row"))
-    step = F.when(F.col("kind") == _TAIL, 3).otherwise(0) + F.col("at")
-    return placed.select("conv_id", "pos", step.alias("step"), "row.turn", "row.role", "row.text")
+    placed = both.select("_conv", "_pos", F.posexplode(steps).alias("step", "row"))
+    return placed.select(F.col("_conv").alias("conv_id"), F.col("_pos").alias("pos"), "step", "row.turn", "row.role", "row.text")
 
 
 class _Digest:
