@@ -38,7 +38,7 @@ def test_files_are_sorted_and_have_time_statistics(spark, folder, with_reason):
     if with_reason:
         rows = rows.selectExpr("*", "if(Timestamp > '2024-01-03 12:00:00', 'rule', cast(null as string)) reason")
     write_logs(rows, folder)
-    files = glob.glob(f"{folder}/status=ok/log_date=*/*.parquet")
+    files = glob.glob(f"{folder}/status=ok/log_date=*/*/*.parquet")
     assert len(files) >= 3
     for file in files:
         parquet = pq.ParquetFile(file)

@@ -2,6 +2,7 @@ import datetime as dt
 import fnmatch
 import glob
 import os
+import re
 import time
 
 import pyarrow.parquet as pq
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from plan_text import plan_of
 from tidelog import (
-    append_once, compact_days, days_from, project_logs, read_logs, read_quarantine, start_dedup, start_ingest,
-    start_tail, tail_logs, unseen_rows, write_logs,
+    compact_days, days_from, dedup_stream, log_volume, project_logs, read_logs, read_quarantine, read_volume, replace_batch,
+    route_store, start_dedup, start_ingest, start_routing, start_tail, start_volume, tail_logs, unseen_rows, write_logs,
 )
 from tidelog.operators.output import stored_rows
-from tidelog.session import delete_path, files_below, move_file, settings, write_text
+from tidelog.session import settings
+from tidelog.streaming import dedup_stream as dedup_module
 
 START = "2024-01-01 00:00:00"
 
@@ -39,6 +41,12 @@ def run_tail(spark, folder, **options):
     return sorted(r.Message for r in spark.read.parquet(f"{folder}/seen").collect())
 
 
+def forget_commit(checkpoint, number):
+    """As if the stream had stopped after a batch was delivered and before that was noted."""
+    for file in (f"{checkpoint}/commits/{number}", f"{checkpoint}/commits/.{number}.crc"):
+        os.remove(file)
+
+
 def log(second, message):
     return (f"2024-01-01 00:00:{second:02d}", "info", message, "r")
 
@@ -56,7 +64,7 @@ def test_ingest_policies_and_batch_files(spark, folder):
     add_bodies(spark, f"{folder}/in", ["junk"] * 250)
     found = run_ingest(spark, folder, on_bad_json="empty", on_bad_ts="zero", max_rows_per_file=100)
     assert found == [""] * 250
-    stored = glob.glob(f"{folder}/logs/status=ok/log_date=*/*.parquet")
+    stored = glob.glob(f"{folder}/logs/status=ok/log_date=*/*/*.parquet")
     assert all(pq.ParquetFile(f).schema.column(0).physical_type == "INT64" for f in stored) and stored
     files = read_logs(spark, f"{folder}/logs").select(F.input_file_name().alias("f")).groupBy("f").count()
     assert max(r["count"] for r in files.collect()) <= 100
@@ -71,7 +79,7 @@ def test_ingest_gathers_days_and_splits_a_hot_one(spark, folder):
     keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.shuffle.partitions": "64"}
     with settings(spark, keys):
         assert len(run_ingest(spark, folder)) == 40_000
-    files = {d: len(glob.glob(f"{folder}/logs/status=ok/log_date=2024-01-{d:02d}/*.parquet")) for d in range(1, 11)}
+    files = {d: len(glob.glob(f"{folder}/logs/status=ok/log_date=2024-01-{d:02d}/*/*.parquet")) for d in range(1, 11)}
     assert files[1] > 2 and sorted(files.values())[5] <= 2, files
 
 
@@ -101,25 +109,69 @@ def test_taken_bodies_may_be_archived(spark, folder):
     assert len(glob.glob(f"{folder}/taken/**/*.txt", recursive=True)) >= 2
 
 
-def test_a_batch_that_comes_again_writes_nothing_twice(spark, make_logs, folder):
-    """A failure after the first write, in the middle of the moves, and after them."""
-    rows = make_logs([(f"2024-01-{d:02d} 00:00:00", "", str(d), "") for d in range(1, 9)])
-    table, checkpoint = f"{folder}/logs", f"{folder}/progress"
+def broken_off(spark, rows, name, table):
+    """The batch as a write leaves it that was killed while its partitions came into
+    place: some days are there, the rest is in the write's own hidden folder."""
+    replace_batch(rows.where("log_date < date'2024-01-05'"), name, table, ("status", "log_date"))
+    rows.where("log_date >= date'2024-01-05'").write.parquet(f"{table}/.spark-staging-x/status=ok")
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, make_logs, folder):
+    """After a failure before, amid and after its files came into place, beside other
+    batches of the same days."""
+    rows = stored_rows(make_logs([(f"2024-01-{d:02d} 00:00:00", "", str(d), "") for d in range(1, 9)]))
+    other = stored_rows(make_logs([("2024-01-02 00:00:00", "", "20", ""), ("2024-01-07 00:00:00", "", "70", "")]))
+    table = f"{folder}/logs"
     messages = lambda: sorted(int(r.Message) for r in read_logs(spark, table).collect())
-    append_once(stored_rows(rows), 0, table, checkpoint, ("status", "log_date"))
-    append_once(stored_rows(rows), 0, table, checkpoint, ("status", "log_date"))
-    assert messages() == list(range(1, 9))
-    # half of the files are back in the stage, as if they had not been moved yet
-    for file in files_below(spark, f"{table}/status=ok")[:4]:
-        move_file(spark, f"{table}/status=ok/{file}", f"{checkpoint}/staged/0/status=ok/{file}")
-    append_once(stored_rows(rows), 0, table, checkpoint, ("status", "log_date"))
-    assert messages() == list(range(1, 9))
-    # a write that did not finish is done anew
-    spark.sql("select 1").write.mode("overwrite").parquet(f"{checkpoint}/staged/1/status=ok/log_date=2024-01-01")
-    delete_path(spark, f"{checkpoint}/staged/1/status=ok/log_date=2024-01-01/_SUCCESS")
-    append_once(stored_rows(rows.limit(1)), 1, table, checkpoint, ("status", "log_date"))
-    assert len(messages()) == 9
-    assert {f.split("/")[0] for f in files_below(spark, f"{checkpoint}/staged")} == {"1"}
+    replace_batch(other, "x-1", table, ("status", "log_date"))
+    broken_off(spark, rows, "x-2", table)
+    assert messages() == [1, 2, 3, 4, 20, 70]
+    for _ in range(2):
+        replace_batch(rows, "x-2", table, ("status", "log_date"))
+        assert messages() == [*range(1, 9), 20, 70]
+
+
+def test_an_ingest_killed_half_way_stores_each_row_once(spark, folder):
+    """The stream stops between the write of a batch and its commit, in some days only."""
+    days = [f'{{"timestamp":"2024-01-{d:02d}T00:00:00Z","message":"{d}"}}' for d in range(1, 9)]
+    add_bodies(spark, f"{folder}/in", days)
+    write = dedup_module.replace_batch
+
+    class Killed(Exception):
+        pass
+
+    def kill(rows, name, path, parts, most=None):
+        write(rows.where("log_date < date'2024-01-05'"), name, path, parts, most)
+        raise Killed()
+
+    from tidelog.streaming import ingest_stream
+
+    ingest_stream.replace_batch = kill
+    try:
+        with pytest.raises(Exception):
+            run_ingest(spark, folder)
+    finally:
+        ingest_stream.replace_batch = write
+    assert sorted(r.Message for r in read_logs(spark, f"{folder}/logs").collect()) == ["1", "2", "3", "4"]
+    assert run_ingest(spark, folder) == [str(d) for d in range(1, 9)]
+    add_bodies(spark, f"{folder}/in", days[:2])
+    assert run_ingest(spark, folder) == sorted([*[str(d) for d in range(1, 9)], "1", "2"])
+
+
+def test_a_new_checkpoint_replaces_nothing(spark, folder):
+    """Its micro-batches are numbered from 0 again."""
+    add_bodies(spark, f"{folder}/in", [body(1, "one")])
+    assert run_ingest(spark, folder) == ["one"]
+    os.rename(f"{folder}/progress", f"{folder}/old-progress")
+    assert run_ingest(spark, folder) == ["one", "one"]
+
+
+def test_a_named_load_may_be_run_again(spark, make_logs, folder):
+    rows = make_logs([log(1, "1"), log(2, "2")])
+    write_logs(rows, folder)
+    for _ in range(2):
+        write_logs(rows, folder, batch="monday")
+    assert sorted(r.Message for r in read_logs(spark, folder).collect()) == ["1", "1", "2", "2"]
 
 
 def test_finished_days_are_compacted(spark, make_logs, folder):
@@ -128,22 +180,24 @@ def test_finished_days_are_compacted(spark, make_logs, folder):
         write_logs(make_logs(rows[i : i + 10]), folder)
     done = compact_days(spark, folder, dt.date(2024, 1, 3))
     assert done == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
-    files = [len(glob.glob(f"{folder}/status=ok/log_date=2024-01-0{d}/*.parquet")) for d in (1, 2, 3)]
+    files = [len(glob.glob(f"{folder}/status=ok/log_date=2024-01-0{d}/*/*.parquet")) for d in (1, 2, 3)]
     assert files == [1, 1, 3]
     assert sorted(int(r.Message) for r in read_logs(spark, folder).collect()) == list(range(30))
     assert compact_days(spark, folder, dt.date(2024, 1, 3)) == []
 
 
 def test_compaction_that_broke_off_is_finished(spark, make_logs, folder):
+    """The day's own table is written, the day itself half overwritten."""
     for i in range(2):
         write_logs(make_logs([log(i, str(i))]), folder)
     day = f"{folder}/status=ok/log_date=2024-01-01"
-    names = files_below(spark, day)
-    spark.read.parquet(*[f"{day}/{n}" for n in names]).coalesce(1).write.parquet(f"{folder}/_compacting/2024-01-01/rows")
-    write_text(spark, f"{folder}/_compacting/2024-01-01/replaced", "\n".join(names))
-    compact_days(spark, folder, dt.date(2024, 1, 1))
+    whole = read_logs(spark, folder).drop("log_date").selectExpr("*", "string(null) reason", "string(null) body", "string(null) event_key")
+    whole.coalesce(1).write.parquet(f"{folder}/_compacting/day=2024-01-01")
+    whole = spark.read.parquet(f"{folder}/_compacting/day=2024-01-01")
+    whole.where("Message = '0'").selectExpr("*", "'compacted' batch").write.partitionBy("batch").mode("overwrite").parquet(day)
+    assert compact_days(spark, folder, dt.date(2024, 1, 2)) == [dt.date(2024, 1, 1)]
     assert sorted(r.Message for r in read_logs(spark, folder).collect()) == ["0", "1"]
-    assert len(files_below(spark, day)) == 1 and files_below(spark, f"{folder}/_compacting") == []
+    assert len(glob.glob(f"{day}/*/*.parquet")) == 1 and glob.glob(f"{folder}/_compacting/*") == []
 
 
 def test_tail_gives_every_row_once(spark, make_logs, folder):
@@ -175,6 +229,20 @@ def test_late_rows_are_flagged_and_kept(spark, make_logs, folder):
     assert ("7", True) in run() and ("3", True) in run()
 
 
+def test_polls_cost_the_same_however_many_there_were(spark, make_logs, folder):
+    """The newest time lies in two places, and a poll that comes again flags the same."""
+    for i in range(5):
+        write_logs(make_logs([log(10 * i, str(i)), log(10 * i + 9, f"{i}+"), log(5, f"late {i}")]), f"{folder}/logs")
+        rows = tail_logs(spark, f"{folder}/logs", START)
+        start_tail(rows, f"{folder}/tail", path=f"{folder}/seen", available_now=True, late_column="late").awaitTermination()
+    assert len(glob.glob(f"{folder}/tail/newest/*/*.parquet")) == 2
+    forget_commit(f"{folder}/tail", 4)
+    rows = tail_logs(spark, f"{folder}/logs", START)
+    start_tail(rows, f"{folder}/tail", path=f"{folder}/seen", available_now=True, late_column="late").awaitTermination()
+    found = spark.read.parquet(f"{folder}/seen").collect()
+    assert len(found) == 15 and sorted(r.Message for r in found if r.late) == [f"late {i}" for i in range(1, 5)]
+
+
 def test_tail_of_other_parquet_files(spark, make_logs, folder):
     make_logs([log(1, "1"), log(2, "2")]).write.parquet(f"{folder}/logs")
     assert run_tail(spark, folder, plain=True) == ["1", "2"]
@@ -294,3 +362,112 @@ def test_stored_rows_survive_the_round_trip(spark, folder):
     add_bodies(spark, f"{folder}/in", [body(7, "x")])
     run_ingest(spark, folder)
     assert project_logs(read_logs(spark, f"{folder}/logs")).columns == ["Timestamp", "Level", "Message", "ResourceID"]
+
+
+def keyed_rows(spark, folder, extra="id long"):
+    return tail_logs(spark, f"{folder}/in", START, plain=True, extra=extra)
+
+
+def add_keyed(spark, folder, sql):
+    spark.sql(sql).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def run_keyed(spark, folder, **options):
+    start_dedup(keyed_rows(spark, folder), f"{folder}/logs", f"{folder}/progress", available_now=True, keys=["id"], **options).awaitTermination()
+    return sorted(r.Message for r in read_logs(spark, f"{folder}/logs").collect())
+
+
+LIVE = "SELECT current_timestamp() - INTERVAL {} AS Timestamp, 'i' AS Level, '{}' AS Message, 'r' AS ResourceID, CAST({} AS BIGINT) AS id"
+
+
+def test_dedup_by_key_of_live_rows_needs_no_table(spark, folder, monkeypatch):
+    """Copies of young rows meet the state, in the same batch and across a restart; only
+    old rows, those from the future and those without a time are looked up."""
+    compared = []
+    unseen = dedup_module.unseen_rows
+    monkeypatch.setattr(dedup_module, "unseen_rows", lambda b, *a: compared.append(b.count()) or unseen(b, *a))
+    add_keyed(spark, folder, f"{LIVE.format('1 SECOND', 'a', 1)} UNION ALL {LIVE.format('1 SECOND', 'a', 1)}")
+    assert run_keyed(spark, folder) == ["a"]
+    add_keyed(spark, folder, f"{LIVE.format('2 SECONDS', 'a again', 1)} UNION ALL {LIVE.format('1 SECOND', 'b', 2)}")
+    assert run_keyed(spark, folder) == ["a", "b"]
+    assert sum(compared) == 0
+    add_keyed(spark, folder, f"{LIVE.format('3 DAYS', 'old', 3)} UNION ALL {LIVE.format('-3 DAYS', 'future', 4)}")
+    assert run_keyed(spark, folder) == ["a", "b", "future", "old"]
+    assert sum(compared) == 2
+
+
+def test_dedup_by_key_after_the_state_is_gone(spark, folder):
+    """A new checkpoint has no state: old rows are still recognised, by their key in the
+    table; NULL keys are a key too."""
+    rows = "SELECT timestamp '2024-01-02 00:00:00' + make_interval(0,0,0,0,0,0,id % 50) AS Timestamp, 'i' AS Level, concat('m', {}) AS Message, 'r' AS ResourceID, id FROM range(200)"
+    add_keyed(spark, folder, rows.format("id") + " UNION ALL SELECT timestamp '2024-01-02', 'i', 'no key', 'r', NULL")
+    first = run_keyed(spark, folder)
+    assert len(first) == 201
+    os.rename(f"{folder}/progress", f"{folder}/old-progress")
+    add_keyed(spark, folder, rows.format("'again'"))
+    assert run_keyed(spark, folder) == first
+
+
+def test_dedup_batch_that_comes_again_loses_nothing(spark, folder):
+    """It is not compared with its own rows, and replaces them."""
+    add_keyed(spark, folder, f"{LIVE.format('1 SECOND', 'young', 1)} UNION ALL {LIVE.format('1 HOUR', 'older', 2)}")
+    assert run_keyed(spark, folder) == ["older", "young"]
+    forget_commit(f"{folder}/progress", 0)
+    assert run_keyed(spark, folder) == ["older", "young"]
+
+
+def test_unseen_rows_read_only_the_days_and_times_of_the_batch(spark, make_logs, folder):
+    write_logs(make_logs([(f"2024-01-{d:02d} 00:00:00", "", str(d), "") for d in range(1, 29)]), folder)
+    plan = plan_of(unseen_rows(make_logs([("2024-01-05 00:00:00", "", "5", "")]), folder))
+    assert "PartitionFilters" in plan and "2024-01-05" in plan and "GreaterThanOrEqual(Timestamp" in plan
+    many = make_logs([(f"2024-{m:02d}-{d:02d} 00:00:00", "", "x", "") for m in range(1, 5) for d in range(1, 29)])
+    assert unseen_rows(many, folder).count() == 112
+
+
+def test_dedup_state_keeps_recent_arrivals_only(spark, folder):
+    add_keyed(spark, folder, LIVE.format("1 SECOND", "a", 1))
+    rows = dedup_stream(keyed_rows(spark, folder), ["id"], "1 minute")
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark [event_key" in plan and re.search("EventTimeWatermark [^,]*, arrived_at", plan)
+
+
+def run_volume(spark, folder, delay):
+    rows = tail_logs(spark, f"{folder}/logs", START)
+    start_volume(rows, f"{folder}/chart", f"{folder}/chart-progress", delay=delay, available_now=True).awaitTermination()
+    return sorted(map(tuple, read_volume(spark, f"{folder}/chart").collect()))
+
+
+def test_volume_stream_equals_the_batch(spark, make_logs, folder):
+    """Without a delay late rows count, also those of a batch that comes again."""
+    for hours in ([1, 2, 2, 30], [2, 3, 31], [1]):
+        write_logs(make_logs([(f"2024-01-{1 + h // 24:02d} {h % 24:02d}:10:00", "ae"[h % 2], "m", "r") for h in hours]), f"{folder}/logs")
+        found = run_volume(spark, folder, None)
+    assert found == sorted(map(tuple, log_volume(read_logs(spark, f"{folder}/logs")).collect()))
+    forget_commit(f"{folder}/chart-progress", 2)
+    assert run_volume(spark, folder, None) == found
+
+
+def test_volume_state_is_bounded_by_the_delay(spark, make_logs, folder):
+    write_logs(make_logs([("2024-01-01 00:10:00", "a", "m", "r"), ("2024-01-03 00:10:00", "a", "m", "r")]), f"{folder}/logs")
+    run_volume(spark, folder, "1 hour")
+    write_logs(make_logs([("2024-01-01 00:20:00", "a", "too late", "r"), ("2024-01-03 00:20:00", "a", "m", "r")]), f"{folder}/logs")
+    assert [r[2] for r in run_volume(spark, folder, "1 hour")] == [1, 2]
+
+
+def test_routes_are_log_tables_and_a_batch_replaces_itself_in_all(spark, make_logs, folder):
+    rules = [("alerts", F.col("Level") == "error"), ("vip", F.col("ResourceID") == "v")]
+    stores = f"{folder}/stores"
+
+    def run():
+        rows = tail_logs(spark, f"{folder}/logs", START)
+        start_routing(rows, rules, stores, f"{folder}/routing", "rest", available_now=True).awaitTermination()
+        return {r: sorted(x.Message for x in read_logs(spark, route_store(stores, r)).collect()) for r in ("alerts", "vip", "rest")}
+
+    levels = [("error", "v"), ("info", "v"), ("info", "x"), (None, None)]
+    write_logs(make_logs([(f"2024-01-0{1 + k % 3} 00:00:00", *[levels[k % 4][0]], str(k), levels[k % 4][1]) for k in range(8)]), f"{folder}/logs")
+    expected = {"alerts": ["0", "4"], "vip": ["1", "5"], "rest": ["2", "3", "6", "7"]}
+    assert run() == expected
+    forget_commit(f"{folder}/routing", 0)
+    assert run() == expected
+    write_logs(make_logs([("2024-01-09 00:00:00", "error", "8", "v")]), f"{folder}/logs")
+    assert run()["alerts"] == ["0", "4", "8"]

@@ -17,5 +17,7 @@ from tidelog.sources.table import (
     read_quarantine, schema_from_config,
 )
 from tidelog.streaming.ingest_stream import start_ingest, start_stream_write
-from tidelog.streaming.sink import append_once, compact_days
-from tidelog.streaming.tail_stream import days_from, flag_late, start_dedup, start_tail, tail_logs, unseen_rows
+from tidelog.streaming.dedup_stream import dedup_stream, start_dedup, unseen_rows
+from tidelog.streaming.derived import read_volume, route_store, start_routing, start_volume
+from tidelog.streaming.sink import compact_days, replace_batch
+from tidelog.streaming.tail_stream import days_from, flag_late, read_tail, start_tail, tail_logs

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.functions.timestamps import DISPLAY_FORMAT, display_text, micros_text
 from tidelog.operators.ingest import REASON
 from tidelog.session import require_utc, settings
-from tidelog.sources.table import DATE, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA
+from tidelog.sources.table import BATCH, DATE, KEY, LOG_COLUMNS, OK, QUARANTINE, STATUS, STORED_SCHEMA
 
 # Labels of the expanded view, by column.
 LABELS = {"Timestamp": "Timestamp", "Level": "Level", "Message": "Message", "ResourceID": "ResourceId"}
@@ -24,9 +26,10 @@ FILE_OPTIONS = {
 }
 
 
-def stored_rows(rows: DataFrame) -> DataFrame:
-    """Log rows in the layout of the table. Columns are chosen by name; rows that carry
-    a reason go to quarantine. The day is the UTC one."""
+def stored_rows(rows: DataFrame, *extra: str) -> DataFrame:
+    """Log rows in the layout of the table but for the batch, which the write names.
+    Columns are chosen by name, ``extra`` ones come first; rows that carry a reason go to
+    quarantine. The day is the UTC one."""
     require_utc(rows.sparkSession)
     reason = F.col(REASON) if REASON in rows.columns else F.lit(None)
     body = F.col("body") if "body" in rows.columns else F.lit(None)
@@ -34,18 +37,21 @@ def stored_rows(rows: DataFrame) -> DataFrame:
     values |= {
         REASON: reason,
         "body": body,
+        KEY: F.col(KEY) if KEY in rows.columns else F.lit(None),
         STATUS: F.when(reason.isNull(), F.lit(OK)).otherwise(F.lit(QUARANTINE)),
         DATE: F.when(reason.isNull(), F.to_date("Timestamp")),
     }
-    return rows.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in STORED_SCHEMA.fields])
+    return rows.select(*extra, *[values[f.name].cast(f.dataType).alias(f.name) for f in STORED_SCHEMA.fields if f.name in values])
 
 
-def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None) -> None:
+def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None, batch: str | None = None) -> None:
     """Append rows to the log table.
 
     Rows of a day are brought together, so that a day is few files rather than one per
     task. The rebalance splits a heavy day over several tasks by size and merges light
-    ones; sorting by time inside a task gives row groups narrow time ranges.
+    ones; sorting by time inside a task gives row groups narrow time ranges. A ``batch``
+    with a name that was used before replaces what that name wrote to the same days, so
+    that a load that failed can be run again; without a name it is added.
     """
     spark = rows.sparkSession
     stored, folder, parts = stored_rows(rows), path, [STATUS, DATE]
@@ -53,12 +59,14 @@ def write_logs(rows: DataFrame, path: str, max_rows_per_file: int | None = None)
         # Only accepted rows: write below their partition. A constant partition column
         # would make the writer sort again, by partition alone.
         stored, folder, parts = stored.drop(STATUS), f"{path.rstrip('/')}/{STATUS}={OK}", [DATE]
+    stored = stored.withColumn(BATCH, F.lit(batch or f"load-{uuid.uuid4().hex}"))
     writer = (
         stored.hint("rebalance", *parts)
-        .sortWithinPartitions(*parts, "Timestamp")
-        .write.mode("append")
+        .sortWithinPartitions(*parts, BATCH, "Timestamp")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .options(**FILE_OPTIONS)
-        .partitionBy(*parts)
+        .partitionBy(*parts, BATCH)
     )
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)

@@ -7,6 +7,7 @@ derived from whole tables by expressions. Timestamps leave as text with microsec
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,9 +25,11 @@ from tidelog.plans.search import register_logs, search, search_sql
 from tidelog.session import fresh_folder
 from tidelog.sources.bodies import extract_plaintext
 from tidelog.sources.table import conform, events_as_logs, project_logs, read_logs, schema_from_config, TABLE_CONFIG
+from tidelog.streaming.dedup_stream import start_dedup
+from tidelog.streaming.derived import read_volume, route_store, start_routing, start_volume
 from tidelog.streaming.ingest_stream import start_ingest
 from tidelog.streaming.sink import compact_days
-from tidelog.streaming.tail_stream import start_dedup, start_tail, tail_logs
+from tidelog.streaming.tail_stream import read_tail, start_tail, tail_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -557,7 +560,7 @@ def tail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         if part is not None:
             write_logs(logs.where(part), f"{folder}/logs")
         _run_tail(spark, tail_logs(spark, f"{folder}/logs", start), f"{folder}/progress", f"{folder}/seen")
-    return _shown(spark.read.parquet(f"{folder}/seen"))
+    return _shown(read_tail(spark, f"{folder}/seen"))
 
 
 @_register(
@@ -576,7 +579,7 @@ def tail_late(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_logs(rows, f"{folder}/logs")
         tail = tail_logs(spark, f"{folder}/logs", start)
         start_tail(tail, f"{folder}/progress", f"{folder}/seen", available_now=True, late_column="late").awaitTermination()
-    return _shown(spark.read.parquet(f"{folder}/seen"))
+    return _shown(read_tail(spark, f"{folder}/seen", "late"))
 
 
 @_register("dedup_events", f"{_ROWS} UNION ALL {_FUTURE}")
@@ -593,6 +596,21 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(project_logs(read_logs(spark, f"{folder}/logs")))
 
 
+@_register("dedup_by_key", _ROWS)
+def dedup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sender that repeats its messages with a note, under the same event id: the first
+    copy stays. Every third message comes again in the same load, all in a second one."""
+    events = events_as_logs(_table(spark, sf_dir, "events"), "event_id")
+    events = events.withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
+    folder = fresh_folder(spark, "keyed")
+    again = events.withColumn("Message", F.concat("Message", F.lit(" (sent again)")))
+    for load in (events, again.where(F.col("event_id") % 3 == 0), again):
+        load.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows = tail_logs(spark, f"{folder}/in", _first_time(events), plain=True, extra="event_id long")
+        start_dedup(rows, f"{folder}/logs", f"{folder}/progress", available_now=True, keys=["event_id"]).awaitTermination()
+    return _shown(project_logs(read_logs(spark, f"{folder}/logs")))
+
+
 _CURSOR_BOUND = "2024-01-15 00:00:00"
 
 
@@ -734,6 +752,43 @@ def log_volume_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(log_volume(_logs(spark, sf_dir)))
 
 
+@_register("volume_stream", ORACLES["log_volume"])
+def volume_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chart follows the table: the first days are stored and charted, then the rest;
+    windows leave the state a day after their end."""
+    logs, folder = _logs(spark, sf_dir), fresh_folder(spark, "volume")
+    start, end = logs.agg(F.min("Timestamp").cast("timestamp_ntz"), F.max("Timestamp").cast("timestamp_ntz")).first()
+    early = F.col("Timestamp") < F.lit(start + (end - start) / 2)
+    for part in (early, ~early):
+        write_logs(logs.where(part), f"{folder}/logs")
+        rows = tail_logs(spark, f"{folder}/logs", start)
+        start_volume(rows, f"{folder}/chart", f"{folder}/progress", delay="1 day", available_now=True).awaitTermination()
+    return _shown(read_volume(spark, f"{folder}/chart"))
+
+
+@_register(
+    "routing_stream",
+    f"""
+    SELECT CASE WHEN "Level" = 'error' THEN 'alerts' WHEN "ResourceID" LIKE '%7' THEN 'sevens' ELSE 'rest' END AS route, *
+    FROM ({_ROWS})
+    """,
+)
+def routing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads are fanned out to three stores, each a log table of its own."""
+    logs, folder = _logs(spark, sf_dir), fresh_folder(spark, "routing")
+    rules = [("alerts", F.col("Level") == "error"), ("sevens", F.col("ResourceID").endswith("7"))]
+    start, early = _first_time(logs), F.col("Timestamp") < F.lit("2024-01-12").cast("timestamp_ntz")
+    for part in (early, ~early):
+        write_logs(logs.where(part), f"{folder}/logs")
+        rows = tail_logs(spark, f"{folder}/logs", start)
+        start_routing(rows, rules, f"{folder}/stores", f"{folder}/progress", "rest", available_now=True).awaitTermination()
+    stores = [
+        project_logs(read_logs(spark, route_store(f"{folder}/stores", route))).select(F.lit(route).alias("route"), "*")
+        for route in ("alerts", "sevens", "rest")
+    ]
+    return _shown(reduce(DataFrame.unionAll, stores))
+
+
 # One statement per kind of SQL, the same text for both engines but for the quotes
 # around "Timestamp", which is a type name in one of them.
 _STATEMENTS = {

@@ -91,40 +91,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file, in one step: readers see all of it or nothing."""
-    jvm = spark.sparkContext._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.create(part, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
-
-
-def files_below(spark: SparkSession, path: str) -> list[str]:
-    """Paths of all files below a folder, relative to it; none when it is not there."""
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    found, base = [], fs.makeQualified(top).toString() + "/"
-    each = fs.listFiles(top, True)
-    while each.hasNext():
-        found.append(each.next().getPath().toString().removeprefix(base))
-    return found
-
-
-def move_file(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(target)
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(to.getParent())
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(source), to):
-        raise OSError(f"{source} could not be moved to {target}")
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

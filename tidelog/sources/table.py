@@ -77,16 +77,22 @@ def conform(df: DataFrame, schema: StructType = LOG_SCHEMA) -> DataFrame:
 
 
 # Storage layout: rows lie below status=ok/log_date=YYYY-MM-DD, quarantined bodies
-# below status=quarantine, written in one commit by the same job.
-STATUS, DATE = "status", "log_date"
+# below status=quarantine, written in one commit by the same job; below both lie the
+# batches that wrote them, so that a batch that comes again replaces itself.
+STATUS, DATE, BATCH = "status", "log_date", "batch"
 OK, QUARANTINE = "ok", "quarantine"
+
+# Column of the sender's own key of a row, as JSON text, where there is one.
+KEY = "event_key"
 STORED_SCHEMA = StructType(
     [StructField(field.name, field.dataType, True) for field in LOG_SCHEMA.fields]
     + [
         StructField("reason", StringType(), True),
         StructField("body", StringType(), True),
+        StructField(KEY, StringType(), True),
         StructField(STATUS, StringType(), True),
         StructField(DATE, DateType(), True),
+        StructField(BATCH, StringType(), True),
     ]
 )
 

@@ -11,7 +11,7 @@ from tidelog.operators.output import stored_rows
 from tidelog.session import require_utc
 from tidelog.sources.bodies import read_log_bodies
 from tidelog.sources.table import DATE, STATUS
-from tidelog.streaming.sink import append_once
+from tidelog.streaming.sink import replace_batch, stream_id
 
 
 def start_stream_write(
@@ -25,16 +25,18 @@ def start_stream_write(
     """Append a stream of log rows to the table, in the layout of batch writes, so that
     both may fill one table.
 
-    A micro-batch is committed once, whatever fails. Accepted and quarantined rows leave
-    together and are told apart by partition. The rows of a day are brought together, so
-    that a micro-batch adds few files rather than one per task and day; adaptive
-    execution cuts a heavy day by size. ``compact_days`` replaces the files of finished
-    days by few large ones.
+    A micro-batch is a partition named by query and number and replaces itself when it
+    comes again, so that each row is there once, whatever fails. Accepted and quarantined
+    rows leave together and are told apart by partition. The rows of a day are brought
+    together, so that a micro-batch adds few files rather than one per task and day;
+    adaptive execution cuts a heavy day by size. ``compact_days`` replaces the files of
+    finished days by few large ones.
     """
     require_utc(rows.sparkSession)
 
     def append(batch: DataFrame, number: int) -> None:
-        append_once(stored_rows(batch), number, path, checkpoint, (STATUS, DATE), max_rows_per_file)
+        name = f"{stream_id(batch.sparkSession, checkpoint)}-{number}"
+        replace_batch(stored_rows(batch), name, path, (STATUS, DATE), max_rows_per_file)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(trigger_seconds * 1000)} milliseconds"}
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -1,92 +1,76 @@
-"""Appending micro-batches to a folder, each exactly once, and compacting finished days."""
+"""Micro-batches as partitions that replace themselves, and compacting finished days."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.operators.output import FILE_OPTIONS, STORAGE
-from tidelog.session import delete_path, files_below, move_file, path_exists, settings, write_text
-from tidelog.sources.table import DATE, OK, STATUS, STORED_SCHEMA
+from tidelog.session import delete_path, path_exists, settings
+from tidelog.sources.table import BATCH, DATE, OK, STATUS, STORED_SCHEMA
 
 
-def _is_data(file: str) -> bool:
-    return not file.rsplit("/", 1)[-1].startswith(("_", "."))
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Spark's own id of the query that keeps its progress at ``checkpoint``. A checkpoint
+    that was removed and made anew has another one, so that its micro-batches, which are
+    numbered from 0 again, replace nothing."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
-def append_once(
-    batch: DataFrame, number: int, path: str, checkpoint: str, parts: Sequence[str] = (), max_rows_per_file: int | None = None
+def replace_batch(
+    batch: DataFrame, name: str, path: str, parts: Sequence[str] = (), max_rows_per_file: int | None = None
 ) -> None:
-    """Append micro-batch ``number`` to the parquet folder ``path``, partitioned by ``parts``.
+    """Write ``batch`` below the parquet folder ``path``, partitioned by ``parts`` and last
+    by its own ``name``, in place of what that name has written there.
 
-    The batch is first written beside the checkpoint as a whole; then its files move into
-    place one by one. A batch that comes again after a failure is written anew only if its
-    first write did not finish; otherwise the files still left are moved. Nothing names
-    all files ever written: the stages of earlier batches are removed.
+    One Spark job with dynamic partition overwrite: the files come into place when all are
+    written. A batch that comes again after a failure, wherever it failed, has the same
+    rows and so the same partitions, and replaces them; other batches are left alone. A
+    tail that runs meanwhile takes the replaced files for new ones.
     """
-    spark = batch.sparkSession
-    top = f"{checkpoint.rstrip('/')}/staged"
-    stage = f"{top}/{number}"
-    if not path_exists(spark, f"{stage}/_SUCCESS"):
-        rows = batch.hint("rebalance", *parts).sortWithinPartitions(*parts, "Timestamp") if parts else batch
-        writer = rows.write.mode("overwrite").options(**FILE_OPTIONS)
-        if parts:
-            writer = writer.partitionBy(*parts)
-        if max_rows_per_file:
-            writer = writer.option("maxRecordsPerFile", max_rows_per_file)
-        with settings(spark, STORAGE):
-            writer.parquet(stage)
-    for file in filter(_is_data, files_below(spark, stage)):
-        move_file(spark, f"{stage}/{file}", f"{path.rstrip('/')}/{file}")
-    for old in {f.split("/", 1)[0] for f in files_below(spark, top)} - {str(number)}:
-        delete_path(spark, f"{top}/{old}")
-
-
-def _finish_compaction(spark: SparkSession, work: str, day_folder: str) -> None:
-    """Moves what is compacted into the day and removes what it replaces."""
-    replaced = [r[0] for r in spark.read.text(f"{work}/replaced").collect()]
-    for file in filter(_is_data, files_below(spark, f"{work}/rows")):
-        move_file(spark, f"{work}/rows/{file}", f"{day_folder}/{file}")
-    for name in replaced:
-        delete_path(spark, f"{day_folder}/{name}")
-    delete_path(spark, work)
+    rows = batch.withColumn(BATCH, F.lit(name))
+    keys = [*parts, BATCH]
+    rows = rows.hint("rebalance", *keys).sortWithinPartitions(*keys, "Timestamp")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**FILE_OPTIONS)
+    if max_rows_per_file:
+        writer = writer.option("maxRecordsPerFile", max_rows_per_file)
+    with settings(batch.sparkSession, STORAGE):
+        writer.partitionBy(*keys).parquet(path)
 
 
 def compact_days(spark: SparkSession, path: str, before: dt.date, min_files: int = 2) -> list[dt.date]:
-    """Replace the files of each day before ``before`` by few sorted ones, cut by size.
+    """Rewrite each day before ``before`` that has ``min_files`` files or more as few
+    sorted ones, cut by size. Returns the days.
 
     For finished days: nothing may write to them meanwhile, and a running tail that
-    watches such a day, that is one whose start is not after it, would take the new files
-    for new rows. A run that breaks off is finished by the next one; until then rows of
-    that day may be seen twice, but none is missing. Returns the days whose files were
-    replaced.
+    watches such a day would take the new files for new rows. A day is first written to a
+    table of its own beside the days, then overwritten from it, and the table removed; a
+    run that breaks off in between leaves the table, from which the next one goes on.
     """
     top = path.rstrip("/")
-    work_top, done = f"{top}/_compacting", []
-    for day in sorted({f.split("/", 1)[0] for f in files_below(spark, work_top)}):
-        if path_exists(spark, f"{work_top}/{day}/replaced"):
-            _finish_compaction(spark, f"{work_top}/{day}", f"{top}/{STATUS}={OK}/{DATE}={day}")
-        else:
-            delete_path(spark, f"{work_top}/{day}")
-    files: dict[str, list[str]] = {}
-    for file in filter(_is_data, files_below(spark, f"{top}/{STATUS}={OK}")):
-        folder, _, name = file.rpartition("/")
-        files.setdefault(folder.removeprefix(f"{DATE}="), []).append(name)
-    data = [f for f in STORED_SCHEMA.fields if f.name not in (STATUS, DATE)]
-    for day, names in sorted(files.items()):
-        try:
-            finished = dt.date.fromisoformat(day) < before
-        except ValueError:
-            continue
-        if not finished or len(names) < min_files:
-            continue
-        folder, work = f"{top}/{STATUS}={OK}/{DATE}={day}", f"{work_top}/{day}"
-        rows = spark.read.schema(type(STORED_SCHEMA)(data)).parquet(*[f"{folder}/{n}" for n in names])
+    accepted = spark.read.schema(STORED_SCHEMA).parquet(path).where((F.col(STATUS) == OK) & (F.col(DATE) < F.lit(before)))
+    files = accepted.select(DATE, F.col("_metadata.file_path").alias("file")).distinct()
+    many = files.groupBy(DATE).count().where(F.col("count") >= min_files).collect()
+    columns = [f for f in STORED_SCHEMA.names if f not in (STATUS, DATE, BATCH)]
+    halfway = [r[0] for r in _days_in(spark, f"{top}/_compacting") if r[0] < before]
+    done = sorted({r[DATE] for r in many} | set(halfway))
+    for day in done:
+        work, folder = f"{top}/_compacting/day={day}", f"{top}/{STATUS}={OK}/{DATE}={day}"
         with settings(spark, STORAGE):
-            rows.hint("rebalance").sortWithinPartitions("Timestamp").write.mode("overwrite").options(**FILE_OPTIONS).parquet(f"{work}/rows")
-        write_text(spark, f"{work}/replaced", "\n".join(names))
-        _finish_compaction(spark, work, folder)
-        done.append(dt.date.fromisoformat(day))
+            if not path_exists(spark, f"{work}/_SUCCESS"):
+                rows = accepted.where(F.col(DATE) == F.lit(day)).select(*columns)
+                rows.hint("rebalance").sortWithinPartitions("Timestamp").write.mode("overwrite").options(**FILE_OPTIONS).parquet(work)
+            kept = spark.read.parquet(work).withColumn(BATCH, F.lit("compacted"))
+            kept.sortWithinPartitions("Timestamp").write.mode("overwrite").options(**FILE_OPTIONS).partitionBy(BATCH).parquet(folder)
+        delete_path(spark, work)
     return done
+
+
+def _days_in(spark: SparkSession, work: str) -> list:
+    """Days whose own tables an earlier run has left."""
+    if not path_exists(spark, work):
+        return []
+    return spark.read.schema("day date").parquet(work).select("day").distinct().collect()

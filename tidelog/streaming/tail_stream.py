@@ -4,23 +4,22 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.timestamps import parse_bound
 from tidelog.operators.filters import LOOK_BACK, Bound, since
-from tidelog.operators.output import stored_rows
-from tidelog.session import files_below, require_utc, write_text
+from tidelog.session import path_exists, require_utc
 from tidelog.sources.bodies import ANY_AGE
-from tidelog.sources.table import DATE, LOG_COLUMNS, LOG_SCHEMA, OK, STATUS, is_log_table, read_logs
-from tidelog.streaming.sink import append_once
+from tidelog.sources.table import DATE, LOG_COLUMNS, LOG_SCHEMA, OK, STATUS
+from tidelog.streaming.sink import replace_batch
 
 # Fixed value: how often a tail looks for new rows.
 POLL = dt.timedelta(milliseconds=1500)
 
+_NEWEST = "number long, newest long"
+
 
 def days_from(day: dt.date) -> str:
     """Glob of the day folders from ``day`` on: for every digit of the date, those that
@@ -33,73 +32,48 @@ def days_from(day: dt.date) -> str:
     return "{" + ",".join(found) + "}"
 
 
-def tail_logs(spark: SparkSession, path: str, start: Bound | None = None, plain: bool = False, **options) -> DataFrame:
+def tail_logs(
+    spark: SparkSession, path: str, start: Bound | None = None, plain: bool = False, extra: str = "", **options
+) -> DataFrame:
     """Streaming read of the log table from ``start`` on (default: the last hour).
 
     Stored rows come first, then new ones; the source offsets give every row once, late
     ones too. The table need not be there yet. Only the accepted rows of the days from
     the start on are listed, so that a poll costs as much as those days have files. The
     default start moves with the clock; a tail that is to resume after a pause needs a
-    fixed one. ``plain`` tails a folder of other parquet files with the four columns.
-    ``options`` go to the file source.
+    fixed one. ``plain`` tails a folder of other parquet files with the four columns and,
+    as ``extra`` declares them, further ones. ``options`` go to the file source.
     """
     require_utc(spark)
     first = dt.datetime.now(dt.timezone.utc) - LOOK_BACK if start is None else parse_bound(start)
     folder = path if plain else f"{path.rstrip('/')}/{STATUS}={OK}/{days_from(first.date())}"
-    rows = spark.readStream.schema(LOG_SCHEMA).options(**{"maxFileAge": ANY_AGE} | options).parquet(folder)
-    return since(rows, start).select(*LOG_COLUMNS)
-
-
-def _newest_before(spark: SparkSession, folder: str, number: int) -> int | None:
-    """Microseconds of the newest row of the micro-batches before ``number``. Each
-    micro-batch leaves one small file, whose name holds its number and its newest."""
-    found = [tuple(map(int, name.split("_"))) for name in files_below(spark, folder) if name.replace("_", "").replace("-", "").isdigit()]
-    return max((newest for n, newest in found if n < number), default=None)
+    deep = {} if plain else {"recursiveFileLookup": "true"}
+    schema = ", ".join(filter(None, [*[f"`{f.name}` {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields], extra]))
+    rows = spark.readStream.schema(schema).options(**{"maxFileAge": ANY_AGE} | deep | options).parquet(folder)
+    return since(rows, start)
 
 
 def flag_late(batch: DataFrame, number: int, checkpoint: str, column: str = "late") -> DataFrame:
     """Adds whether a row is older than the newest one of earlier micro-batches, which a
-    polling tail with a time cursor would have lost. The newest times are kept beside the
-    checkpoint; no row is dropped, and a row from the future only makes others late."""
+    polling tail with a time cursor would have lost. No row is dropped, and a row from the
+    future only makes others late.
+
+    The newest time so far lies beside the checkpoint in two places that take turns: a
+    micro-batch reads what the one before it left and overwrites the other one. So a
+    micro-batch that comes again finds the same, and a poll costs the same however many
+    there were.
+    """
     spark, folder = batch.sparkSession, f"{checkpoint.rstrip('/')}/newest"
-    before = _newest_before(spark, folder, number)
+    last = f"{folder}/{(number + 1) % 2}"
+    found = spark.read.schema(_NEWEST).parquet(last).first() if path_exists(spark, f"{last}/_SUCCESS") else None
+    before = found["newest"] if found and found["number"] < number else None
     own = batch.agg(F.max(F.unix_micros("Timestamp"))).first()[0]
     newest = max((x for x in (before, own) if x is not None), default=None)
-    if newest is not None:
-        write_text(spark, f"{folder}/{number}_{newest}", "")
+    spark.createDataFrame([(number, newest)], _NEWEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{number % 2}")
     late = F.lit(False) if before is None else F.coalesce(F.unix_micros("Timestamp") < before, F.lit(False))
     return batch.withColumn(column, late)
 
 
-def unseen_rows(batch: DataFrame, path: str) -> DataFrame:
-    """The distinct rows of a batch that the log table does not hold yet. Copies are
-    reduced within each task first, so a row may be any share of the batch; only the days
-    of the batch are read of the table, and rows meet by day and hash."""
-    spark = batch.sparkSession
-    stored = stored_rows(batch.dropDuplicates(list(LOG_COLUMNS))).withColumn("_hash", F.xxhash64(*LOG_COLUMNS))
-    if not is_log_table(spark, path):
-        return stored.drop("_hash")
-    days = [r[0] for r in stored.select(DATE).distinct().collect()]
-    # a row without a time has no day
-    dated = F.col(DATE).isin([d for d in days if d is not None])
-    held = read_logs(spark, path).where(dated | F.col(DATE).isNull() if None in days else dated)
-    held = held.select(F.col(DATE).alias("_day"), F.xxhash64(*LOG_COLUMNS).alias("_held"), *[F.col(c).alias(f"_{c}") for c in LOG_COLUMNS])
-    same = [F.col(DATE).eqNullSafe(F.col("_day")), F.col("_hash") == F.col("_held")]
-    same += [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG_COLUMNS]
-    return stored.join(held, reduce(and_, same), "left_anti").drop("_hash")
-
-
-def start_dedup(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append the rows of an at-least-once source to a log table that has each of them
-    once. No state and no time limit: a copy is recognised however late it comes, because
-    micro-batches are compared with the table itself."""
-
-    def append(batch: DataFrame, number: int) -> None:
-        append_once(unseen_rows(batch, path), number, path, checkpoint, (STATUS, DATE))
-
-    return _start(rows, append, checkpoint, available_now)
-
-
 def start_tail(
     rows: DataFrame,
     checkpoint: str,
@@ -108,10 +82,11 @@ def start_tail(
     available_now: bool = False,
     late_column: str | None = None,
 ) -> StreamingQuery:
-    """One consumer's tail: to a parquet folder, or to ``on_batch``, which gets each new
-    batch and its number (a number may come again after a failure; a folder gets each
-    once). ``late_column`` adds that column, see ``flag_late``. Stopping the query ends
-    the tail; starting it again on the checkpoint goes on where it was."""
+    """One consumer's tail: to a parquet folder of its own, where each micro-batch is a
+    partition by number, or to ``on_batch``, which gets each new batch and its number (a
+    number may come again after a failure; a folder has each once). ``late_column`` adds
+    that column, see ``flag_late``. Stopping the query ends the tail; starting it again on
+    the checkpoint goes on where it was."""
     if (path is None) == (on_batch is None):
         raise ValueError("a tail needs either a path or a function")
 
@@ -119,14 +94,19 @@ def start_tail(
         if late_column:
             batch = flag_late(batch, number, checkpoint, late_column)
         if path is not None:
-            append_once(batch, number, path, checkpoint)
+            replace_batch(batch, f"{number:019d}", path)
         else:
             on_batch(batch, number)
 
-    return _start(rows, deliver, checkpoint, available_now)
+    return start_batches(rows, deliver, checkpoint, available_now)
+
+
+def read_tail(spark: SparkSession, path: str, *extra: str) -> DataFrame:
+    """What a tail has delivered to a folder: the four columns and the ``extra`` ones."""
+    return spark.read.parquet(path).select(*LOG_COLUMNS, *extra)
 
 
-def _start(rows: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+def start_batches(rows: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver)
     if available_now:
         return writer.trigger(availableNow=True).start()
