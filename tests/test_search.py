@@ -1,3 +1,6 @@
+import datetime as dt
+import re
+
 import pytest
 
 from tidelog import (
@@ -5,6 +8,7 @@ from tidelog import (
     statement_is_read_only, write_logs,
 )
 from tidelog.functions.readonly import assert_plan_inside
+from tidelog.plans.day_bounds import implied_days
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 from plan_text import plan_of
@@ -146,3 +150,64 @@ def test_view_bounds_prune_days(spark, logs, folder):
     found = search_sql(spark, "select Level from logs where Level = 'info'")
     assert "log_date" in plan_of(found)
     assert found.columns == ["Level"] and found.count() == logs.where("date(Timestamp) = '2024-01-02' and Level = 'info'").count()
+
+
+DAY_BOUNDS = [
+    ("Timestamp >= '2024-01-02 06:00:00'", "2024-01-02", None),
+    ("'2024-01-02' < Timestamp", "2024-01-02", None),
+    ("Timestamp BETWEEN timestamp'2024-01-01' AND '2024-01-02 05:00'", "2024-01-01", "2024-01-02"),
+    ("date(Timestamp) IN ('2024-01-02', '2024-01-03')", "2024-01-02", "2024-01-03"),
+    ("Timestamp IN (timestamp'2024-01-02', timestamp'2024-01-02 10:00')", "2024-01-02", "2024-01-02"),
+    ("Timestamp > '2024-01-03' OR Timestamp < '2024-01-03' AND Timestamp > '2024-01-02'", "2024-01-02", None),
+    ("Timestamp > '2024-01-03' OR Level = 'info'", None, None),
+    ("Timestamp > '2024-01-03' OR Timestamp IS NULL", None, None),
+    ("Level = 'info' AND Timestamp < :until", None, "2024-01-02"),
+    ("NOT Timestamp < '2024-01-02'", "2024-01-02", None),
+    ("Timestamp <> '2024-01-02'", None, None),
+    ("date_trunc('day', Timestamp) = '2024-01-02'", None, None),
+    ("Timestamp > '0001-01-01' AND Timestamp < '9999-12-31'", "0001-01-01", "9999-12-31"),
+    ("false", None, None),
+]
+
+
+@pytest.mark.parametrize("condition,first,last", DAY_BOUNDS)
+def test_conditions_name_the_days_to_read(spark, logs, folder, condition, first, last):
+    write_logs(logs.unionAll(logs.limit(1).withColumn("Timestamp", F.lit(None).cast("timestamp"))), folder)
+    stored = read_logs(spark, folder)
+    register_logs(stored)
+    args = {"until": "2024-01-02 00:00:01"} if ":until" in condition else None
+    found = spark.sql(f"select * from logs where {condition}", args=args)
+    assert implied_days(found, "Timestamp", "log_date") == tuple(dt.date.fromisoformat(d) if d else None for d in (first, last))
+    pruned = search_sql(spark, f"select * from logs where {condition}", args)
+    assert sorted(map(str, pruned.collect())) == sorted(map(str, found.collect()))
+    if first or last:
+        assert re.search(r"PartitionFilters: \[[^]]*log_date", plan_of(pruned))
+    assert spark.table("logs").count() == 201
+
+
+def test_every_scan_counts(spark, logs, folder):
+    """Of a join the days of both sides are read; a scan without a condition needs all."""
+    write_logs(logs, folder)
+    register_logs(read_logs(spark, folder))
+    both = "select count(*) n from logs a join logs b on a.Message = b.Message where a.Timestamp < '2024-01-02' and b.Timestamp >= '2024-01-02'"
+    assert implied_days(spark.sql(both), "Timestamp", "log_date") == (None, None)
+    one = both.replace(" and b.Timestamp >= '2024-01-02'", "")
+    assert implied_days(spark.sql(one), "Timestamp", "log_date") == (None, None)
+    assert search_sql(spark, both).first() == spark.sql(both).first()
+    inner = "select max(n) m from (select Level, count(*) n from logs where Timestamp >= '2024-01-03' group by Level)"
+    assert "log_date" in plan_of(search_sql(spark, inner)) and search_sql(spark, inner).first() == spark.sql(inner).first()
+
+
+def test_a_view_that_was_replaced_is_left_alone(spark, logs, folder, make_logs):
+    write_logs(logs, folder)
+    register_logs(read_logs(spark, folder))
+    make_logs([("2024-01-02 00:00:00", "own", "m", "r")]).createOrReplaceTempView("logs")
+    assert [r.Level for r in search_sql(spark, "select * from logs where Timestamp >= '2024-01-02'").collect()] == ["own"]
+
+
+def test_days_are_pruned_in_a_stored_table_of_files(spark, logs, folder):
+    write_logs(logs, folder)
+    register_logs(read_logs(spark, folder))
+    found = search_sql(spark, "select * from logs where Timestamp >= '2024-01-02' and Timestamp < '2024-01-02 12:00:00'")
+    files = {f.split("log_date=")[1][:10] for f in found.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert files == {"2024-01-02"}

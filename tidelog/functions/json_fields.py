@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The keys read from a body, in table order.
@@ -50,6 +52,12 @@ def plain_number(value: Column, token: Column) -> Column:
     return F.when(looks_fractional(value) & number, plain_digits(value.try_cast("double"))).otherwise(value)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once. A plain expression would hold the value's
+    own expression at every place that names it, and grow beyond what can be compiled."""
+    return F.transform(F.array(value), use)[0]
+
+
 def plain_digits(value: Column) -> Column:
     """Shortest decimal digits of a double, without an exponent."""
     # the plain text of a double may have a digit too many; fewer that give the same
@@ -60,14 +68,27 @@ def plain_digits(value: Column) -> Column:
         .when(long.try_cast("double") == value, long)
         .otherwise(value.cast("string"))
     )
+    return _bound(shown, _without_exponent)
+
+
+def _without_exponent(shown: Column) -> Column:
     form = r"^(-?)(\d+)\.(\d+?)0*(?:[eE]([+-]?\d+))?$"
-    sign, whole = F.regexp_extract(shown, form, 1), F.regexp_extract(shown, form, 2)
-    digits = F.concat(whole, F.regexp_replace(F.regexp_extract(shown, form, 3), "^0$", ""))
-    exponent = F.coalesce(F.regexp_extract(shown, form, 4).try_cast("int"), F.lit(0))
-    point, size = F.length(whole) + exponent, F.length(digits)
+    sign, whole, fraction, exponent = (F.regexp_extract(shown, form, k) for k in range(1, 5))
+    parts = F.struct(
+        sign.alias("sign"),
+        F.concat(whole, F.regexp_replace(fraction, "^0$", "")).alias("digits"),
+        (F.length(whole) + F.coalesce(exponent.try_cast("int"), F.lit(0))).alias("point"),
+    )
+    return F.when(shown.rlike(form), _bound(parts, _placed)).otherwise(shown)
+
+
+def _placed(parts: Column) -> Column:
+    """Digits with the point where it belongs."""
+    digits, point = parts["digits"], parts["point"]
+    size = F.length(digits)
     plain = (
         F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
         .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
         .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
     )
-    return F.when(shown.rlike(form), F.concat(sign, plain)).otherwise(shown)
+    return F.concat(parts["sign"], plain)

@@ -16,7 +16,13 @@ LABELS = {"Timestamp": "Timestamp", "Level": "Level", "Message": "Message", "Res
 
 # Timestamps as 64-bit integers: the default form has no minimum and maximum in the file
 # footers, and time filters could skip nothing inside a day.
-STORAGE = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+STORAGE = {
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Opening a day's file takes longer than writing some rows, so small days are dealt to
+    # all cores instead of being merged into one task; a day stays in one task all the same.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+}
 
 # Bloom filters let a search for one resource skip row groups in which the column has too
 # many values for a dictionary.

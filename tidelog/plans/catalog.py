@@ -18,6 +18,7 @@ from tidelog.operators.filters import between, filter_logs, from_date, latest, n
 from tidelog.operators.ingest import (
     ingest, normalize_timestamp, route_logs, split_rows, validate,
 )
+from tidelog.operators.joins import asof_join, range_join
 from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages
 from tidelog.operators.tailing import next_cursor, tail_step
@@ -631,6 +632,47 @@ def tail_step_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(project_logs(tail_step(logs, cursor, ["event_id"])))
 
 
+# --- joins by time ------------------------------------------------------------------------
+
+@_register(
+    "asof_last_error",
+    f"""
+    SELECT p.event_id, p."ResourceID", {_text('e."Timestamp"')} AS last_error_at, e.event_id AS last_error
+    FROM (SELECT * FROM ({_LOGS}) WHERE "Level" = 'purchase') p
+    ASOF LEFT JOIN (SELECT * FROM ({_LOGS}) WHERE "Level" = 'error') e
+    ON p."ResourceID" = e."ResourceID" AND p."Timestamp" >= e."Timestamp"
+    """,
+)
+def asof_last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last error before each purchase, per resource."""
+    logs = _logs(spark, sf_dir, "event_id")
+    errors = logs.where(F.col("Level") == "error").select("ResourceID", "Timestamp", "event_id")
+    found = asof_join(logs.where(F.col("Level") == "purchase"), errors, ["ResourceID"], columns=["Timestamp", "event_id"])
+    return _shown(found.select(
+        "event_id", "ResourceID", F.col("last_Timestamp").alias("last_error_at"), F.col("last_event_id").alias("last_error")))
+
+
+@_register(
+    "range_clicks_after_error",
+    f"""
+    SELECT e.event_id AS error_id, count(*) AS clicks, count(DISTINCT c."ResourceID") AS resources
+    FROM (SELECT * FROM ({_LOGS}) WHERE "Level" = 'error') e
+    JOIN (SELECT * FROM ({_LOGS}) WHERE "Level" = 'click') c
+    ON c."Timestamp" BETWEEN e."Timestamp" AND e."Timestamp" + INTERVAL 1 MINUTE * (1 + e.event_id % 40)
+    GROUP BY 1
+    """,
+)
+def range_clicks_after_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks of anybody in the minutes after each error, between one and forty of them."""
+    logs = _logs(spark, sf_dir, "event_id")
+    minutes = F.make_dt_interval(mins=(1 + F.col("event_id") % 40).cast("int"))
+    errors = logs.where(F.col("Level") == "error").select(
+        F.col("event_id").alias("error_id"), F.col("Timestamp").alias("begin"), (F.col("Timestamp") + minutes).alias("end"))
+    clicks = logs.where(F.col("Level") == "click").select("Timestamp", "ResourceID")
+    pairs = range_join(clicks, errors, "Timestamp", "begin", "end", bucket_micros=300_000_000)
+    return pairs.groupBy("error_id").agg(F.count("*").alias("clicks"), F.count_distinct("ResourceID").alias("resources"))
+
+
 # --- search -----------------------------------------------------------------------------
 
 _STATEMENT = """
@@ -864,6 +906,23 @@ def sql_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_sql(spark, sql)
 
 
+_FOUR_DAYS = """
+    SELECT late.Level, late.ResourceID, count(*) AS n, min(late.Message) AS smallest
+    FROM logs late JOIN (
+        SELECT DISTINCT ResourceID FROM logs
+        WHERE Level = 'error' AND "Timestamp" BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-11 18:00:00') failed
+    ON late.ResourceID = failed.ResourceID
+    WHERE late."Timestamp" > TIMESTAMP '2024-01-11 18:00:00' AND CAST(late."Timestamp" AS DATE) <= DATE '2024-01-13'
+    GROUP BY 1, 2"""
+
+
+@_register("sql_stored_days", _FOUR_DAYS.replace("FROM logs", f"FROM ({_LOGS})"))
+def sql_stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement over the stored table whose own conditions leave four of its days."""
+    register_logs(read_logs(spark, _stored(spark, _logs(spark, sf_dir), "logs")))
+    return search_sql(spark, _FOUR_DAYS.strip().replace('"Timestamp"', "`Timestamp`"))
+
+
 # --- flagship ------------------------------------------------------------------------------
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

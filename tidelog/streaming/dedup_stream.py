@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.output import stored_rows
 from tidelog.sources.table import BATCH, DATE, KEY, LOG_COLUMNS, OK, STATUS, STORED_SCHEMA, is_log_table
-from tidelog.streaming.sink import replace_batch, stream_id
+from tidelog.streaming.sink import batch_names, replace_batch
 from tidelog.streaming.tail_stream import start_batches
 
 # So many days of a micro-batch are named to the scan of the table one by one, with their
@@ -118,8 +118,10 @@ def start_dedup(
     carry the same time. A micro-batch that comes again replaces itself and is not
     compared with what it has written.
     """
+    name_of = batch_names(checkpoint)
+
     def append(batch: DataFrame, number: int) -> None:
-        name = f"{stream_id(batch.sparkSession, checkpoint)}-{number}"
+        name = name_of(batch, number)
         young, other = split_by_age(batch, delay)
         fresh = stored_rows(young).unionByName(unseen_rows(other, path, keys, name))
         replace_batch(fresh, name, path, (STATUS, DATE))

@@ -11,7 +11,7 @@ from tidelog.operators.ingest import route_logs
 from tidelog.operators.output import stored_rows
 from tidelog.session import require_utc
 from tidelog.sources.table import BATCH, DATE, STATUS
-from tidelog.streaming.sink import replace_batch, stream_id
+from tidelog.streaming.sink import batch_names, replace_batch
 from tidelog.streaming.tail_stream import start_batches
 
 ROUTE = "route"
@@ -59,8 +59,10 @@ def start_routing(
     itself in all of them when it comes again. A route that takes most rows is cut by
     size."""
 
+    name_of = batch_names(checkpoint)
+
     def deliver(batch: DataFrame, number: int) -> None:
-        name = f"{stream_id(batch.sparkSession, checkpoint)}-{number}"
+        name = name_of(batch, number)
         routed = route_logs(batch, rules, default)
         stored = stored_rows(routed, ROUTE)
         replace_batch(stored, name, path, (ROUTE, STATUS, DATE))

@@ -11,7 +11,7 @@ from tidelog.operators.output import stored_rows
 from tidelog.session import require_utc
 from tidelog.sources.bodies import read_log_bodies
 from tidelog.sources.table import DATE, STATUS
-from tidelog.streaming.sink import replace_batch, stream_id
+from tidelog.streaming.sink import batch_names, replace_batch
 
 
 def start_stream_write(
@@ -34,8 +34,10 @@ def start_stream_write(
     """
     require_utc(rows.sparkSession)
 
+    name_of = batch_names(checkpoint)
+
     def append(batch: DataFrame, number: int) -> None:
-        name = f"{stream_id(batch.sparkSession, checkpoint)}-{number}"
+        name = name_of(batch, number)
         replace_batch(stored_rows(batch), name, path, (STATUS, DATE), max_rows_per_file)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{int(trigger_seconds * 1000)} milliseconds"}

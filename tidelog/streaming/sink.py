@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,11 +13,20 @@ from tidelog.session import delete_path, path_exists, settings
 from tidelog.sources.table import BATCH, DATE, OK, STATUS, STORED_SCHEMA
 
 
-def stream_id(spark: SparkSession, checkpoint: str) -> str:
-    """Spark's own id of the query that keeps its progress at ``checkpoint``. A checkpoint
-    that was removed and made anew has another one, so that its micro-batches, which are
-    numbered from 0 again, replace nothing."""
-    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+def batch_names(checkpoint: str) -> Callable[[DataFrame, int], str]:
+    """Names of the micro-batches of the query that keeps its progress at ``checkpoint``:
+    Spark's own id of the query, and the number. A checkpoint that was removed and made
+    anew has another id, so that its micro-batches, which are numbered from 0 again,
+    replace nothing."""
+    known: list[str] = []
+
+    def name(batch: DataFrame, number: int) -> str:
+        if not known:
+            metadata = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+            known.append(json.loads(metadata)["id"])
+        return f"{known[0]}-{number}"
+
+    return name
 
 
 def replace_batch(
