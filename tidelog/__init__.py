@@ -8,7 +8,9 @@ from tidelog.operators.ingest import (
 )
 from tidelog.operators.joins import asof_join, range_join
 from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
+from tidelog.operators.summaries import merged_summary, merged_top_messages, write_summaries
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages
+from tidelog.operators.text_index import files_with, index_text, search_text
 from tidelog.operators.tailing import next_cursor, tail_step
 from tidelog.plans.search import SearchResult, register_logs, search, search_sql
 from tidelog.session import get_session

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from tidelog.functions.binding import bound
+
 # The keys read from a body, in table order.
 BODY_KEYS = ("timestamp", "level", "message", "resourceID")
 
@@ -52,12 +52,6 @@ def plain_number(value: Column, token: Column) -> Column:
     return F.when(looks_fractional(value) & number, plain_digits(value.try_cast("double"))).otherwise(value)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once. A plain expression would hold the value's
-    own expression at every place that names it, and grow beyond what can be compiled."""
-    return F.transform(F.array(value), use)[0]
-
-
 def plain_digits(value: Column) -> Column:
     """Shortest decimal digits of a double, without an exponent."""
     # the plain text of a double may have a digit too many; fewer that give the same
@@ -68,7 +62,7 @@ def plain_digits(value: Column) -> Column:
         .when(long.try_cast("double") == value, long)
         .otherwise(value.cast("string"))
     )
-    return _bound(shown, _without_exponent)
+    return bound(shown, _without_exponent)
 
 
 def _without_exponent(shown: Column) -> Column:
@@ -79,7 +73,7 @@ def _without_exponent(shown: Column) -> Column:
         F.concat(whole, F.regexp_replace(fraction, "^0$", "")).alias("digits"),
         (F.length(whole) + F.coalesce(exponent.try_cast("int"), F.lit(0))).alias("point"),
     )
-    return F.when(shown.rlike(form), _bound(parts, _placed)).otherwise(shown)
+    return F.when(shown.rlike(form), bound(parts, _placed)).otherwise(shown)
 
 
 def _placed(parts: Column) -> Column:

@@ -39,6 +39,12 @@ def _literals(part: list[str | None]) -> list[str]:
     return [run for run in runs if run]
 
 
+def literal_runs(text: str) -> list[str]:
+    """Runs of characters that every message with ``LIKE '%text%'`` holds."""
+    _, *parts = like_parts(f"%{text}%")
+    return [run for part in parts for run in _literals(part)]
+
+
 def _regex(part: list[str | None]) -> str:
     return "".join("." if char is _ANY_CHAR else re.sub(r"([^\w\s]|_)", r"\\\1", char, flags=re.ASCII) for char in part)
 

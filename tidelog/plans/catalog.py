@@ -20,7 +20,9 @@ from tidelog.operators.ingest import (
 )
 from tidelog.operators.joins import asof_join, range_join
 from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
+from tidelog.operators.summaries import merged_summary, merged_top_messages, write_summaries
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages
+from tidelog.operators.text_index import index_text, search_text
 from tidelog.operators.tailing import next_cursor, tail_step
 from tidelog.plans.search import register_logs, search, search_sql
 from tidelog.session import fresh_folder
@@ -458,6 +460,20 @@ def filter_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_logs(messages, contains_text="on%the_re").select("doc_id", "lang")
 
 
+@_register("indexed_text", "SELECT doc_id::VARCHAR AS \"ResourceID\", lang AS \"Level\" FROM documents WHERE text LIKE '%on%the_re%'")
+def indexed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text filter over whole long messages in a stored table of forty days, half of
+    which the text index knows."""
+    day = F.timestamp_add("DAY", (F.col("doc_id") % 40).cast("int"), F.lit(_START).cast("timestamp"))
+    logs = _table(spark, sf_dir, "documents").select(
+        day.alias("Timestamp"), F.col("lang").alias("Level"), F.col("text").alias("Message"), F.col("doc_id").cast("string").alias("ResourceID"))
+    folder = fresh_folder(spark, "indexed")
+    write_logs(logs.where("ResourceID % 2 = 0"), f"{folder}/logs")
+    index_text(spark, f"{folder}/logs", f"{folder}/index")
+    write_logs(logs.where("ResourceID % 2 = 1"), f"{folder}/logs")
+    return search_text(spark, f"{folder}/logs", f"{folder}/index", "on%the_re").select("ResourceID", "Level")
+
+
 @_register("filter_resource", _rows_where("\"ResourceID\" = 'user-6'"))
 def filter_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(filter_logs(_logs(spark, sf_dir), resource_id="user-6"))
@@ -783,6 +799,45 @@ def top_messages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_messages(_logs(spark, sf_dir), 5)
 
 
+def _summaries(spark: SparkSession, sf_dir: str) -> str:
+    """Kept summaries of all days, those of the second half written later."""
+    logs, path = _logs(spark, sf_dir), fresh_folder(spark, "summaries")
+    early = F.col("Timestamp") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (early, ~early):
+        write_summaries(logs.where(part), path)
+    return path
+
+
+@_register("summary_merged", ORACLES["summary_level"])
+def summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept per day, level and resource, merged per level. There are so few messages that
+    the sketches count them exactly."""
+    return _shown(merged_summary(spark, _summaries(spark, sf_dir), ["Level"]))
+
+
+@_register("top_messages_merged", ORACLES["top_messages"])
+def top_messages_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged_top_messages(spark, _summaries(spark, sf_dir), 5)
+
+
+@_register(
+    "summary_approx",
+    """
+    SELECT event_type AS "Level", count(*) AS n_logs, count(DISTINCT event_id::VARCHAR || props) AS exact, true AS within_bound
+    FROM events GROUP BY event_type
+    """,
+)
+def summary_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch of distinct messages against their exact number, with a message of its
+    own for every event: within 10 %, twice the sketch's relative standard error."""
+    logs = _logs(spark, sf_dir, "event_id")
+    unique = logs.withColumn("Message", F.concat(F.col("event_id").cast("string"), "Message"))
+    exact = summarize_logs(unique, ["Level"]).select("Level", "n_logs", F.col("n_messages").alias("exact"))
+    sketch = summarize_logs(unique, ["Level"], approx=True).select("Level", F.col("n_messages").alias("estimate"))
+    within = F.abs(F.col("estimate") - F.col("exact")) <= 0.1 * F.col("exact")
+    return exact.join(sketch, "Level").select("Level", "n_logs", "exact", within.alias("within_bound"))
+
+
 @_register(
     "log_volume",
     f"""
