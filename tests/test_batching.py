@@ -1,4 +1,5 @@
 import gc
+import os
 import random
 import time
 
@@ -7,7 +8,6 @@ from pyspark.sql import functions as F
 
 from plan_text import plan_of
 from tidelog import assign_batches, batch_sizes
-from tidelog.session import files_below
 
 
 def buffer_loop(arrivals, max_rows=100, first=15_000_000, step=5_000_000):
@@ -54,19 +54,25 @@ def test_a_hot_instant_is_spread_over_tasks(spark):
     assert "RDDScan" in plan.replace(" ", "") or "ExistingRDD" in plan
 
 
+def checkpointed(spark):
+    """Data files in the checkpoint folder."""
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return {os.path.join(top, name) for top, _, names in os.walk(folder) for name in names}
+
+
 def test_numbered_rows_go_with_the_result(spark):
     """The checkpoint is Spark's own, which removes it when the result is gone."""
-    before = set(files_below(spark, spark.sparkContext.getCheckpointDir()))
+    before = checkpointed(spark)
     assigned = assign_batches(spark.range(500).selectExpr("id", "id * 1000 us"), "us", ["id"])
     assert assigned.count() == 500
     del assigned
     for _ in range(40):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        if set(files_below(spark, spark.sparkContext.getCheckpointDir())) <= before:
+        if checkpointed(spark) <= before:
             break
         time.sleep(0.25)
-    assert set(files_below(spark, spark.sparkContext.getCheckpointDir())) <= before
+    assert checkpointed(spark) <= before
 
 
 def test_rows_without_arrival_are_kept(spark):
