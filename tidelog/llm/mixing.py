@@ -85,10 +85,16 @@ def _sized(docs: DataFrame, *extra: Column) -> DataFrame:
     return docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("content"), *extra)
 
 
+def _source_key(source: str) -> Column:
+    """A source as text that is never NULL. Rows dealt by it for a window need not be
+    dealt again for a join, as they would be for one that takes NULLs for equal."""
+    return F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), source))
+
+
 def _with_order(sized: DataFrame) -> DataFrame:
     """A random but repeatable order of the documents, and the block of the order."""
     ordered = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return ordered.withColumn("block", F.substring("order", 1, BLOCK_DIGITS))
+    return ordered.withColumns({"block": F.substring("order", 1, BLOCK_DIGITS), "source_key": _source_key("source")})
 
 
 def _placed(sized: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -96,13 +102,13 @@ def _placed(sized: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame
     source's size, weight and target. ``sizes`` has the same documents without the
     columns that only travel along. Words are summed per block of the order first, so
     that a source may hold any share of the documents."""
-    blocks = _with_order(sizes).groupBy(F.col("source").alias("b_source"), F.col("block").alias("b_block")).agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("b_source").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("b_source", "b_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    offsets = offsets.join(targets, F.col("b_source").eqNullSafe(F.col("m_source"))).drop("m_source")
-    inside = Window.partitionBy("source", "block").orderBy("order", "content", "size").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = _with_order(sizes).groupBy(F.col("source_key").alias("b_key"), F.col("block").alias("b_block")).agg(F.sum("size").alias("n"))
+    earlier = Window.partitionBy("b_key").orderBy("b_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("b_key", "b_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    offsets = offsets.join(targets, F.col("b_key") == _source_key("m_source")).drop("m_source")
+    inside = Window.partitionBy("source_key", "block").orderBy("order", "content", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = _with_order(sized).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block"))
+    same = (F.col("source_key") == F.col("b_key")) & (F.col("block") == F.col("b_block"))
     return summed.join(offsets, same).withColumn("start", F.col("before") + F.col("within"))
 
 
