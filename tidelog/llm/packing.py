@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -9,6 +11,8 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelog.llm.common import saved
@@ -21,10 +25,12 @@ END_ID = 0
 LARGE_SHARE = 4
 GROUPS = 256
 
-# A worker forgets its words beyond this many, and keeps none longer than this.
+# A worker keeps words in two generations of about so many, none longer than this, and
+# takes texts of about so many bytes at a time.
 _CACHE_WORDS = 500_000
 _CACHE_BYTES = 64
 _ENCODED = 4096
+_SLICE_BYTES = 16_000_000
 _BLOCK_ROWS = 200_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,38 +38,113 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # --- tokens ---------------------------------------------------------------------------
 
+def _plain_split(path: str):
+    """How the tokenizer cuts a printable ASCII word into the parts that its model sees,
+    if that can be said by one pattern on the word in small letters; else None."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    steps = (made["normalizer"] or {}).get("normalizers", [])
+    cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"}
+    known = known and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and "Regex" in cuts[0]["pattern"]
+    known = known and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    if not known or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
+        return None
+    return regex.compile(cuts[0]["pattern"]["Regex"]).findall
+
+
 class WordIds:
     """Ids of words as little-endian bytes. The tokenizer never joins text across white
-    space, so a document's ids are those of its words one after the other. Words not yet
-    known are encoded many at a time."""
+    space, so a document's ids are those of its words one after the other. Each distinct
+    word of many texts is looked up once. Of words not yet known, printable ASCII ones are
+    put together from their parts, which many words share; all others are encoded whole,
+    many at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), _ENCODED):
-            part = words[at : at + _ENCODED]
-            found = self.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.split = _plain_split(path)
+        added = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+            if len(part) <= _CACHE_BYTES:
+                self.parts[part] = found
+        return found
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        learned: dict[str, bytes] = {}
+        whole = words
+        if self.split is not None:
+            if len(self.parts) > _CACHE_WORDS:
+                self.parts = {}
+            whole = []
+            for word in words:
+                if word.isascii() and word.isprintable() and not self.added(word):
+                    learned[word] = b"".join(map(self._part, self.split(word.lower())))
+                else:
+                    whole.append(word)
+        for at in range(0, len(whole), _ENCODED):
+            part = whole[at : at + _ENCODED]
+            found = self.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right")
-            begin = 0
-            for word, end in zip(part, ends.tolist()):
-                self.known[word] = ids[begin:end]
-                begin = end
+            learned.update((word, ids[begin:end]) for word, (begin, end) in zip(part, pairwise([0, *ends.tolist()])))
+        return learned
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text."""
-        words = [(text or "").encode().split() for text in texts]
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        self._learn(list(set(chain.from_iterable(words)).difference(self.known)))
-        for own in words:
-            yield b"".join(map(self.known.__getitem__, own))
-        for word in {w for own in words for w in own if len(w) > _CACHE_BYTES}:
-            self.known.pop(word)
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k in missing:
+            found[k] = self.older.get(words[k])
+        learned = self._learn([words[k] for k in missing if found[k] is None])
+        for k in missing:
+            if found[k] is None:
+                found[k] = learned[words[k]]
+        self.known.update((words[k], found[k]) for k in missing if len(words[k]) <= _CACHE_BYTES)
+        return found
+
+    def of(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._ids(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        word_ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])
+        text_ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        data = memoryview(ids.buffers()[2] or b"")
+        for begin, end in pairwise(word_ends[text_ends].tolist()):
+            yield data[begin:end].tobytes()
+
+
+def _worker_words(path: str) -> WordIds:
+    """The words of this worker process, which tasks that run in it one after the other
+    share. A task brings its functions anew, so the words are kept with the library."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_tidelog_words", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with texts of about ``_SLICE_BYTES`` together, one at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // _SLICE_BYTES
+    for begin, end in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]):
+        yield batch.slice(begin, end - begin)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -73,10 +154,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     width, end = 4 * capacity, np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
-        for batch in batches:
+        words = _worker_words(tokenizer)
+        for batch in chain.from_iterable(map(_slices, batches)):
             rows: list[tuple] = []
-            for doc, known in zip(batch.column("doc_id").to_pylist(), words.of(batch.column("text").to_pylist())):
+            for doc, known in zip(batch.column("doc_id").to_pylist(), words.of(batch.column("text"))):
                 ids = known + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
