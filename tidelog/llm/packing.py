@@ -25,12 +25,12 @@ END_ID = 0
 LARGE_SHARE = 4
 GROUPS = 256
 
-# A worker keeps words in two generations of about so many, none longer than this, and
-# takes texts of about so many bytes at a time.
-_CACHE_WORDS = 500_000
+# A worker keeps words in two generations of about so many, and so many parts of words,
+# none longer than this, and takes texts of about so many bytes at a time.
+_CACHE_WORDS, _CACHE_PARTS = 150_000, 300_000
 _CACHE_BYTES = 64
 _ENCODED = 4096
-_SLICE_BYTES = 16_000_000
+_SLICE_BYTES = 4_000_000
 _BLOCK_ROWS = 200_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -84,7 +84,7 @@ class WordIds:
         learned: dict[str, bytes] = {}
         whole = words
         if self.split is not None:
-            if len(self.parts) > _CACHE_WORDS:
+            if len(self.parts) > _CACHE_PARTS:
                 self.parts = {}
             whole = []
             for word in words:
