@@ -27,7 +27,7 @@ GROUPS = 256
 
 # A worker keeps words in two generations of about so many, and so many parts of words,
 # none longer than this, and takes texts of about so many bytes at a time.
-_CACHE_WORDS, _CACHE_PARTS = 150_000, 300_000
+_CACHE_WORDS, _CACHE_PARTS = 250_000, 500_000
 _CACHE_BYTES = 64
 _ENCODED = 4096
 _SLICE_BYTES = 4_000_000
