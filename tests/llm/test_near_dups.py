@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import doc
+from tidelog.llm import near_dups
 from tidelog.llm.near_dups import components, drop_near_duplicates, near_duplicates, shingle_set, _WordHash
 from tidelog.llm.substring import CUT_WORDS, dedup_spans, sentence_places, sentences
 
@@ -72,6 +73,48 @@ def test_components_match_all_pairs(frame, chains, width):
     assert len(set(expected.values())) < len(expected) - 100
 
 
+def templated(pairs, seed):
+    """Pairs a little above the threshold; all else shares a template and stays below it."""
+    rng, rows = random.Random(seed), []
+    template = [f"w{k}" for k in range(150)]
+    for i in range(pairs):
+        base = list(template)
+        for at in rng.sample(range(5, 145, 10), 7):
+            base[at] = f"p{i}x{at}"
+        near = list(base)
+        for at in rng.sample(range(10, 140, 20), 3):
+            near[at] = f"q{i}x{at}"
+        rows += [doc(2 * i, " ".join(base)), doc(2 * i + 1, " ".join(near))]
+    return rows
+
+
+def test_pairs_under_one_template_are_all_found(frame):
+    rows = templated(300, 17)
+    expected = plain_components(rows, 5)
+    assert all(expected[i] == i - i % 2 for i in expected)
+    found = near_duplicates(frame(rows), 5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
+def test_blocks_and_slices_split_a_bucket_without_loss(frame, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "SLICE", 32)
+    rows = templated(60, 18)
+    found = near_duplicates(frame(rows), 5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == plain_components(rows, 5)
+
+
+@pytest.mark.parametrize("n", [1, 30, 400, 20_000])
+def test_sketches_never_differ_in_more_bits_than_sets_in_hashes(n):
+    rng = np.random.RandomState(n)
+    first = np.unique(rng.randint(0, 1 << 62, n).astype(np.uint64))
+    for share in (0.0, 0.1, 0.5, 1.0):
+        swapped = rng.rand(len(first)) < share
+        second = np.unique(np.where(swapped, rng.randint(0, 1 << 62, len(first)).astype(np.uint64), first))
+        bits = [np.frombuffer(near_dups._sketch(s), np.uint64) for s in (first, second)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(first, second))
+
+
 def test_one_of_each_group_stays_and_columns_too(frame, chains):
     clash = frame(chains).selectExpr("*", "1 AS id", "2 AS key", "'x' AS component", "3 AS n_shingles", "4 AS h1")
     left = drop_near_duplicates(clash, 5)

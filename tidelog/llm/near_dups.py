@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +25,12 @@ N_HASHES = SINGLES + 2 * PAIRS
 # happens with probability 2e-5.
 MIN_AGREE = 11
 
-# In tables left with several components, up to so many members of a bucket that are not
-# of its main component are compared with all its members; buckets with more of them are
-# split by three more minimums, so many times.
-OTHERS = 16
-SPLITS = 4
+# Buckets left with several components are compared in blocks: up to some BLOCK members
+# outside the main component with up to some SLICE members at a time. In a sketch, each
+# shingle flips one of BITS bits.
+BLOCK = 1024
+SLICE = 8192
+BITS = 2048
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.RandomState(20).randint(0, 1 << 62, size=(2, N_HASHES), dtype=np.int64).astype(np.uint64)
@@ -213,9 +212,10 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _open(rows: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components, with the bucket's ``main``
-    component, the largest one there, and how many ``others`` are not of it."""
+    component, the largest one there, its ``n`` members and how many ``others`` are not of
+    that component."""
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    spans = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    spans = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
     return rows.join(spans.where("others > 0"), "key")
 
 
@@ -224,75 +224,121 @@ def _may_link(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _firsts_left(firsts: DataFrame, members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def _firsts_left(firsts: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of a member and a bucket's first one that are in different components."""
     label = found.select(F.col("id").alias("b"), F.col("component").alias("other"))
     rows = firsts.select("a", "b").join(found.withColumnRenamed("id", "a"), "a", "left").join(label, "b", "left")
     return rows.where(F.coalesce("component", "a") != F.coalesce("other", "b")).select("a", "b")
 
 
-def _agreeing() -> Column:
-    """How many minimums of ``sig`` and ``sig_b`` agree."""
-    same = [(F.substring("sig", 4 * k + 1, 4) == F.substring("sig_b", 4 * k + 1, 4)).cast("int") for k in range(N_HASHES)]
-    return reduce(add, same)
+def _sketch(items: np.ndarray) -> bytes:
+    """Which of ``BITS`` bits an odd number of the set's hashes falls on. The sketches of two
+    sets differ in at most as many bits as there are hashes in only one of the sets."""
+    return np.packbits(np.bincount((items % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def _first_shared_table() -> Column:
-    """Whether table ``t`` is the first of those in ``mask`` that the two share."""
-    pair = [F.substring("sig", 4 * (SINGLES + 2 * j) + 1, 8) == F.substring("sig_b", 4 * (SINGLES + 2 * j) + 1, 8) for j in range(PAIRS)]
-    pairs = reduce(add, [F.when(same, F.lit(1 << j)).otherwise(0) for j, same in enumerate(pair)])
-    earlier = F.lit(False)
-    for i in range(SINGLES):
-        single = F.substring("sig", 4 * i + 1, 4) == F.substring("sig_b", 4 * i + 1, 4)
-        before = F.when(F.col("t") >= PAIRS * (i + 1), F.lit((1 << PAIRS) - 1))
-        for j in range(1, PAIRS):
-            before = before.when(F.col("t") == PAIRS * i + j, F.lit((1 << j) - 1))
-        tables = F.shiftright("mask", PAIRS * i).bitwiseAND((1 << PAIRS) - 1).cast("int")
-        earlier = earlier | (single & (tables.bitwiseAND(pairs).bitwiseAND(before.otherwise(0)) != 0))
-    return ~earlier
+def _sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, size, bits``: size and sketch of the sets of the named documents."""
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHash()
+        for whole in batches:
+            for batch in _chunks(whole):
+                sets = [shingle_set(t, width, known) for t in batch.column("text").to_pylist()]
+                bits = pa.array([_sketch(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").cast(pa.int64()), "size": pa.array(map(len, sets), pa.int64()), "bits": bits})
+
+    return wanted.mapInArrow(build, "id long, size long, bits binary")
 
 
-def _members_left(firsts: DataFrame, members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+_DEALT = ("key", "block", "slice")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one key, block and slice after the other, from rows sorted by them."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if not held.num_rows:
+            continue
+        places = np.stack([held.column(c).to_numpy() for c in _DEALT])
+        starts = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1
+        if len(starts):
+            yield from _cut(held.slice(0, starts[-1]), starts[:-1])
+            held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield from _cut(held, np.zeros(0, np.int64))
+
+
+def _cut(rows: pa.Table, starts: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    values = {c: rows.column(c).to_numpy() for c in ("t", "id", "component", "main", "size", "asks")}
+    values["sig"] = _signature_rows(rows.column("sig"))
+    values["bits"] = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    for begin, end in zip([0, *starts], [*starts, rows.num_rows]):
+        yield {c: v[begin:end] for c, v in values.items()}
+
+
+def _may_be_linked(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``x, y`` of rows of a bucket are this bucket's to compare and,
+    by sizes and sketches, similar enough."""
+    once = (rows["component"][y] == rows["main"][y]) | (rows["id"][x] < rows["id"][y])
+    small, large = np.minimum(rows["size"][x], rows["size"][y]), np.maximum(rows["size"][x], rows["size"][y])
+    good = once & (100 * small >= PERCENT * large)
+    # of the tables that the two share the first one compares them
+    same = rows["sig"][x] == rows["sig"][y]
+    pairs = same[:, SINGLES:].reshape(len(x), PAIRS, 2).all(2)
+    good &= same[:, :SINGLES].argmax(1) * PAIRS + pairs.argmax(1) == rows["t"][x]
+    differ = np.bitwise_count(rows["bits"][x] ^ rows["bits"][y]).sum(1, dtype=np.int64)
+    return good & ((100 + PERCENT) * differ <= (100 - PERCENT) * (small + large))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``a > b`` of an asking row and another one of its group that may be linked."""
+    some = 1 << 16
+    for rows in _groups(batches):
+        asks, others, sig = np.flatnonzero(rows["asks"]), np.flatnonzero(~rows["asks"]), rows["sig"]
+        for at in range(0, len(asks), BLOCK):
+            for to in range(0, len(others), BLOCK):
+                x, y = asks[at : at + BLOCK], others[to : to + BLOCK]
+                agree = np.zeros((len(x), len(y)), np.uint8)
+                for k in range(N_HASHES):
+                    agree += sig[x, k][:, None] == sig[y, k]
+                apart = rows["component"][x][:, None] != rows["component"][y]
+                i, j = np.nonzero((agree >= MIN_AGREE) & apart)
+                for begin in range(0, len(i), some):
+                    left, right = x[i[begin : begin + some]], y[j[begin : begin + some]]
+                    good = _may_be_linked(rows, left, right)
+                    a, b = rows["id"][left[good]], rows["id"][right[good]]
+                    yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _members_left(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Pairs of different components that share a bucket and may be linked.
 
-    In a bucket with at most ``OTHERS`` members outside its main component, each of those
-    is compared with all members, however many the bucket has. The other buckets, which
-    hold many unlike members, are split by further minimums until they do, or have few
-    members; what no minimum splits is compared with the bucket's first member and a
-    random one.
+    Each member outside the main component of its bucket is compared with all its
+    members. The former are dealt into blocks and the latter into slices by their number,
+    and every block meets every slice, so that a group of rows is small however large its
+    bucket. Sketches rule out what is clearly below the threshold, and nothing else.
     """
-    rows = _with_component(members.select("key", "t", "id"), found).join(classes.select("id", F.col("n_shingles").alias("size"), "sig"), "id")
-    open_ = saved(_open(rows), "open")
-    few = open_.where(F.col("others") <= OTHERS)
-    outside = few.where("component <> main")
-    masks = outside.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
-    outside = outside.join(masks, "id").select(
-        F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"),
-        F.col("sig").alias("sig_b"), "mask",
+    open_ = saved(_open(_with_component(members.select("key", "t", "id"), found)), "open")
+    sketches = saved(_sketches(docs, open_.select("id").distinct().hint("merge"), width), "sketches")
+    rows = open_.join(classes.select("id", "sig"), "id").join(sketches, "id")
+    blocks, slices = F.ceil(F.col("others") / BLOCK), F.ceil(F.col("n") / SLICE)
+    columns = ["key", "t", "id", "component", "main", "size", "sig", "bits"]
+
+    def every(number: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), number - 1))
+
+    asking = rows.where("component <> main").select(
+        *columns, F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), blocks).alias("block"), every(slices).alias("slice")
     )
-    once = (F.col("component") == F.col("main")) | (F.col("id") < F.col("b"))
-    apart = (F.col("key") == F.col("k")) & (F.col("component") != F.col("component_b")) & once
-    likely = _may_link("size", "size_b") & (_agreeing() >= MIN_AGREE) & _first_shared_table()
-    pairs = few.join(outside, apart & likely).select(F.col("b").alias("a"), F.col("id").alias("b"))
-
-    many = open_.where(F.col("others") > OTHERS).drop("main", "others")
-    for depth in range(SPLITS):
-        if many.isEmpty():
-            break
-        # the minimums to split by differ from bucket to bucket
-        places = [F.pmod(F.xxhash64("key", F.lit(3 * depth + k)), F.lit(N_HASHES)).cast("int") for k in range(3)]
-        values = [F.substring("sig", place * 4 + 1, F.lit(4)) for place in places]
-        open_ = saved(_open(many.withColumn("key", F.xxhash64("key", *values))), "open")
-        few = open_.where(F.col("others") <= OTHERS)
-        outside = few.where("component <> main").select(
-            F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"), F.col("sig").alias("sig_b")
-        )
-        likely = _may_link("size", "size_b") & (_agreeing() >= MIN_AGREE)
-        pairs = pairs.union(few.join(outside, apart & likely).select(F.col("b").alias("a"), F.col("id").alias("b")))
-        many = open_.where(F.col("others") > OTHERS).drop("main", "others")
-    pick = many.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("any"), F.min("id").alias("first"))
-    star = many.join(pick, "key").select(F.col("id").alias("a"), F.explode(F.array("any", "first")).alias("b")).where("a <> b")
-    return pairs.union(star).distinct()
+    asked = rows.select(
+        *columns, F.lit(False).alias("asks"), every(blocks).alias("block"), F.pmod(F.xxhash64("id"), slices).alias("slice")
+    )
+    dealt = asking.union(asked).repartition(*_DEALT).sortWithinPartitions(*_DEALT)
+    return dealt.mapInArrow(_compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -306,7 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     Equal sets first become one class, so that copies never form pairs. In the tables of
     combined keys, each class is compared first with the first member it shares most
     tables with, then with the first members of its other buckets; buckets that then still
-    hold several components are compared in full, large ones after a split.
+    hold several components are compared in full, block by block.
 
     Texts without words, NULL ones too, have no shingles, are linked with nothing and
     kept. A document whose doc_id is NULL is linked with nothing: component NULL, kept.
@@ -332,9 +378,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     sets = saved(_sets(docs, ids.hint("merge"), width), "sets")
     links = saved(_links(tried, sets, percent), "links")
     found = saved(components(links), "components")
-    for step in (_firsts_left, _members_left):
-        pairs = step(firsts, members, found, classes).join(tried, ["a", "b"], "left_anti")
-        pairs = saved(_likely(pairs, classes), "pairs")
+    for step in range(2):
+        if step == 0:
+            pairs = _likely(_firsts_left(firsts, found).join(tried, ["a", "b"], "left_anti"), classes)
+        else:
+            pairs = _members_left(members, found, classes, docs, width).join(tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "pairs")
         if pairs.isEmpty():
             continue
         new = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
