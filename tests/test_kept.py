@@ -60,6 +60,13 @@ def test_sketches_keep_their_bound(spark, folder):
     assert abs(approx - 40_000) <= 0.1 * 40_000
 
 
+def test_the_sketch_keeps_its_bound_in_every_group(spark):
+    rows = spark.range(0, 60 * 3000, 1, 4).selectExpr(
+        "timestamp'2024-01-01' Timestamp", "concat('g', id % 60) Level", "concat('message ', id) Message", "'r' ResourceID")
+    found = summarize_logs(rows, ["Level"], approx=True).collect()
+    assert len(found) == 60 and all(abs(r.n_messages - 3000) <= 4 * DISTINCT_ERROR * 3000 for r in found)
+
+
 def test_summaries_of_nothing(spark, logs, folder):
     write_summaries(logs, folder)
     write_summaries(logs.limit(0), folder)

@@ -829,7 +829,7 @@ def top_messages_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def summary_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketch of distinct messages against their exact number, with a message of its
-    own for every event: within 10 %, twice the sketch's relative standard error."""
+    own for every event: within 10 %, six times the sketch's relative standard error."""
     logs = _logs(spark, sf_dir, "event_id")
     unique = logs.withColumn("Message", F.concat(F.col("event_id").cast("string"), "Message"))
     exact = summarize_logs(unique, ["Level"]).select("Level", "n_logs", F.col("n_messages").alias("exact"))
