@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plan_text import plan_of
-from tidelog import asof_join, range_join
+from tidelog import asof_join, range_counts, range_join
 
 BEGIN = dt.datetime(2024, 1, 1)
 
@@ -102,3 +102,33 @@ def test_range_join_of_empty_sides_and_clashing_names(spark, sides):
     with pytest.raises(ValueError):
         range_join(l, right, "Timestamp", "s", "e")
     assert "id" in range_join(l, right.withColumn("x", F.lit(1)), "Timestamp", "s", "e", ["key"]).columns
+
+
+@pytest.mark.parametrize("together", [10**6, 40])
+def test_range_counts(spark, sides, together):
+    left, _, l, _ = sides
+    rows, _ = intervals(spark, random.Random(7))
+    # equal intervals under one id, different ones under another, an id that is NULL
+    rows += [(5, "a", s, e) for k, _, s, e in rows if k == 5] + [(6, "a", -20_000, 900), (6, "a", 500, 30_000), (None, "a", 0, 3600)]
+    right = spark.createDataFrame([(k, at(s), at(e)) for k, _, s, e in rows], "iv long, s timestamp, e timestamp")
+    found = range_counts(l, right, "Timestamp", "s", "e", "iv", "key", 60 * 10**6, together)
+    expected = {}
+    for k, _, s, e in rows:
+        for i, key, t in left:
+            if None not in (t, s, e) and s <= t <= e:
+                expected.setdefault(k, []).append(key)
+    expected = {k: (len(keys), len(set(keys) - {None})) for k, keys in expected.items()}
+    got = [(x["iv"], (x["n_pairs"], x["n_values"])) for x in found.collect()]
+    assert dict(got) == expected and len(got) == len(expected) > 25
+    assert range_counts(l.limit(0), right, "Timestamp", "s", "e", "iv", "key").count() == 0
+    assert range_counts(l, right.limit(0), "Timestamp", "s", "e", "iv", "key").count() == 0
+
+
+def test_range_counts_make_no_pairs(spark):
+    """20,000 intervals that hold 20,000 points each."""
+    points = spark.range(20_000).selectExpr("timestamp_micros(id) Timestamp", "id % 777 key")
+    right = spark.range(20_000).selectExpr("id iv", "timestamp_micros(-id) s", "timestamp_micros(20000 + id) e")
+    found = range_counts(points, right, "Timestamp", "s", "e", "iv", "key")
+    assert found.agg(F.count("*"), F.min("n_pairs"), F.max("n_pairs"), F.min("n_values"), F.max("n_values")).first() == (20_000, 20_000, 20_000, 777, 777)
+    plan = plan_of(found)
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan

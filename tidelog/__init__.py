@@ -6,7 +6,7 @@ from tidelog.operators.filters import between, filter_logs, from_date, latest, n
 from tidelog.operators.ingest import (
     extract_fields, ingest, normalize_timestamp, route_logs, split_rows, to_log_rows, validate,
 )
-from tidelog.operators.joins import asof_join, range_join
+from tidelog.operators.joins import asof_join, range_counts, range_join
 from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
 from tidelog.operators.summaries import merged_summary, merged_top_messages, write_summaries
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages

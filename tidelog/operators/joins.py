@@ -1,6 +1,7 @@
-"""Joins by time: the last row before, and the interval a time lies in.
+"""Joins by time: the last row before, the interval a time lies in, and what lies in each
+interval counted without the pairs.
 
-Neither is an equality, and both would be planned as nested loops. Here time is cut into
+None is an equality, and all would be planned as nested loops. Here time is cut into
 buckets, so that the work is spread by key and bucket, and a key that most rows share is
 cut as well.
 """
@@ -9,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Sides of the union, in the order in which they stand at one instant: what came from
 # earlier buckets, rows to be found, rows that look.
@@ -127,3 +131,114 @@ def range_join(
     looked = points.where(F.col(time).isNotNull()).withColumn("_level", F.explode(places)).withColumn("_cell", cell(_micros(time), level))
     pairs = looked.join(spread, ["_level", "_cell", *on])
     return pairs.where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))).drop("_level", "_cell")
+
+
+# Points, and intervals, that ``range_counts`` brings together in one group; more are cut.
+_TOGETHER = 1_000_000
+
+
+def range_counts(
+    points: DataFrame,
+    intervals: DataFrame,
+    time: str,
+    start: str,
+    end: str,
+    by: str,
+    value: str,
+    bucket_micros: int = HOUR,
+    together: int = _TOGETHER,
+) -> DataFrame:
+    """Per ``by`` of the intervals, what grouping ``range_join`` would give: ``n_pairs``,
+    the pairs, and ``n_values``, the distinct ``value`` of their points, NULLs aside.
+    Those without a pair are left out.
+
+    Pairs grow with the product of both sides; here a point goes to two groups of every
+    width of interval there is and an interval to one. A group is two buckets of time, not
+    shorter than the interval, so it has all points of its intervals. Where it has more
+    than ``together`` points they are cut by their value, so that the numbers of the cuts
+    add up; where it has more than ``together`` intervals, these are cut too. Only the
+    points of one value in two buckets stay in one place.
+
+    Repeated equal intervals of one ``by`` are counted once and multiplied. Different ones
+    can share values, which only the pairs tell: such a ``by`` is counted from them.
+    """
+    sound = intervals.where(F.col(start) <= F.col(end)).select(F.col(by).alias("_by"), start, end)
+    extent = [f(c).alias(f"_{f.__name__}_{k}") for k, c in (("s", start), ("e", end)) for f in (F.min, F.max)]
+    each = sound.groupBy("_by").agg(F.count("*").alias("_copies"), *extent)
+    alike = (F.col("_min_s") == F.col("_max_s")) & (F.col("_min_e") == F.col("_max_e"))
+    timed = points.where(F.col(time).isNotNull()).select(F.col(time), F.col(value).alias("_value"))
+
+    length = F.col("_end") - F.col("_begin")
+    doublings = F.ceil(F.log2(F.greatest(length / bucket_micros, F.lit(1.0)))).cast("int")
+    width = lambda level: F.lit(bucket_micros).cast("long") * F.pow(F.lit(2), level).cast("long")
+    cell = lambda at, level: F.call_function("div", at - F.pmod(at, width(level)), width(level))
+    ranges = each.where(alike).select("_by", "_copies", _micros("_min_s").alias("_begin"), _micros("_max_e").alias("_end"))
+    ranges = ranges.withColumn("_level", doublings + F.when(length > width(doublings), 1).otherwise(0))
+    levels = sorted(r[0] for r in ranges.select("_level").distinct().collect())
+    ranges = ranges.withColumn("_cell", cell(F.col("_begin"), F.col("_level")))
+    places = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
+    looked = timed.select(_micros(time).alias("_at"), "_value", F.explode(places).alias("_level"))
+    own = cell(F.col("_at"), F.col("_level"))
+    looked = looked.withColumn("_cell", F.explode(F.array(own - 1, own)))
+
+    group = ["_level", "_cell"]
+    cuts = lambda side: F.ceil(F.sum(side) / together).cast("int")
+    sizes = looked.groupBy(*group).agg(F.count("*").alias("_p")).withColumn("_i", F.lit(0).cast("long")).unionByName(
+        ranges.groupBy(*group).agg(F.count("*").alias("_i")).withColumn("_p", F.lit(0).cast("long")))
+    large = sizes.groupBy(*group).agg(cuts("_p").alias("_p"), cuts("_i").alias("_i")).where((F.col("_p") > 1) | (F.col("_i") > 1))
+    number = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), number(c) - 1))
+    cut = lambda key, c: F.pmod(F.xxhash64(key), number(F.col(c))).cast("int")
+    key = F.when(F.col("_value").isNull(), F.xxhash64("_at")).otherwise(F.xxhash64("_value"))
+    looked = looked.join(F.broadcast(large), group, "left").select(
+        *group, cut(key, "_p").alias("_cut"), every(F.col("_i")).alias("_part"), "_at", "_value")
+    ranges = ranges.join(F.broadcast(large), group, "left").select(
+        *group, every(F.col("_p")).alias("_cut"), cut(F.col("_by"), "_i").alias("_part"), "_by", "_copies", "_begin", "_end")
+
+    shape = StructType([sound.schema["_by"], *[StructField(c, LongType()) for c in ("n_pairs", "n_values")]])
+    group += ["_cut", "_part"]
+    counted = looked.groupBy(*group).cogroup(ranges.groupBy(*group)).applyInArrow(_count_in_ranges, shape)
+    counted = counted.groupBy("_by").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_values").alias("n_values"))
+
+    several = each.where(~alike).select(F.col("_by").alias("_other"))
+    unlike = sound.join(several, F.col("_by").eqNullSafe(F.col("_other")), "left_semi").select(
+        "_by", F.col(start).alias("_begin"), F.col(end).alias("_end"))
+    pairs = range_join(timed.withColumnRenamed(time, "_at"), unlike, "_at", "_begin", "_end", (), bucket_micros)
+    rest = pairs.groupBy("_by").agg(F.count("*").alias("n_pairs"), F.count_distinct("_value").alias("n_values"))
+    return counted.where("n_pairs > 0").unionByName(rest).withColumnRenamed("_by", by)
+
+
+def _count_in_ranges(points: pa.Table, ranges: pa.Table) -> pa.Table:
+    """Points of a group in each of its ranges, and their distinct values. Of a value in a
+    range one point counts: that whose predecessor of the same value lies before it."""
+    at = points["_at"].to_numpy()
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    low = np.searchsorted(at, ranges["_begin"].to_numpy(), "left")
+    high = np.searchsorted(at, ranges["_end"].to_numpy(), "right")
+    codes = points["_value"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()[order]
+    by_value = np.argsort(codes, kind="stable")
+    again = codes[by_value[1:]] == codes[by_value[:-1]]
+    # places from 1; 0: none before
+    before = np.zeros(len(at), np.int64)
+    before[by_value[1:][again]] = by_value[:-1][again] + 1
+    before[codes < 0] = len(at) + 1
+    n_values = _count_below(before, low, high, low + 1)
+    n_pairs = (high - low) * ranges["_copies"].to_numpy()
+    return pa.table({"_by": ranges["_by"], "n_pairs": n_pairs.astype(np.int64), "n_values": n_values})
+
+
+def _count_below(values: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of ``values[low:high]`` are below ``limit``, for many ranges at once. Bit
+    by bit from the top, the values with 0 are put before those with 1; those with 0 where
+    the limit has 1 are below it, and the range goes on among those with its own bit."""
+    found = np.zeros(len(low), np.int64)
+    for bit in reversed(range(max(int(values.max(initial=0)), int(limit.max(initial=0))).bit_length())):
+        one = (values >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        up = (limit >> bit) & 1 == 1
+        first, last = zeros[low], zeros[high]
+        found += np.where(up, last - first, 0)
+        low, high = np.where(up, zeros[-1] + low - first, first), np.where(up, zeros[-1] + high - last, last)
+        values = np.concatenate([values[~one], values[one]])
+    return found

@@ -18,7 +18,7 @@ from tidelog.operators.filters import between, filter_logs, from_date, latest, n
 from tidelog.operators.ingest import (
     ingest, normalize_timestamp, route_logs, split_rows, validate,
 )
-from tidelog.operators.joins import asof_join, range_join
+from tidelog.operators.joins import asof_join, range_counts
 from tidelog.operators.output import expanded_rows, export_logs, summary_rows, to_json_rows, write_logs, write_routed
 from tidelog.operators.summaries import merged_summary, merged_top_messages, write_summaries
 from tidelog.operators.summary import log_volume, summarize_logs, top_messages
@@ -685,8 +685,8 @@ def range_clicks_after_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = logs.where(F.col("Level") == "error").select(
         F.col("event_id").alias("error_id"), F.col("Timestamp").alias("begin"), (F.col("Timestamp") + minutes).alias("end"))
     clicks = logs.where(F.col("Level") == "click").select("Timestamp", "ResourceID")
-    pairs = range_join(clicks, errors, "Timestamp", "begin", "end", bucket_micros=300_000_000)
-    return pairs.groupBy("error_id").agg(F.count("*").alias("clicks"), F.count_distinct("ResourceID").alias("resources"))
+    found = range_counts(clicks, errors, "Timestamp", "begin", "end", by="error_id", value="ResourceID")
+    return found.select("error_id", F.col("n_pairs").alias("clicks"), F.col("n_values").alias("resources"))
 
 
 # --- search -----------------------------------------------------------------------------
