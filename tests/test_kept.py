@@ -3,11 +3,14 @@
 import random
 
 import pytest
+from plan_text import plan_of
+from pyspark.sql import DataFrameWriter
 
 from tidelog import (
     files_with, filter_logs, index_text, merged_summary, merged_top_messages, read_logs, search_text, summarize_logs,
     top_messages, write_logs, write_summaries,
 )
+from tidelog.operators import text_index
 from tidelog.operators.summaries import DISTINCT_ERROR
 from pyspark.sql import functions as F
 
@@ -114,3 +117,23 @@ def test_the_index_is_brought_up_to_date(spark, texts):
     assert rows.select("file").distinct().count() == 13 and rows.groupBy("file", "bucket").count().where("count > 1").count() == 0
     assert len(files_with(spark, f"{texts}/logs", f"{texts}/index", "the last needle")) == 1
     assert search_text(spark, f"{texts}/logs", f"{texts}/index", "no such text at all").count() == 0
+
+
+def test_filters_equal_sparks_own_bitmaps(spark, make_logs, folder, monkeypatch):
+    """Files in several tasks, rows without a trigram; nothing is sorted per character."""
+    rows = [(f"2024-01-{k % 3 + 1:02d} 00:00:00", "i", [None, "ab", "日本語の文 😀", f"message {k} " * 9][k % 4] if k % 3 else None, "r") for k in range(90)]
+    for part in (rows[:40], rows[40:]):
+        write_logs(make_logs(part), f"{folder}/logs", max_rows_per_file=7)
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(plan_of(self._df)), write(self, *a, **k)))
+    index_text(spark, f"{folder}/logs", f"{folder}/index")
+    monkeypatch.undo()
+    assert "Generate explode" not in plans[0] and "construct" not in plans[0]
+    stored = spark.read.parquet(f"{folder}/logs").select(F.col("_metadata.file_path").alias("file"), "Message")
+    places = stored.select("file", F.explode_outer(text_index._trigrams(F.coalesce("Message", F.lit("")))).alias("place"))
+    texts = places.where("place is not null")
+    empty = places.groupBy("file").agg(F.max("place").alias("place")).where("place is null").select("file", F.lit(0).cast("long").alias("place"))
+    expected = texts.unionByName(empty).groupBy("file", F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    found = spark.read.parquet(f"{folder}/index")
+    assert same(found, expected) and found.count() > 30

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 from urllib.parse import unquote, urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog.functions.binding import bound
 from tidelog.functions.text_match import literal_runs, text_predicate
-from tidelog.session import path_exists
+from tidelog.session import path_exists, settings
 from tidelog.sources.table import DATE, LOG_COLUMNS, OK, STATUS, STORED_SCHEMA
 
 # Bits of a file's filter. A trigram sets one of them, so that of a file with a tenth of
@@ -19,6 +22,13 @@ BITS = 1 << 20
 
 _FILE = "file string, bucket long, bitmap binary"
 
+# Bits of a row of the index, as Spark's bitmap functions cut them: place 0 alone is
+# bucket 0, places from 1 on follow.
+_BUCKET = 1 << 15
+
+# A message's places are some bytes per character, so few messages go to Python at a time.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+
 
 def _trigrams(text: Column) -> Column:
     """Places of a text's trigrams among the bits. The text is cut into characters once;
@@ -50,12 +60,40 @@ def index_text(spark: SparkSession, path: str, index: str) -> None:
         known = [r[0] for r in spark.read.schema(_FILE).parquet(index).select("file").distinct().collect()]
         if known:
             rows = rows.where(~F.col("_metadata.file_path").isin(known))
-    places = rows.select("file", F.explode_outer(_trigrams(F.coalesce("Message", F.lit("")))).alias("place"))
-    # a file without any trigram has a row too, or it would be searched every time
-    place = F.coalesce("place", F.lit(0))
-    filters = places.groupBy("file", F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
-    filters.hint("rebalance").write.mode("append").parquet(index)
+    places = rows.select("file", _trigrams(F.coalesce("Message", F.lit(""))).alias("places"))
+    # a file cut over several tasks has a filter from each
+    filters = places.mapInArrow(_file_filters, _FILE).groupBy("file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    with settings(spark, _BATCH):
+        filters.hint("rebalance").write.mode("append").parquet(index)
+
+
+def _file_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Filters of the files of one task. A scan goes through file by file, and a filter
+    leaves when the next file begins, so that one is held however many rows there are."""
+    file, seen = None, np.zeros(BITS, bool)
+    for batch in batches:
+        names, places = batch["file"].to_pylist(), batch["places"]
+        flat, ends = places.values.to_numpy(), places.offsets.to_numpy()
+        for k, name in enumerate(names):
+            if name != file:
+                if file is not None:
+                    yield _rows_of(file, seen)
+                file, seen = name, np.zeros(BITS, bool)
+            seen[flat[ends[k] : ends[k + 1]]] = True
+    if file is not None:
+        yield _rows_of(file, seen)
+
+
+def _rows_of(file: str, seen: np.ndarray) -> pa.RecordBatch:
+    """A file's rows of the index. One without any trigram has place 0, or it would be
+    searched every time."""
+    seen[0] |= not seen.any()
+    whole = np.packbits(np.append(seen[1:], False), bitorder="little").reshape(-1, _BUCKET // 8)
+    used = np.flatnonzero(whole.any(axis=1))
+    buckets, maps = [int(k) + 1 for k in used], [whole[k].tobytes() for k in used]
+    if seen[0]:
+        buckets, maps = [0, *buckets], [b"\1".ljust(_BUCKET // 8, b"\0"), *maps]
+    return pa.RecordBatch.from_pydict({"file": [file] * len(buckets), "bucket": buckets, "bitmap": maps})
 
 
 def files_with(spark: SparkSession, path: str, index: str, text: str, text_mode: str = "like") -> list[str] | None:
