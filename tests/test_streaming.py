@@ -431,6 +431,19 @@ def test_dedup_state_keeps_recent_arrivals_only(spark, folder):
     assert "DeduplicateWithinWatermark [event_key" in plan and re.search("EventTimeWatermark [^,]*, arrived_at", plan)
 
 
+def test_dedup_keeps_its_state_once_per_batch(spark, folder):
+    """Looking for copies goes through the batch more than once, but not through the state."""
+    add_keyed(spark, folder, LIVE.format("1 HOUR", "a", 1))
+    run_keyed(spark, folder)
+    add_keyed(spark, folder, f"{LIVE.format('1 HOUR', 'a', 1)} UNION ALL {LIVE.format('1 SECOND', 'b', 2)}")
+    plans, write = [], dedup_module.replace_batch
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dedup_module, "replace_batch", lambda batch, *rest: (plans.append(plan_of(batch)), write(batch, *rest)))
+        assert run_keyed(spark, folder) == ["a", "b"]
+    kept = plans[0].count("InMemoryRelation")
+    assert kept >= 2 and plans[0].count("Scan ExistingRDD") == kept
+
+
 def run_volume(spark, folder, delay):
     rows = tail_logs(spark, f"{folder}/logs", START)
     start_volume(rows, f"{folder}/chart", f"{folder}/chart-progress", delay=delay, available_now=True).awaitTermination()

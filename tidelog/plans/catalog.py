@@ -619,11 +619,11 @@ def dedup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy stays. Every third message comes again in the same load, all in a second one."""
     events = events_as_logs(_table(spark, sf_dir, "events"), "event_id")
     events = events.withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
-    folder = fresh_folder(spark, "keyed")
+    folder, first = fresh_folder(spark, "keyed"), _first_time(events)
     again = events.withColumn("Message", F.concat("Message", F.lit(" (sent again)")))
     for load in (events, again.where(F.col("event_id") % 3 == 0), again):
-        load.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        rows = tail_logs(spark, f"{folder}/in", _first_time(events), plain=True, extra="event_id long")
+        load.write.mode("append").parquet(f"{folder}/in")
+        rows = tail_logs(spark, f"{folder}/in", first, plain=True, extra="event_id long")
         start_dedup(rows, f"{folder}/logs", f"{folder}/progress", available_now=True, keys=["event_id"]).awaitTermination()
     return _shown(project_logs(read_logs(spark, f"{folder}/logs")))
 

@@ -67,7 +67,8 @@ def unseen_rows(batch: DataFrame, path: str, keys: Sequence[str] | None = None,
     stored = stored_rows(batch).dropDuplicates(same_columns)
     if not is_log_table(spark, path):
         return stored
-    part = _where_held(stored)
+    # copies have the same day and time, so the batch itself says where to look
+    part = _where_held(stored_rows(batch))
     if part is None:
         return stored
     held = spark.read.schema(STORED_SCHEMA).parquet(path).where((F.col(STATUS) == OK) & part)
@@ -122,8 +123,15 @@ def start_dedup(
 
     def append(batch: DataFrame, number: int) -> None:
         name = name_of(batch, number)
-        young, other = split_by_age(batch, delay)
-        fresh = stored_rows(young).unionByName(unseen_rows(other, path, keys, name))
-        replace_batch(fresh, name, path, (STATUS, DATE))
-
-    return start_batches(dedup_stream(rows, keys, delay), append, checkpoint, available_now)
+        # what follows goes through the batch several times, the state once
+        batch.persist()
+        try:
+            young, other = split_by_age(batch.select("row.*"), delay)
+            fresh = stored_rows(young).unionByName(unseen_rows(other, path, keys, name))
+            replace_batch(fresh, name, path, (STATUS, DATE))
+        finally:
+            batch.unpersist()
+
+    # a batch with the state's partitioning would not be known as the kept one in a union
+    packed = dedup_stream(rows, keys, delay).select(F.struct("*").alias("row"))
+    return start_batches(packed, append, checkpoint, available_now)
