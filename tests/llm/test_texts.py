@@ -295,3 +295,14 @@ def test_training_lowers_the_loss():
         after = train(after, vocabulary, ids, sizes, moments=moments)
     loss = [-token_scores(w, vocabulary, ids, sizes, np.zeros(len(ids))).mean() for w in (before, after)]
     assert loss[1] < 0.8 * loss[0]
+
+
+def test_windows_of_few_lanes_go_on():
+    """Every cell comes in one window, and those of a single long text are fewer than its
+    steps ask for; scores do not depend on the windows."""
+    sizes = np.array([3000, 5, 5])
+    ids = np.arange(sizes.sum()) % 12
+    grid = Grid(ids, sizes, 12, 3)
+    windows = list(grid.windows(rnn_lm.STEPS, rnn_lm.CELLS))
+    assert [w[0].start for w in windows[1:]] == [w[0].stop for w in windows[:-1]] and windows[-1][0].stop == len(ids)
+    assert sum(steps for _, steps, _ in windows) == 3000 and len(windows) < 3000 / rnn_lm.STEPS / 4

@@ -22,9 +22,11 @@ FORM_CLASSES = 40
 HIDDEN = 12
 
 # Texts side by side, and steps of a window: gradients end where a window begins, states
-# go on through all windows of a document.
+# go on through all windows of a document. Where few texts are left, windows are longer.
 LANES = 512
 STEPS = 16
+LONGER = 8
+CELLS = 4096
 RATE = 6e-3
 WARM_DOCS = 2_000
 
@@ -172,42 +174,46 @@ class Grid:
         previous = np.empty(len(ids), np.int64)
         previous[1:] = ids[:-1]
         previous[first] = start
-        self.target, self.input = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+        self.target, self.input = np.empty(len(ids), np.uint16), np.empty(len(ids), np.uint16)
         self.goes_on = np.empty((len(ids), 1), np.float32)
         self.target[self.cell], self.input[self.cell] = ids, previous
         self.goes_on[self.cell, 0] = inner
 
-    def windows(self, steps: int) -> Iterator[tuple[slice, int, int]]:
+    def windows(self, steps: int, cells: int = 0) -> Iterator[tuple[slice, int, int]]:
         """The cells of each window, its steps and its lanes. A window ends early where a
-        lane ends."""
+        lane ends; with few lanes it goes on to ``cells`` cells, but not beyond ``LONGER``
+        times the steps, as each window costs much beside its cells."""
         at, end = 0, len(self.active)
         while at < end:
             active = int(self.active[at])
-            stop = min(at + steps, int(self.lengths[active - 1]))
+            wanted = max(steps, min(LONGER * steps, cells // active))
+            stop = min(at + wanted, int(self.lengths[active - 1]))
             yield slice(int(self.before[at]), int(self.before[stop])), stop - at, active
             at = stop
 
 
 def _forward(p: dict[str, np.ndarray], grid: Grid, cells: slice, steps: int, active: int, state: np.ndarray, keep: bool):
-    """States after every step of a window, and what going back needs."""
+    """States after every step of a window, and what going back needs. A step's numbers
+    lie unit by unit, lanes side by side, so that gates are whole stretches of memory."""
     h = HIDDEN
-    x = p["input"][grid.input[cells]].reshape(steps, active, 3 * h)
-    goes_on = grid.goes_on[cells].reshape(steps, active, 1)
-    states = np.empty((steps, active, h), np.float32)
+    x = np.ascontiguousarray(p["input"][grid.input[cells]].reshape(steps, active, 3 * h).transpose(0, 2, 1))
+    goes_on = grid.goes_on[cells].reshape(steps, 1, active)
+    gates = np.ascontiguousarray(p["gates"].T)
+    states = np.empty((steps, h, active), np.float32)
     trace = []
     for t in range(steps):
         state = state * goes_on[t]
-        g = state @ p["gates"]
+        g = gates @ state
         a = x[t]
-        gc = g[:, 2 * h :]
-        rz = a[:, : 2 * h] + g[:, : 2 * h]
+        gc = g[2 * h :]
+        rz = a[: 2 * h] + g[: 2 * h]
         rz *= np.float32(0.5)
         np.tanh(rz, rz)
         rz *= np.float32(0.5)
         rz += np.float32(0.5)
-        r, z = rz[:, :h], rz[:, h:]
+        r, z = rz[:h], rz[h:]
         c = r * gc
-        c += a[:, 2 * h :]
+        c += a[2 * h :]
         np.tanh(c, c)
         if keep:
             trace.append((state, r, z, c, gc))
@@ -215,34 +221,49 @@ def _forward(p: dict[str, np.ndarray], grid: Grid, cells: slice, steps: int, act
         state *= z
         state += c
         states[t] = state
-    return states, state, trace
+    return states.transpose(0, 2, 1).reshape(-1, h), state, trace
 
 
 def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and the logarithm of their sum; logits stay small enough to need no
-    shift once they are cut."""
-    e = np.exp(np.minimum(logits, np.float32(60)))
-    return e, e.sum(1)
+    """Exponentials and their sum; logits stay small enough to need no shift once they are
+    cut."""
+    e = np.minimum(logits, np.float32(60))
+    np.exp(e, e)
+    return e, e @ np.ones(e.shape[1], np.float32)
+
+
+def _errors(logits: np.ndarray, targets: np.ndarray, share: np.float32) -> np.ndarray:
+    """Slopes of the mean loss at the logits."""
+    error, total = _log_softmax(logits)
+    error *= (share / total)[:, None]
+    error[np.arange(len(targets)), targets] -= share
+    return error
 
 
 def _by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in the order of their classes, and where the classes begin in it."""
-    order = np.argsort(classes, kind="stable")
+    order = _order(classes)
     return order, np.searchsorted(classes[order], np.arange(n + 1))
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """The order of small numbers, equal ones as they come; 16 bits are sorted by counting."""
+    return np.argsort(ids.astype(np.uint16), kind="stable")
+
+
 def token_scores(weights: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """Natural log probability of every token: of its class by the state, and within the
     class by the state for frequent words, by ``inside`` for the others."""
     p, class_of, bounds = unpack(weights, vocabulary), vocabulary.class_of(), vocabulary.bounds()
     grid = Grid(ids, sizes, vocabulary.start)
     result = np.zeros(len(ids), np.float64)
-    state = np.zeros((len(grid.lengths), HIDDEN), np.float32)
-    for cells, steps, active in grid.windows(4 * STEPS):
-        states, state, _ = _forward(p, grid, cells, steps, active, state[:active], False)
-        flat, target = states.reshape(-1, HIDDEN), grid.target[cells]
+    state = np.zeros((HIDDEN, len(grid.lengths)), np.float32)
+    for cells, steps, active in grid.windows(4 * STEPS, 4 * CELLS):
+        flat, state, _ = _forward(p, grid, cells, steps, active, state[:, :active], False)
+        target = grid.target[cells]
         classes = class_of[target]
-        logits = flat @ p["class_w"] + p["class_b"]
+        logits = flat @ p["class_w"]
+        logits += p["class_b"]
         _, total = _log_softmax(logits)
         score = logits[np.arange(len(flat)), classes] - np.log(total)
         order, edges = _by_class(classes, len(bounds))
@@ -259,14 +280,15 @@ def token_scores(weights: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, s
 def _slopes(p: dict[str, np.ndarray], grid: Grid, window: tuple[slice, int, int], state: np.ndarray, class_of: np.ndarray, bounds, slope: dict[str, np.ndarray]):
     """Gradients of the mean loss of one window, and the state it ends with."""
     cells, steps, active = window
-    states, last, trace = _forward(p, grid, cells, steps, active, state, True)
-    flat, target = states.reshape(-1, HIDDEN), grid.target[cells]
-    classes, rows = class_of[target], np.arange(len(target))
+    flat, last, trace = _forward(p, grid, cells, steps, active, state.T, True)
+    target = grid.target[cells]
+    classes = class_of[target]
     share = np.float32(1 / len(target))
-    e, total = _log_softmax(flat @ p["class_w"] + p["class_b"])
-    error = e * (share / total)[:, None]
-    error[rows, classes] -= share
-    slope["class_w"][:], slope["class_b"][:] = flat.T @ error, error.sum(0)
+    ones = np.ones(len(target), np.float32)
+    logits = flat @ p["class_w"]
+    logits += p["class_b"]
+    error = _errors(logits, classes, share)
+    slope["class_w"][:], slope["class_b"][:] = flat.T @ error, ones @ error
     back = error @ p["class_w"].T
     slope["word_w"][:], slope["word_b"][:] = 0, 0
     order, edges = _by_class(classes, len(bounds))
@@ -274,46 +296,45 @@ def _slopes(p: dict[str, np.ndarray], grid: Grid, window: tuple[slice, int, int]
         mine = order[edges[k] : edges[k + 1]]
         if len(mine) and high - low > 1:
             own = flat[mine]
-            e, total = _log_softmax(own @ p["word_w"][:, low:high] + p["word_b"][low:high])
-            error = e * (share / total)[:, None]
-            error[np.arange(len(mine)), target[mine] - low] -= share
-            slope["word_w"][:, low:high], slope["word_b"][low:high] = own.T @ error, error.sum(0)
+            logits = own @ p["word_w"][:, low:high]
+            logits += p["word_b"][low:high]
+            error = _errors(logits, target[mine] - low, share)
+            slope["word_w"][:, low:high], slope["word_b"][low:high] = own.T @ error, ones[: len(mine)] @ error
             back[mine] += error @ p["word_w"][:, low:high].T
-    back = back.reshape(states.shape)
-    goes_on = grid.goes_on[cells].reshape(steps, active, 1)
-    h, after = HIDDEN, np.zeros((active, HIDDEN), np.float32)
+    h, after = HIDDEN, np.zeros((HIDDEN, active), np.float32)
+    back = np.ascontiguousarray(back.reshape(steps, active, h).transpose(0, 2, 1))
+    goes_on = grid.goes_on[cells].reshape(steps, 1, active)
     # slopes at the gates' sums: of what comes from the input, and from the state
-    inputs = np.empty((steps, active, 3 * h), np.float32)
-    inner = np.empty((steps, active, 3 * h), np.float32)
-    lifted = p["gates"].T.copy()
+    inputs = np.empty((3 * h, steps, active), np.float32)
+    inner = np.empty((3 * h, steps, active), np.float32)
     for t in range(steps - 1, -1, -1):
         before, r, z, c, gc = trace[t]
         d = back[t]
         d += after
-        out, own = inputs[t], inner[t]
+        out, own = inputs[:, t], inner[:, t]
         keep = np.float32(1) - z
         dc = d * keep
         dc *= np.float32(1) - c * c
-        out[:, 2 * h :] = dc
-        np.multiply(dc, r, own[:, 2 * h :])
+        out[2 * h :] = dc
+        np.multiply(dc, r, own[2 * h :])
         dc *= gc
         dc *= r - r * r
-        out[:, :h] = dc
+        out[:h] = dc
         keep *= z
         keep *= before - c
-        np.multiply(keep, d, out[:, h : 2 * h])
-        own[:, : 2 * h] = out[:, : 2 * h]
-        after = own @ lifted
+        np.multiply(keep, d, out[h : 2 * h])
+        own[: 2 * h] = out[: 2 * h]
+        after = p["gates"] @ own
         d *= z
         after += d
         after *= goes_on[t]
-    slope["gates"][:] = np.concatenate([x[0] for x in trace]).T @ inner.reshape(-1, 3 * h)
+    slope["gates"][:] = np.concatenate([x[0] for x in trace], axis=1) @ inner.reshape(3 * h, -1).T
     ids = grid.input[cells]
-    order = np.argsort(ids, kind="stable")
+    order = _order(ids)
     begin = np.flatnonzero(np.diff(ids[order], prepend=-1))
     slope["input"][:] = 0
-    slope["input"][ids[order[begin]]] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begin, axis=0)
-    return last
+    slope["input"][ids[order[begin]]] = np.add.reduceat(np.ascontiguousarray(inputs.reshape(3 * h, -1).T)[order], begin, axis=0)
+    return last.T
 
 
 def train(weights: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, rate: float = RATE, moments: list | None = None) -> np.ndarray:
@@ -326,8 +347,8 @@ def train(weights: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, sizes: n
     if moments is None:
         moments = [np.zeros_like(weights), np.zeros_like(weights), 0]
     mean, square, state = moments[0], moments[1], np.zeros((len(grid.lengths), HIDDEN), np.float32)
-    for window in grid.windows(STEPS):
-        active = window[2]
+    for window in grid.windows(STEPS, CELLS):
+        steps, active = window[1:]
         state = _slopes(p, grid, window, state[:active], class_of, bounds, slope)
         norm = float(np.sqrt(np.dot(flat_slope, flat_slope)))
         if norm > 1:
@@ -336,8 +357,8 @@ def train(weights: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, sizes: n
         mean += np.float32(0.1) * (flat_slope - mean)
         square += np.float32(0.01) * (flat_slope * flat_slope - square)
         n = moments[2]
-        # few lanes at the end of a grid count for less
-        step = rate * (active / len(grid.lengths)) * (1 - 0.99**n) ** 0.5 / (1 - 0.9**n)
+        # few lanes at the end of a grid count for less, by as much as they go on for longer
+        step = rate * min(1.0, active / len(grid.lengths) * max(steps / STEPS, 1)) * (1 - 0.99**n) ** 0.5 / (1 - 0.9**n)
         weights -= np.float32(step) * mean / (np.sqrt(square) + np.float32(1e-7))
     return weights
 
