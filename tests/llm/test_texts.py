@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +308,79 @@ def test_windows_of_few_lanes_go_on():
     windows = list(grid.windows(rnn_lm.STEPS, rnn_lm.CELLS))
     assert [w[0].start for w in windows[1:]] == [w[0].stop for w in windows[:-1]] and windows[-1][0].stop == len(ids)
     assert sum(steps for _, steps, _ in windows) == 3000 and len(windows) < 3000 / rnn_lm.STEPS / 4
+
+
+def test_tokens_are_placed_without_a_hash_for_each(monkeypatch):
+    """Words end at ASCII white space alone, and a word that texts repeat is hashed once."""
+    texts = [None, "", " \t\n\x0b\x0c\r", " Aa\x1cb  aa ", "É é\x85É\xa0 x", " ", "日本 aA\taa", *["aa bb Cc"] * 600]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    own, hashed = rnn_lm.xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(rnn_lm.xxhash, "xxh3_64_intdigest", lambda word: hashed.append(word) or own(word))
+    parts, sizes = zip(*(rnn_lm.split_words(pa.array(texts[at : at + 500], pa.string())) for at in (0, 500)))
+    sizes = np.concatenate(sizes)
+    hashes, places = rnn_lm.places_of(list(parts), sizes)
+    assert sizes.tolist() == [len(words) for words in plain]
+    form = lambda w: zlib.crc32(w.decode()[-2:].encode()) % rnn_lm.FORM_CLASSES
+    expected = [x for words in plain for x in [*(own(w) >> 8 << 8 | form(w) for w in words), rnn_lm.END_WORD]]
+    assert hashes[places].tolist() == expected and hashes.tolist() == sorted(set(expected))
+    assert sorted(hashed) == sorted({w for words in plain for w in words})
+
+
+def test_texts_without_any_word_have_ends():
+    words, sizes = rnn_lm.split_words(pa.array([None, " "], pa.string()))
+    hashes, places = rnn_lm.places_of([words], sizes)
+    assert sizes.tolist() == [0, 0] and places.tolist() == [0, 0] and hashes.tolist() == [rnn_lm.END_WORD]
+
+
+def test_logits_too_large_to_raise_to_are_cut():
+    """Beyond the bound logits are cut, below it cutting changes nothing."""
+    vocabulary, ids, sizes = small_model()
+    weights = first_weights(vocabulary)
+    assert rnn_lm._safe(rnn_lm.unpack(weights, vocabulary)["class"])
+    large = rnn_lm.unpack(weights * 2000, vocabulary)["class"]
+    assert not rnn_lm._safe(large)
+    assert np.isfinite(token_scores(weights * 2000, vocabulary, ids, sizes, np.zeros(len(ids)))).all()
+    flat = np.ones((9, len(large)), np.float32)
+    small = rnn_lm.unpack(weights, vocabulary)["class"]
+    assert np.array_equal(*(rnn_lm._log_share(flat, small, ids[:9] % small.shape[1], safe) for safe in (True, False)))
+
+
+def test_slopes_in_parts_are_those_of_all_tokens(monkeypatch):
+    """Blocks of tokens add up to the slopes of the whole window."""
+    vocabulary, ids, sizes = small_model()
+    weights = first_weights(vocabulary) * 3
+    found = []
+    for block in (1000, 7):
+        monkeypatch.setattr(rnn_lm, "BLOCK", block)
+        grid, flat = Grid(ids, sizes, vocabulary.start, 5), np.zeros_like(weights)
+        window, p = next(grid.windows(rnn_lm.STEPS)), rnn_lm.unpack(weights, vocabulary)
+        rnn_lm._slopes(p, grid, window, np.zeros((5, rnn_lm.HIDDEN), np.float32)[: window[2]], vocabulary.class_of(), vocabulary.bounds(), rnn_lm.unpack(flat, vocabulary))
+        found.append(flat)
+    assert np.abs(found[0]).max() > 0 and np.allclose(*found, atol=1e-6)
+
+
+def test_texts_are_scored_in_runs_that_hold_each_once():
+    sizes = np.array([3, 1, 9, 2, 2, 30, 1, 1])
+    parts = list(rnn_lm._text_parts(sizes, 5))
+    assert [k for own in parts for k in range(own.start, own.stop)] == list(range(len(sizes))) and len(parts) > 3
+    assert all(sizes[own].sum() < 5 + sizes[own][0] for own in parts)
+
+
+def test_scores_do_not_depend_on_the_runs(frame, corpus, monkeypatch):
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    found = []
+    for most in (rnn_lm.PART_TOKENS, 50):
+        monkeypatch.setattr(rnn_lm, "PART_TOKENS", most)
+        found.append(sorted(map(tuple, score_texts(frame(corpus)).collect()), key=key))
+    for a, b in zip(*found, strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-4)
+
+
+def test_tokens_of_a_grid_need_few_bytes():
+    sizes = np.full(400, 500, np.int64)
+    ids = (np.arange(sizes.sum()) % 12).astype(np.uint16)
+    tracemalloc.start()
+    grid = Grid(ids, sizes, 12)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(ids) and len(grid.cell) == len(ids)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,38 +36,47 @@ FOLDS = 10
 
 # Tokens that are scored together with the counts of their words.
 BATCH_TOKENS = 2_000_000
-_CACHE_WORDS = 1_000_000
+# Tokens of whole texts that go through the network together when they are scored.
+PART_TOKENS = 1_000_000
+# Cells whose numbers for all classes are made at a time, few enough to stay near the core.
+BLOCK = 2048
+# Logits whose exponentials are not cut.
+SAFE = 60.0
 _LOG10 = np.log(10.0)
 _END = xxhash.xxh3_64_intdigest(b"end of text", seed=1)
 
 
 # --- words ------------------------------------------------------------------------------
 
-class _Words(dict):
-    """Hash of each word and its form class, the class in the lowest bits."""
+END_WORD = _END >> 8 << 8
 
-    def __missing__(self, word: bytes) -> int:
-        form = zlib.crc32(word.decode()[-2:].encode()) % FORM_CLASSES
-        value = xxhash.xxh3_64_intdigest(word) >> 8 << 8 | form
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = value
-        return value
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts one after the other, A-Z in lower case, and words per text."""
+    bare = pc.ascii_lower(pc.ascii_trim_whitespace(texts))
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), pa.scalar(None, bare.type), bare))
+    return found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-END_WORD = _END >> 8 << 8
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hash of each word and its form class, the class in the lowest bits."""
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    forms = np.array([zlib.crc32(end.encode()) % FORM_CLASSES for end in ends.dictionary.to_pylist()], np.uint64)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
+    return own >> np.uint64(8) << np.uint64(8) | forms[ends.indices.to_numpy()]
 
 
-def token_hashes(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts one after the other, and tokens per text: words
-    with A-Z in lower case, and one end."""
-    parts, sizes = [], []
-    for text in texts:
-        words = (text or "").encode().lower().split()
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        parts.append(np.array([END_WORD], np.uint64))
-        sizes.append(len(words) + 1)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
+def places_of(parts: list[pa.Array], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of texts, ascending, and the place in them of every
+    token: the words of each text, then one end. A word is hashed once."""
+    found = pa.chunked_array(parts).dictionary_encode().combine_chunks()
+    hashes, at = np.unique(np.append(word_hashes(found.dictionary), np.uint64(END_WORD)), return_inverse=True)
+    at = at.astype(np.uint32)
+    is_word = np.ones(int(sizes.sum()) + len(sizes), bool)
+    is_word[np.cumsum(sizes + 1) - 1] = False
+    places = np.full(len(is_word), at[-1], np.uint32)
+    places[is_word] = at[found.indices.to_numpy()]
+    return hashes, places
 
 
 @dataclass
@@ -118,7 +128,8 @@ def shapes(vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
     k, c = len(vocabulary.hashes), vocabulary.n_frequent_classes + FORM_CLASSES
     return {
         "input": (vocabulary.start + 1, 3 * HIDDEN), "gates": (HIDDEN, 3 * HIDDEN),
-        "class_w": (HIDDEN, c), "class_b": (c,), "word_w": (HIDDEN, k), "word_b": (k,),
+        # the last row is what each output has without any state
+        "class": (HIDDEN + 1, c), "word": (HIDDEN + 1, k),
     }
 
 
@@ -133,9 +144,10 @@ def unpack(flat: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
 def first_weights(vocabulary: Vocabulary, seed: int = 9) -> np.ndarray:
     random = np.random.RandomState(seed)
-    return np.concatenate(
-        [(random.randn(*shape) * (0.0 if name.endswith("_b") else 0.15)).astype(np.float32).reshape(-1) for name, shape in shapes(vocabulary).items()]
-    )
+    flat = np.concatenate([(random.randn(*shape) * 0.15).astype(np.float32).reshape(-1) for shape in shapes(vocabulary).values()])
+    p = unpack(flat, vocabulary)
+    p["class"][HIDDEN] = p["word"][HIDDEN] = 0
+    return flat
 
 
 def lanes(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,18 +178,23 @@ class Grid:
         self.active = np.cumsum(np.bincount(self.lengths, minlength=steps + 1)[::-1])[::-1][1:]
         self.before = np.concatenate([[0], np.cumsum(self.active)])
         first = np.cumsum(sizes) - sizes
-        step = np.arange(len(ids)) - np.repeat(first - begin, sizes)
+        step = np.arange(len(ids), dtype=np.int32)
+        step -= np.repeat((first - begin).astype(np.int32), sizes)
         #: the cell of every token, to put scores back
-        self.cell = self.before[step] + np.repeat(lane, sizes)
-        inner = np.ones(len(ids), bool)
-        inner[first] = False
-        previous = np.empty(len(ids), np.int64)
+        self.cell = self.before.astype(np.int32)[step]
+        del step
+        self.cell += np.repeat(lane.astype(np.int32), sizes)
+        previous = np.empty(len(ids), np.uint16)
         previous[1:] = ids[:-1]
         previous[first] = start
         self.target, self.input = np.empty(len(ids), np.uint16), np.empty(len(ids), np.uint16)
-        self.goes_on = np.empty((len(ids), 1), np.float32)
+        #: whether a cell goes on with the text of the one before
+        self.inner = np.ones(len(ids), bool)
         self.target[self.cell], self.input[self.cell] = ids, previous
-        self.goes_on[self.cell, 0] = inner
+        self.inner[self.cell[first]] = False
+
+    def goes_on(self, cells: slice, steps: int, active: int) -> np.ndarray:
+        return self.inner[cells].astype(np.float32).reshape(steps, 1, active)
 
     def windows(self, steps: int, cells: int = 0) -> Iterator[tuple[slice, int, int]]:
         """The cells of each window, its steps and its lanes. A window ends early where a
@@ -193,57 +210,99 @@ class Grid:
 
 
 def _forward(p: dict[str, np.ndarray], grid: Grid, cells: slice, steps: int, active: int, state: np.ndarray, keep: bool):
-    """States after every step of a window, and what going back needs. A step's numbers
-    lie unit by unit, lanes side by side, so that gates are whole stretches of memory."""
-    h = HIDDEN
-    x = np.ascontiguousarray(p["input"][grid.input[cells]].reshape(steps, active, 3 * h).transpose(0, 2, 1))
-    goes_on = grid.goes_on[cells].reshape(steps, 1, active)
-    gates = np.ascontiguousarray(p["gates"].T)
-    states = np.empty((steps, h, active), np.float32)
+    """States after every step of a window, each with a one behind it, and what going back
+    needs. A step's numbers lie unit by unit, lanes side by side, so that gates are whole
+    stretches of memory."""
+    h, half = HIDDEN, np.float32(0.5)
+    # a sigmoid is made from tanh at half its argument
+    halves = np.repeat(np.array([half, 1], np.float32), [2 * h, h])
+    x = np.ascontiguousarray((p["input"] * halves)[grid.input[cells]].reshape(steps, active, 3 * h).transpose(0, 2, 1))
+    goes_on = grid.goes_on(cells, steps, active)
+    gates = np.ascontiguousarray((p["gates"] * halves).T)
+    states = np.empty((steps, h + 1, active), np.float32)
+    states[:, h] = 1
     trace = []
     for t in range(steps):
         state = state * goes_on[t]
         g = gates @ state
-        a = x[t]
-        gc = g[2 * h :]
-        rz = a[: 2 * h] + g[: 2 * h]
-        rz *= np.float32(0.5)
+        rz, gc, a = g[: 2 * h], g[2 * h :], x[t]
+        rz += a[: 2 * h]
         np.tanh(rz, rz)
-        rz *= np.float32(0.5)
-        rz += np.float32(0.5)
-        r, z = rz[:h], rz[h:]
-        c = r * gc
+        rz *= half
+        rz += half
+        c = rz[:h] * gc
         c += a[2 * h :]
         np.tanh(c, c)
+        away = state - c
         if keep:
-            trace.append((state, r, z, c, gc))
-        state = state - c
-        state *= z
+            trace.append((state, g, c, away))
+        state = np.multiply(away, rz[h:], states[t, :h])
         state += c
-        states[t] = state
-    return states.transpose(0, 2, 1).reshape(-1, h), state, trace
+    return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, h + 1), state, trace
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(at, min(at + BLOCK, n)) for at in range(0, n, BLOCK))
+
 
+def _safe(outputs: np.ndarray) -> bool:
+    """Whether no state can lead to a logit that must be cut: states lie between -1 and 1."""
+    return float(np.abs(outputs).sum(axis=0).max(initial=0)) < SAFE
 
-def _log_softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sum; logits stay small enough to need no shift once they are
-    cut."""
-    e = np.minimum(logits, np.float32(60))
-    np.exp(e, e)
-    return e, e @ np.ones(e.shape[1], np.float32)
 
+def _exponentials(logits: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, in the place of the logits, and their sum; logits stay small enough
+    to need no shift once they are cut."""
+    if not safe:
+        np.minimum(logits, np.float32(SAFE), logits)
+    np.exp(logits, logits)
+    return logits, logits @ np.ones(logits.shape[1], np.float32)
 
-def _errors(logits: np.ndarray, targets: np.ndarray, share: np.float32) -> np.ndarray:
-    """Slopes of the mean loss at the logits."""
-    error, total = _log_softmax(logits)
-    error *= (share / total)[:, None]
-    error[np.arange(len(targets)), targets] -= share
-    return error
 
+def _chosen(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logits one after the other, and where in them the targets are."""
+    return logits.reshape(-1), np.arange(0, logits.size, logits.shape[1]) + targets
 
-def _by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in the order of their classes, and where the classes begin in it."""
+
+def _log_share(flat: np.ndarray, outputs: np.ndarray, targets: np.ndarray, safe: bool) -> np.ndarray:
+    """Log of the share that each target has of the outputs."""
+    logits = flat @ outputs
+    every, at = _chosen(logits, targets)
+    score = every[at]
+    return score - np.log(_exponentials(logits, safe)[1])
+
+
+def _errors(flat: np.ndarray, outputs: np.ndarray, targets: np.ndarray, parts: list[tuple[slice, slice]], share: np.float32, slope: np.ndarray) -> np.ndarray:
+    """Adds the slopes of the mean loss at the outputs, returns those at the states. Parts
+    are tokens and the outputs that they choose from."""
+    safe, errors, total = _safe(outputs), [], np.empty(len(flat), np.float32)
+    for own, columns in parts:
+        error, total[own] = _exponentials(flat[own] @ outputs[:, columns], safe)
+        every, at = _chosen(error, targets[own])
+        every[at] -= total[own]
+        errors.append(error)
+    # the errors are these times a number per token, which costs less on the few units
+    scale = (share / total)[:, None]
+    scaled, back = flat * scale, np.empty((len(flat), HIDDEN), np.float32)
+    for error, (own, columns) in zip(errors, parts):
+        slope[:, columns] += scaled[own].T @ error
+        np.matmul(error, outputs[:HIDDEN, columns].T, back[own])
+    back *= scale
+    return back
+
+
+def _by_class(classes: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """Tokens of the classes with several words, class by class, and for each class that
+    occurs its tokens and its words."""
     order = _order(classes)
-    return order, np.searchsorted(classes[order], np.arange(n + 1))
+    edges = np.searchsorted(classes[order], np.arange(len(bounds) + 1)).tolist()
+    parts, taken, n = [], [np.zeros(0, np.int64)], 0
+    for first, last, (low, high) in zip(edges, edges[1:], bounds):
+        if last > first and high - low > 1:
+            parts.append((slice(n, n + last - first), slice(low, high)))
+            taken.append(order[first:last])
+            n += last - first
+    return np.concatenate(taken), parts
 
 
 def _order(ids: np.ndarray) -> np.ndarray:
@@ -256,23 +315,18 @@ def token_scores(weights: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, s
     class by the state for frequent words, by ``inside`` for the others."""
     p, class_of, bounds = unpack(weights, vocabulary), vocabulary.class_of(), vocabulary.bounds()
     grid = Grid(ids, sizes, vocabulary.start)
-    result = np.zeros(len(ids), np.float64)
+    result = np.zeros(len(ids), np.float32)
     state = np.zeros((HIDDEN, len(grid.lengths)), np.float32)
+    safe_class, safe_word = _safe(p["class"]), _safe(p["word"])
     for cells, steps, active in grid.windows(4 * STEPS, 4 * CELLS):
         flat, state, _ = _forward(p, grid, cells, steps, active, state[:, :active], False)
         target = grid.target[cells]
         classes = class_of[target]
-        logits = flat @ p["class_w"]
-        logits += p["class_b"]
-        _, total = _log_softmax(logits)
-        score = logits[np.arange(len(flat)), classes] - np.log(total)
-        order, edges = _by_class(classes, len(bounds))
-        for k, (low, high) in enumerate(bounds):
-            mine = order[edges[k] : edges[k + 1]]
-            if len(mine) and high - low > 1:
-                inner = flat[mine] @ p["word_w"][:, low:high] + p["word_b"][low:high]
-                _, total = _log_softmax(inner)
-                score[mine] += inner[np.arange(len(mine)), target[mine] - low] - np.log(total)
+        score = np.concatenate([_log_share(flat[own], p["class"], classes[own], safe_class) for own in _blocks(len(flat))])
+        mine, parts = _by_class(classes, bounds)
+        inner, target = flat[mine], target[mine]
+        for own, words in parts:
+            score[mine[own]] += _log_share(inner[own], p["word"][:, words], target[own] - words.start, safe_word)
         result[cells] = score
     return result[grid.cell] + inside
 
@@ -284,56 +338,48 @@ def _slopes(p: dict[str, np.ndarray], grid: Grid, window: tuple[slice, int, int]
     target = grid.target[cells]
     classes = class_of[target]
     share = np.float32(1 / len(target))
-    ones = np.ones(len(target), np.float32)
-    logits = flat @ p["class_w"]
-    logits += p["class_b"]
-    error = _errors(logits, classes, share)
-    slope["class_w"][:], slope["class_b"][:] = flat.T @ error, ones @ error
-    back = error @ p["class_w"].T
-    slope["word_w"][:], slope["word_b"][:] = 0, 0
-    order, edges = _by_class(classes, len(bounds))
-    for k, (low, high) in enumerate(bounds):
-        mine = order[edges[k] : edges[k + 1]]
-        if len(mine) and high - low > 1:
-            own = flat[mine]
-            logits = own @ p["word_w"][:, low:high]
-            logits += p["word_b"][low:high]
-            error = _errors(logits, target[mine] - low, share)
-            slope["word_w"][:, low:high], slope["word_b"][low:high] = own.T @ error, ones[: len(mine)] @ error
-            back[mine] += error @ p["word_w"][:, low:high].T
+    slope["class"][:], slope["word"][:] = 0, 0
+    back = np.concatenate([_errors(flat[own], p["class"], classes[own], [(slice(None), slice(None))], share, slope["class"]) for own in _blocks(len(flat))])
+    mine, parts = _by_class(classes, bounds)
+    if parts:
+        back[mine] += _errors(flat[mine], p["word"], target[mine] - np.array([low for low, _ in bounds])[classes[mine]], parts, share, slope["word"])
     h, after = HIDDEN, np.zeros((HIDDEN, active), np.float32)
     back = np.ascontiguousarray(back.reshape(steps, active, h).transpose(0, 2, 1))
-    goes_on = grid.goes_on[cells].reshape(steps, 1, active)
-    # slopes at the gates' sums: of what comes from the input, and from the state
-    inputs = np.empty((3 * h, steps, active), np.float32)
-    inner = np.empty((3 * h, steps, active), np.float32)
+    goes_on = grid.goes_on(cells, steps, active)
+    # slopes at the gates' sums: for the candidate what comes from the input, both gates,
+    # and for the candidate what comes from the state
+    sums = np.empty((4 * h, steps, active), np.float32)
     for t in range(steps - 1, -1, -1):
-        before, r, z, c, gc = trace[t]
-        d = back[t]
+        before, g, c, away = trace[t]
+        r, z, gc = g[:h], g[h : 2 * h], g[2 * h :]
+        d, own = back[t], sums[:, t]
         d += after
-        out, own = inputs[:, t], inner[:, t]
         keep = np.float32(1) - z
-        dc = d * keep
-        dc *= np.float32(1) - c * c
-        out[2 * h :] = dc
-        np.multiply(dc, r, own[2 * h :])
-        dc *= gc
-        dc *= r - r * r
-        out[:h] = dc
+        dc = own[:h]
+        np.multiply(c, c, dc)
+        np.subtract(np.float32(1), dc, dc)
+        dc *= keep
+        dc *= d
+        last_rows = np.multiply(dc, r, own[3 * h :])
+        # r - r * r times dc is what dc times r lacks of r
+        dr = own[h : 2 * h]
+        np.subtract(np.float32(1), r, dr)
+        dr *= last_rows
+        dr *= gc
         keep *= z
-        keep *= before - c
-        np.multiply(keep, d, out[h : 2 * h])
-        own[: 2 * h] = out[: 2 * h]
-        after = p["gates"] @ own
+        keep *= away
+        np.multiply(keep, d, own[2 * h : 3 * h])
+        after = p["gates"] @ own[h:]
         d *= z
         after += d
         after *= goes_on[t]
-    slope["gates"][:] = np.concatenate([x[0] for x in trace], axis=1) @ inner.reshape(3 * h, -1).T
+    slope["gates"][:] = np.concatenate([x[0] for x in trace], axis=1) @ sums[h:].reshape(3 * h, -1).T
     ids = grid.input[cells]
     order = _order(ids)
     begin = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    summed = np.add.reduceat(sums[: 3 * h].reshape(3 * h, -1).take(order, axis=1, mode="clip"), begin, axis=1).T
     slope["input"][:] = 0
-    slope["input"][ids[order[begin]]] = np.add.reduceat(np.ascontiguousarray(inputs.reshape(3 * h, -1).T)[order], begin, axis=0)
+    slope["input"][ids[order[begin]]] = np.roll(summed, -h, axis=1)
     return last.T
 
 
@@ -382,18 +428,19 @@ def encoded(docs: DataFrame, tokens_per_batch: int = BATCH_TOKENS) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, number = _Words(), TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         ids, parts, sizes = [], [], []
 
         def row() -> pa.RecordBatch:
             nonlocal number, ids, parts, sizes
-            every, size = np.concatenate(parts), np.concatenate(sizes)
-            words, places = np.unique(every, return_inverse=True)
+            size = np.concatenate(sizes)
+            words, places = places_of(parts, size)
+            size += 1
             held = np.array([_held_out(d) for d in ids], bool)
             taught = np.bincount(places[np.repeat(~held, size)], minlength=len(words))
             columns = {
                 "doc_ids": np.array([d or 0 for d in ids], np.int64), "there": np.array([d is not None for d in ids]),
-                "held": held, "sizes": size, "tokens": places.astype(np.uint32), "words": words, "taught": taught.astype(np.int64),
+                "held": held, "sizes": size, "tokens": places, "words": words, "taught": taught.astype(np.int64),
             }
             found = {"batch": pa.array([number], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}
             number, ids, parts, sizes = number + 1, [], [], []
@@ -402,20 +449,22 @@ def encoded(docs: DataFrame, tokens_per_batch: int = BATCH_TOKENS) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                hashes, size = token_hashes(batch.column("text").to_pylist(), known)
+                words, size = split_words(batch.column("text"))
                 ids += batch.column("doc_id").to_pylist()
-                parts.append(hashes)
+                parts.append(words)
                 sizes.append(size)
-                if sum(map(len, parts)) >= tokens_per_batch:
+                if len(ids) + sum(map(len, parts)) >= tokens_per_batch:
                     yield row()
         if ids:
             yield row()
+        # the worker lives on, and what Arrow has freed would stay with it
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(encode, ENCODED_SCHEMA)
 
 
 def _array(column: pa.Array, row: int, dtype) -> np.ndarray:
-    return np.frombuffer(column[row].as_py(), dtype)
+    return np.frombuffer(column[row].as_buffer(), dtype)
 
 
 def word_rows(batches_: DataFrame) -> DataFrame:
@@ -432,10 +481,18 @@ def word_rows(batches_: DataFrame) -> DataFrame:
     return batches_.select("batch", "words", "taught").mapInArrow(explode, "batch long, place int, h long, n long")
 
 
+def _text_parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """The texts in runs of about ``most`` tokens."""
+    ends = np.cumsum(sizes)
+    run = (ends - 1) // most
+    edges = np.flatnonzero(np.diff(run, prepend=-1)).tolist() + [len(sizes)]
+    return (slice(low, high) for low, high in zip(edges, edges[1:]))
+
+
 def _lessons(batch: pa.RecordBatch, k: int, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids and sizes of the documents of a batch to learn from."""
     held, sizes = _array(batch.column("held"), k, bool), _array(batch.column("sizes"), k, np.int64)
-    ids = vocabulary.ids(_array(batch.column("words"), k, np.uint64))[_array(batch.column("tokens"), k, np.uint32)]
+    ids = vocabulary.ids(_array(batch.column("words"), k, np.uint64)).astype(np.uint16)[_array(batch.column("tokens"), k, np.uint32)]
     return ids[np.repeat(~held, sizes)], sizes[~held]
 
 
@@ -520,19 +577,23 @@ def score_texts(docs: DataFrame) -> DataFrame:
         ids = vocabulary.ids(words)
         form = np.maximum(ids - len(vocabulary.hashes), 0)
         inside = np.where(ids < len(vocabulary.hashes), 0.0, np.log((c + ADD) / vocabulary.masses[form]))
-        model = token_scores(weights, vocabulary, ids[tokens], sizes, inside[tokens]) / _LOG10
-        first = np.cumsum(sizes) - sizes
-        base = np.add.reduceat((np.log10(c + ADD) - log_rest)[tokens], first)
-        there = _array(batch.column("there"), 0, bool)
-        return pa.table(
-            {
-                "doc_id": pa.array(_array(batch.column("doc_ids"), 0, np.int64), mask=~there),
-                "held_out": pa.array(_array(batch.column("held"), 0, bool)),
-                "n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64)[tokens], first),
-                "train_tokens": np.full(len(sizes), n_tokens, np.int64),
-                "base_score": base, "score": np.add.reduceat(model, first),
+        ids, held, there = ids.astype(np.uint16), _array(batch.column("held"), 0, bool), _array(batch.column("there"), 0, bool)
+        base, known, doc_ids = np.log10(c + ADD) - log_rest, (c > 0).astype(np.int64), _array(batch.column("doc_ids"), 0, np.int64)
+        done, parts = 0, []
+        for own in _text_parts(sizes, PART_TOKENS):
+            size = sizes[own]
+            first = np.cumsum(size) - size
+            token = tokens[done : done + size.sum()]
+            model = token_scores(weights, vocabulary, ids[token], size, inside[token]) / _LOG10
+            columns = {
+                "doc_id": pa.array(doc_ids[own], mask=~there[own]), "held_out": pa.array(held[own]),
+                "n_tokens": size, "n_known": np.add.reduceat(known[token], first),
+                "train_tokens": np.full(len(size), n_tokens, np.int64),
+                "base_score": np.add.reduceat(base[token], first), "score": np.add.reduceat(model, first),
             }
-        )
+            parts.append(pa.table(columns))
+            done += len(token)
+        return pa.concat_tables(parts)
 
     counted = words.select("batch", "place", "h").join(totals, "h").select("batch", "place", "c")
     return (
